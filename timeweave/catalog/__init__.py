@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-MODULES = ["pools", "intervals"]
+MODULES = ["pools", "intervals", "phrases"]
 
 
 def load_all() -> ModuleType:

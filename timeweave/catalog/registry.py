@@ -23,5 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Scan of a driver table.  ``spread`` redistributes a scan with fewer splits
+    than task slots, for map stages that cost far more than a shuffle of the row."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    slots = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
