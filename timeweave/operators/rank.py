@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.functions.vectors import MISSING_SCORE, SCORE_DIGITS
-from timeweave.operators.skew import slice_build_side, slice_counts, slice_probe_side, top_k
-from timeweave.session import cut_lineage
+from timeweave.operators.skew import positions, slice_build_side, slice_counts, slice_probe_side, top_k
 
 BLOCKS_PER_TILE = 8_192
 QUESTIONS_PER_TILE = 1_024
@@ -175,28 +174,10 @@ def rank_in_pool(pairs: DataFrame, score: str = "score", k: int | None = None) -
 
 
 def rank_full(pairs: DataFrame, score: str = "score", partitions: int | None = None) -> DataFrame:
-    """Rank of *every* pair, without holding one question's pool in one task.
-
-    Pairs are range-partitioned by (question, score, block) and written once
-    through a reliable checkpoint, so that the partition number is stable; the
-    rank is the local position plus the rows of the same question in earlier
-    partitions (a table of questions x partitions touched).
-    """
-    n = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["user_id", "qa_idx"]
-    ranged = cut_lineage(
-        pairs.repartitionByRange(n, *keys, F.desc(score), F.asc("block_id")).withColumn("_part", F.spark_partition_id())
-    )
-    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy(*keys, "_part").orderBy(F.desc(score), F.asc("block_id"))
-    return (
-        ranged.withColumn("_pos", F.row_number().over(local))
-        .join(offsets, [*keys, "_part"])
-        .withColumn("rank", (F.col("_pos") + F.col("_offset")).cast("int"))
-        .drop("_pos", "_offset", "_part")
-    )
+    """Rank of *every* pair, without holding one question's pool in one task."""
+    order = [F.desc(score), F.asc("block_id")]
+    ranked = positions(pairs, ["user_id", "qa_idx"], order, "rank", partitions)
+    return ranked.withColumn("rank", F.col("rank").cast("int"))
 
 
 def time_decay(block_day: Column, query_day: Column, intent: Column) -> Column:
