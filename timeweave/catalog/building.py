@@ -81,7 +81,8 @@ def l2(spark, d):
 def event_messages(spark, d):
     e = table(spark, d, "events")
     by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(by_user)) > 12 * 3600 * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = at - F.lag(at).over(by_user) > 12 * 3600 * 1_000_000
     s = e.withColumn("session_order", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(by_user))
     idx = F.row_number().over(Window.partitionBy("user_id", "session_order").orderBy("ts", "event_id"))
     return s.withColumn("msg_idx", idx).select(
@@ -176,8 +177,8 @@ FIN = f"""{MSG}, seg AS (SELECT *, sum(CASE WHEN msg_idx IN (1, 3) THEN 1 ELSE 0
        SELECT user_id || '_' || block_id || '_e' || i AS event_id, CASE i WHEN 0 THEN 'Person ' || user_id || ' bought ticket ' || block_id WHEN 1 THEN 'Person ' || user_id || '''s name is Ann'
             WHEN 2 THEN 'Person ' || user_id || ' visited Rome on 2023-06-1' || (block_id % 10) ELSE 'Travel rail, trip' END AS description,
          CASE i WHEN 0 THEN 'OCCURRENCE' WHEN 1 THEN 'ATTRIBUTE' WHEN 2 THEN 'OCCURRENCE' ELSE 'OCCURRENCE' END AS event_temporal_type,
-         CASE i WHEN 2 THEN '2023-06-1' || (block_id % 10) ELSE dd END AS start_time, dd || 'T13:0' || (s % 10) || ':00' AS observed FROM e
-       UNION ALL SELECT user_id || '_' || block_id || '_e0', substr(first_text, 1, 120), 'OCCURRENCE', dd, dd || 'T13:0' || (s % 10) || ':00' FROM day WHERE FALSE""",
+         CASE i WHEN 2 THEN '2023-06-1' || (block_id % 10) END AS start_time, dd || 'T13:0' || (s % 10) || ':00' AS observed FROM e
+       UNION ALL SELECT user_id || '_' || block_id || '_e0', substr(first_text, 1, 120), 'OCCURRENCE', NULL, dd || 'T13:0' || (s % 10) || ':00' FROM day WHERE FALSE""",
 )
 def l8(spark, d):
     e = bl.explode_events(finished(spark, d))
@@ -188,7 +189,7 @@ def l8(spark, d):
 
 @query(
     "g12_l14_block_envelope",
-    f"""WITH {FIN} SELECT user_id, block_id, CASE WHEN bad THEN dd ELSE dd END AS event_start, CASE WHEN bad THEN dd ELSE '2023-06-1' || (block_id % 10) END AS event_end,
+    f"""WITH {FIN} SELECT user_id, block_id, CASE WHEN bad THEN dd ELSE '2023-06-1' || (block_id % 10) END AS event_start, CASE WHEN bad THEN dd ELSE '2023-06-1' || (block_id % 10) END AS event_end,
          CAST(CASE WHEN bad THEN 0 ELSE 4 END AS INTEGER) AS events_count, CASE WHEN bad THEN FALSE ELSE TRUE END AS enriched FROM day""",
 )
 def g12(spark, d):
@@ -377,7 +378,7 @@ def x14(spark, d):
 
 @query(
     "x5_x24_labels_and_keys",
-    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'user_preferences' WHEN 1 THEN 'music' WHEN 2 THEN 'misc' ELSE 'personal_details' END AS topic,
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'user_preferences' WHEN 1 THEN 'food' WHEN 2 THEN 'misc' ELSE 'personal_details' END AS topic,
          CASE p_partkey % 4 WHEN 0 THEN 'run_' || p_partkey ELSE 'default' END AS run_id, substr(md5(p_name), 1, 12) AS content_key,
          CASE p_partkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'baseline' WHEN 2 THEN 'enhanced' ELSE 'unknown' END AS source,
          CASE p_partkey % 4 WHEN 2 THEN NULL ELSE CAST(p_partkey AS INTEGER) END AS session_no FROM part""",

@@ -169,92 +169,96 @@ SHORT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 SECOND_FORM, DAY_FORM = "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd"
 
 
+# Whole-text forms of written times.
+CHAT_TIME = rf"(?i)^(\d{{1,2}}):(\d{{1,2}}) (AM|PM) on (\d{{1,2}}) ({FULL_OR_SHORT}), (\d{{4}})$"
+CHAT_DAY = rf"(?i)^(\d{{1,2}}) ({FULL_OR_SHORT}), (\d{{4}})$"
+SLASHED_TIME = r"^(\d{4})/(\d{1,2})/(\d{1,2}) (\d{1,2}):(\d{1,2})$"
+SLASHED_DAY = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
+SHORT_TIME = rf"(?i)^({SHORT}) (\d{{1,2}}), (\d{{4}}), (\d{{1,2}}):(\d{{1,2}}):(\d{{1,2}})$"
+SHORT_DAY = rf"(?i)^({SHORT}) (\d{{1,2}}), (\d{{4}})$"
+
+
 def chat_time_iso(text: Column) -> Column:
     """``1:56 pm on 8 May, 2023`` or ``8 May, 2023`` -> ISO text, else null."""
-    s = F.regexp_replace(_strip(text), r"\s+", " ")
-    timed = rf"(?i)^(\d{{1,2}}):(\d{{1,2}}) (AM|PM) on (\d{{1,2}}) ({FULL_OR_SHORT}), (\d{{4}})$"
-    day_only = rf"(?i)^(\d{{1,2}}) ({FULL_OR_SHORT}), (\d{{4}})$"
-    hour = group(s, timed, 1).cast("int")
-    hour24 = F.when(hour.between(1, 12), hour % 12 + F.when(F.upper(group(s, timed, 3)) == "PM", 12).otherwise(0))
-    stamp = F.when(
-        s.rlike(timed),
-        _at(ymd(group(s, timed, 6), month_number(group(s, timed, 5)), group(s, timed, 4)), hour24, group(s, timed, 2), F.lit(0)),
-    )
-    day = F.when(s.rlike(day_only), ymd(group(s, day_only, 3), month_number(group(s, day_only, 2)), group(s, day_only, 1)))
-    return F.coalesce(F.date_format(stamp, SECOND_FORM), F.date_format(day, DAY_FORM))
-
-
-def _slashed(s: Column) -> Column:
+
+    def parse(s: Column) -> Column:
+        part = lambda p, n: F.regexp_extract(s, p, n)
+        hour = part(CHAT_TIME, 1).try_cast("int")
+        hour24 = F.when(hour.between(1, 12), hour % 12 + F.when(F.upper(part(CHAT_TIME, 3)) == "PM", 12).otherwise(0))
+        stamp = _at(ymd(part(CHAT_TIME, 6), month_number(part(CHAT_TIME, 5)), part(CHAT_TIME, 4)), hour24, part(CHAT_TIME, 2), F.lit(0))
+        day = ymd(part(CHAT_DAY, 3), month_number(part(CHAT_DAY, 2)), part(CHAT_DAY, 1))
+        return F.when(s.rlike(CHAT_TIME), F.date_format(stamp, SECOND_FORM)).when(s.rlike(CHAT_DAY), F.date_format(day, DAY_FORM))
+
+    return let(F.regexp_replace(_strip(text), r"\s+", " "), parse)
+
+
+def _slashed(text: Column) -> Column:
     """``2023/05/30 (Tue) 22:40`` or ``2023/05/30`` -> ISO text."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(s, r"\s*\([^)]*\)\s*", " "), r"\s+", " "))
-    timed = r"^(\d{4})/(\d{1,2})/(\d{1,2}) (\d{1,2}):(\d{1,2})$"
-    plain = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
-    part = lambda p, n: group(bare, p, n)
-    stamp = F.when(bare.rlike(timed), _at(ymd(part(timed, 1), part(timed, 2), part(timed, 3)), part(timed, 4), part(timed, 5), F.lit(0)))
-    day = F.when(bare.rlike(plain), ymd(part(plain, 1), part(plain, 2), part(plain, 3)))
-    return F.coalesce(F.date_format(stamp, SECOND_FORM), F.date_format(day, DAY_FORM))
-
-
-def _short_month_stamp(s: Column) -> tuple[Column, Column]:
-    """``Sep 04, 2025, 11:57:31`` and ``Sep 04, 2025`` -> (timestamp, date)."""
-    timed = rf"(?i)^({SHORT}) (\d{{1,2}}), (\d{{4}}), (\d{{1,2}}):(\d{{1,2}}):(\d{{1,2}})$"
-    plain = rf"(?i)^({SHORT}) (\d{{1,2}}), (\d{{4}})$"
-    part = lambda p, n: group(s, p, n)
-    stamp = F.when(
-        s.rlike(timed),
-        _at(ymd(part(timed, 3), month_number(part(timed, 1)), part(timed, 2)), part(timed, 4), part(timed, 5), part(timed, 6)),
-    )
-    return stamp, F.when(s.rlike(plain), ymd(part(plain, 3), month_number(part(plain, 1)), part(plain, 2)))
+
+    def parse(s: Column) -> Column:
+        part = lambda p, n: F.regexp_extract(s, p, n)
+        day = lambda p: ymd(part(p, 1), part(p, 2), part(p, 3))
+        stamp = _at(day(SLASHED_TIME), part(SLASHED_TIME, 4), part(SLASHED_TIME, 5), F.lit(0))
+        return F.when(s.rlike(SLASHED_TIME), F.date_format(stamp, SECOND_FORM)).when(s.rlike(SLASHED_DAY), F.date_format(day(SLASHED_DAY), DAY_FORM))
+
+    return let(F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*\([^)]*\)\s*", " "), r"\s+", " ")), parse)
+
+
+def _short_day(s: Column) -> Column:
+    part = lambda n: F.regexp_extract(s, SHORT_DAY, n)
+    return F.when(s.rlike(SHORT_DAY), ymd(part(3), month_number(part(1)), part(2)))
+
+
+def _short_time(s: Column) -> Column:
+    part = lambda n: F.regexp_extract(s, SHORT_TIME, n)
+    return F.when(s.rlike(SHORT_TIME), _at(ymd(part(3), month_number(part(1)), part(2)), part(4), part(5), part(6)))
 
 
 def iso_if_possible(text: Column) -> Column:
     """ISO text kept, known formats converted, anything else unchanged."""
-    s = _strip(F.coalesce(text, F.lit("")))
-    stamp, day = _short_month_stamp(s)
-    inside = bracket_range(F.concat(F.lit("["), s, F.lit(", "), s, F.lit("] x")))["start"]
-    return F.when((s == "") | (F.lower(s) == "unknown"), F.lit("Unknown")).otherwise(
-        F.coalesce(
-            F.when(s.rlike(r"^.{4}-.{2}-.{2}"), s),
-            chat_time_iso(s),
-            _slashed(s),
-            F.date_format(stamp, SECOND_FORM),
-            F.date_format(day, DAY_FORM),
-            F.date_format(inside, SECOND_FORM),
-            s,
+
+    def convert(s: Column) -> Column:
+        inside = bracket_range(F.concat(F.lit("["), s, F.lit(", "), s, F.lit("] x")))["start"]
+        return F.when((s == "") | (F.lower(s) == "unknown"), F.lit("Unknown")).otherwise(
+            F.coalesce(
+                F.when(s.rlike(r"^.{4}-.{2}-.{2}"), s), chat_time_iso(s), _slashed(s), F.date_format(_short_time(s), SECOND_FORM),
+                F.date_format(_short_day(s), DAY_FORM), F.date_format(inside, SECOND_FORM), s,
+            )
         )
-    )
+
+    return let(_strip(F.coalesce(text, F.lit(""))), convert)
 
 
 # Date spellings looked for inside brackets, in order of preference.
 BRACKET_STAMPS = [
-    r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:?\d{2})?",
-    r"\d{4}-\d{2}-\d{2}",
-    r"[A-Za-z]{3} \d{2}, \d{4}, \d{2}:\d{2}:\d{2}",
-    r"[A-Za-z]{3} \d{2}, \d{4}",
+    r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:?\d{2})?)",
+    r"(\d{4}-\d{2}-\d{2})",
+    r"([A-Za-z]{3} \d{2}, \d{4}, \d{2}:\d{2}:\d{2})",
+    r"([A-Za-z]{3} \d{2}, \d{4})",
 ]
 
 
 def _one_stamp(s: Column) -> Column:
     """ISO (offset -> UTC) or ``Sep 04, 2025[, 09:27:31]`` -> timestamp (session zone UTC)."""
-    compact = F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.when(s.contains("T"), compact).otherwise(s).try_cast("timestamp"))
-    stamp, day = _short_month_stamp(s)
-    return F.coalesce(iso, stamp, day.cast("timestamp"))
+    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.regexp_replace(s, r"(T.*[+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+    return F.coalesce(iso, _short_time(s), _short_day(s).cast("timestamp"))
 
 
 def bracket_range(line: Column) -> Column:
     """``[start, end] text`` -> ``struct(start, end)`` timestamps; one side fills the other."""
     body = F.regexp_replace(_strip(line), r"^\s*[-*]\s+", "")
-    inner = F.regexp_extract(body, r"^\s*\[\s*([^\]]+)\s*\]", 1)
-    found = F.coalesce(
-        *[
-            F.when(F.size(F.regexp_extract_all(inner, F.lit(f"({p})"), 1)) > 0, F.regexp_extract_all(inner, F.lit(f"({p})"), 1))
-            for p in BRACKET_STAMPS
-        ]
-    )
-    first = _one_stamp(F.get(found, F.lit(0)))
-    second = F.when(F.size(found) > 1, _one_stamp(F.get(found, F.lit(1)))).otherwise(first)
-    return F.struct(F.coalesce(first, second).alias("start"), F.coalesce(second, first).alias("end"))
+
+    def ends(t: Column) -> Column:
+        first, second = F.get(t, F.lit(0)), F.get(t, F.lit(1))
+        return F.struct(
+            F.coalesce(first, second).alias("start"), F.when(F.size(t) > 1, F.coalesce(second, first)).otherwise(first).alias("end")
+        )
+
+    def stamps(inner: Column) -> Column:
+        tries = [let(F.regexp_extract_all(inner, F.lit(p), 1), lambda a: F.when(F.size(a) > 0, a)) for p in BRACKET_STAMPS]
+        return let(F.transform(F.slice(F.coalesce(*tries), 1, 2), _one_stamp), ends)
+
+    return let(F.regexp_extract(body, r"^\s*\[\s*([^\]]+)\s*\]", 1), stamps)
 
 
 def granularity(iso: Column) -> Column:
@@ -277,7 +281,12 @@ def question_time(text: Column) -> Column:
 
 def explicit_day(description: Column) -> Column:
     """First ISO date, else first ``Mon DD, YYYY``, as ISO text; else null."""
-    s = F.coalesce(description, F.lit(""))
-    iso = group(s, r"\b(\d{4}-\d{2}-\d{2})\b", 1)
-    named = group(s, r"\b([A-Za-z]{3} \d{2}, \d{4})\b", 1)
-    return F.coalesce(iso, F.when(named.isNotNull(), F.substring_index(iso_if_possible(named), "T", 1)))
+
+    def find(s: Column) -> Column:
+        named = F.regexp_substr(s, F.lit(r"\b[A-Za-z]{3} \d{2}, \d{4}\b"))
+        return F.coalesce(
+            F.regexp_substr(s, F.lit(r"\b\d{4}-\d{2}-\d{2}\b")),
+            let(named, lambda n: F.coalesce(F.date_format(_short_day(n), DAY_FORM), F.substring_index(n, "T", 1))),
+        )
+
+    return let(F.coalesce(description, F.lit("")), find)

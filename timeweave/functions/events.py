@@ -110,9 +110,8 @@ def clock_time(raw: Column, day_end: bool) -> Column:
 
     def convert(s: Column) -> Column:
         at = dt.bracket_range(F.concat(F.lit("["), s, F.lit("] x")))["start"]
-        if day_end:
-            at = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), at + F.expr("INTERVAL '23:59:59' HOUR TO SECOND")).otherwise(at)
-        return F.date_format(at, SECOND)
+        late = F.concat(F.substring(F.date_format(at, SECOND), 1, 10), F.lit("T23:59:59"))
+        return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), late).otherwise(F.date_format(at, SECOND)) if day_end else F.date_format(at, SECOND)
 
     return let(F.regexp_replace(_clean(raw), "^[\"'`]+|[\"'`]+$", ""), convert)
 
@@ -227,18 +226,18 @@ def events_text(descriptions: Column) -> Column:
 
 def time_metadata(description: Column, start: Column, end: Column, observed: Column) -> Column:
     """Explicit date in the text, else the event's own dates, else observation only."""
-    own_start = F.when(~F.coalesce(start, F.lit("")).isin("", "Unknown"), dt.iso_if_possible(start))
-    own_end = F.when(F.coalesce(end, F.lit("")) != "", dt.iso_if_possible(end))
-    usable = own_start.isNotNull() & (own_start != "Unknown")
+    raw = F.array(F.when(~F.coalesce(start, F.lit("")).isin("", "Unknown"), start), F.when(F.coalesce(end, F.lit("")) != "", end))
+    own = F.transform(raw, lambda x: F.when(x.isNotNull(), F.substring_index(dt.iso_if_possible(x), "T", 1)))
 
-    def build(explicit: Column) -> Column:
-        first = F.coalesce(explicit, F.when(usable, F.substring_index(own_start, "T", 1)))
-        last = F.coalesce(explicit, F.when(usable, F.substring_index(F.coalesce(own_end, own_start), "T", 1)))
+    def build(x: Column) -> Column:
+        usable = x["own"][0].isNotNull() & (x["own"][0] != "Unknown")
+        first = F.coalesce(x["explicit"], F.when(usable, x["own"][0]))
+        last = F.coalesce(x["explicit"], F.when(usable, F.coalesce(x["own"][1], x["own"][0])))
         return F.struct(
             observed.alias("observedTime"), first.alias("startTime"), last.alias("endTime"), F.when(first.isNotNull(), "day").alias("granularity")
         )
 
-    return let(dt.explicit_day(description), build)
+    return let(F.struct(dt.explicit_day(description).alias("explicit"), own.alias("own")), build)
 
 
 def clean_labels(labels: Column, k: int) -> Column:

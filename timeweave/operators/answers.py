@@ -53,7 +53,7 @@ def single_answer(df: DataFrame, keys: Sequence[str], pred: str = "pred", gold:
 
 
 def _items(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim)
+    return F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x))
 
 
 def multi_answer(df: DataFrame, keys: Sequence[str], pred: str = "pred", gold: str = "gold", stemmed: bool = True) -> DataFrame:

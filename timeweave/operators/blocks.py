@@ -172,7 +172,7 @@ EXTRACTION = "topic string, keywords string, mentions array<string>, explicit_me
 def unpack_extraction(raw: Column) -> Column:
     """Extraction JSON -> struct(topic, keywords, mentions); bad JSON -> empty."""
     parsed = F.from_json(raw, EXTRACTION)
-    trimmed = lambda arr: F.filter(F.transform(arr, F.trim), lambda x: x != "")
+    trimmed = lambda arr: F.filter(F.transform(arr, lambda x: F.trim(x)), lambda x: x != "")
     listed = F.from_json(parsed["keywords"], "array<string>")
     keywords = F.when(parsed["keywords"].startswith("["), F.array_join(trimmed(listed), ", ")).otherwise(F.trim(parsed["keywords"]))
     mentions = F.coalesce(parsed["mentions"], parsed["explicit_mentions"], F.array().cast("array<string>"))
@@ -213,7 +213,8 @@ def finish(raw_blocks: DataFrame, extraction: str = "extraction", supplied_event
     given = F.col(supplied_events) if supplied_events else events_from_mentions(F.col("_x.mentions"), start, end)
     b = b.withColumn("_events", ev.normalize_events(given, start, end, F.col("_fallback")))
     b = b.withColumn("_events", ev.dedupe_events(F.col("_events"), F.array("topic_kw_text", "_fallback")))
-    b = b.withColumns({"_ss": dt.iso_if_possible(start), "_se": dt.iso_if_possible(F.coalesce(end, start))})
+    b = b.withColumn("_times", F.transform(F.array(start, F.coalesce(end, start)), dt.iso_if_possible))
+    b = b.withColumns({"_ss": F.col("_times")[0], "_se": F.col("_times")[1]})
     observed = F.when(F.col("_se") != "Unknown", F.col("_se")).otherwise(F.col("_ss"))
     name = F.col("persona_name")
     out = F.transform(
