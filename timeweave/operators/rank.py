@@ -82,7 +82,7 @@ def _tile_function(k: int, filtered: bool, decayed: bool, min_score: float | Non
 
     def score_tile(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         columns = ["user_id", "qa_idx", "block_id", "score"]
-        q = q.rename(columns=lambda c: c.removeprefix("q."))
+        q = q.rename(columns=lambda c: c.removeprefix("ask_"))
         if q.empty or b.empty:
             return pd.DataFrame(columns=columns)
         dim = next((len(v) for v in q["embedding"] if v is not None and len(v)), 1)
@@ -158,9 +158,9 @@ def tiled_top_k(
     )
     tile_keys = ["user_id", "_slice", "_batch"]
     # fresh column names, so that a table can be ranked against itself
-    q = q.toDF(*[f"q.{c}" for c in q.columns])
+    q = q.toDF(*[f"ask_{c}" for c in q.columns])
     partial = (
-        q.groupBy(*[F.col(f"`q.{c}`") for c in tile_keys])
+        q.groupBy(*[f"ask_{c}" for c in tile_keys])
         .cogroup(b.groupBy(*tile_keys))
         .applyInPandas(_tile_function(k, filtered, decayed, min_score, earlier_only), out)
     )

@@ -19,6 +19,7 @@ STATE_SCHEMA = T.StructType(
         T.StructField("end_idx", T.IntegerType()), T.StructField("messages", T.IntegerType()),
     ]
 )
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LINE_SCHEMA = T.StructType([T.StructField("line", T.StringType())])
 
 
@@ -84,7 +85,12 @@ class BlockSegmenter(StatefulProcessor):
 
 def segment_stream(messages: DataFrame, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Streaming blocks.  ``messages(user_id, session_order, session_id, msg_idx,
-    role, text, split, msg_ts)``; rows later than the watermark are dropped."""
+    role, text, split, msg_ts)``; rows later than the watermark are dropped.
+
+    Several state variables per key need the RocksDB state store, which is chosen
+    for the session here.
+    """
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     keyed = messages.withWatermark("msg_ts", late).withColumn("ts_ms", F.unix_millis("msg_ts"))
     return keyed.groupBy("user_id").transformWithStateInPandas(
