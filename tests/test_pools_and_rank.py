@@ -97,7 +97,7 @@ def test_top_k_with_a_third_of_the_rows_identical(spark):
 
 def test_pool_join_keeps_every_pair_once_under_skew(spark):
     b, q, blocks, asks = make_tables(spark)
-    pairs = pool_join(q.select("user_id", "qa_idx"), b.select("user_id", "block_id"), rows_per_slice=10)
+    pairs = pool_join(q.select("user_id", "qa_idx"), b.select("user_id", "block_id"), rows_per_slice=10, rows_per_batch=4)
     want = {(a[0], a[1], x[1]) for a in asks for x in blocks if a[0] == x[0]}
     got = [(r.user_id, r.qa_idx, r.block_id) for r in pairs.collect()]
     assert len(got) == len(want) and set(got) == want
@@ -139,6 +139,10 @@ def test_overlap_join_equals_theta_join(spark):
     for width in (1, 20, 500):
         got = [(r.i, r.j) for r in overlap_join(left, right, ("s", "e"), ("s2", "e2"), ["k"], width).collect()]
         assert len(got) == len(want) and set(got) == want
+    far = left.withColumn("e", F.when(F.col("i") % 2 == 0, F.lit("9999-12-31").cast("date")).otherwise(F.col("e")))
+    plain = {(r.i, r.j) for r in overlap_join(far, right, ("s", "e"), ("s2", "e2"), ["k"], 365).collect()}
+    clipped = [(r.i, r.j) for r in overlap_join(far, right, ("s", "e"), ("s2", "e2"), ["k"], 7, clip=True).collect()]
+    assert len(clipped) == len(plain) and set(clipped) == plain
 
 
 def test_positions_and_quantiles(spark):

@@ -25,23 +25,31 @@ def overlap_join(
     right_iv: tuple[str, str],
     keys: Sequence[str] = (),
     bucket_days: int = 30,
+    clip: bool = False,
 ) -> DataFrame:
     """All pairs whose closed date intervals overlap, on equal ``keys`` if given.
 
     Rows with a missing bound are on no axis and drop out.  Intervals much
     longer than ``bucket_days`` touch many buckets: choose the bucket near the
-    typical length of the longer side.
+    typical length of the longer side.  ``clip`` bounds the buckets of a row by
+    the date range of the other side (a one-row aggregate), which keeps open-ended
+    intervals small without changing the result.
     """
 
-    def spread(df: DataFrame, iv: tuple[str, str], first: str) -> DataFrame:
+    def spread(df: DataFrame, iv: tuple[str, str], first: str, other: tuple[DataFrame, tuple[str, str]] | None) -> DataFrame:
         lo, hi = F.least(*iv), F.greatest(*iv)
         known = df.filter(F.col(iv[0]).isNotNull() & F.col(iv[1]).isNotNull())
+        if other is not None:
+            o_lo, o_hi = F.least(*other[1]), F.greatest(*other[1])
+            span = other[0].agg(F.min(o_lo).alias("_o_lo"), F.max(o_hi).alias("_o_hi")).withColumn("_one", F.lit(1))
+            known = known.withColumn("_one", F.lit(1)).join(F.broadcast(span), "_one").filter((lo <= F.col("_o_hi")) & (hi >= F.col("_o_lo")))
+            lo, hi = F.greatest(lo, F.col("_o_lo")), F.least(hi, F.col("_o_hi"))
         return known.withColumn(first, bucket_of(lo, bucket_days)).withColumn(
             "_bucket", F.explode(F.sequence(F.col(first), bucket_of(hi, bucket_days)))
-        )
+        ).drop("_one", "_o_lo", "_o_hi")
 
-    a = spread(left, left_iv, "_first_l")
-    b = spread(right, right_iv, "_first_r")
+    a = spread(left, left_iv, "_first_l", (right, right_iv) if clip else None)
+    b = spread(right, right_iv, "_first_r", (left, left_iv) if clip else None)
     joined = a.join(b, [*keys, "_bucket"])
     first_shared = F.col("_bucket") == F.greatest("_first_l", "_first_r")
     lo_l, hi_l = F.least(*left_iv), F.greatest(*left_iv)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from timeweave.session import cut_lineage
 
 ROWS_PER_SLICE = 50_000
+ROWS_PER_BATCH = 5_000
 
 
 def slice_counts(df: DataFrame, key: Sequence[str], rows_per_slice: int, name: str = "n_slices") -> DataFrame:
@@ -49,16 +50,20 @@ def slice_probe_side(df: DataFrame, hot: DataFrame, key: Sequence[str], slice_co
 
 
 def pool_join(probe: DataFrame, build: DataFrame, key: Sequence[str] = ("user_id",), spread_by: Sequence[str] = ("block_id",),
-              rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+              rows_per_slice: int = ROWS_PER_SLICE, batch_by: Sequence[str] = ("qa_idx",), rows_per_batch: int = ROWS_PER_BATCH) -> DataFrame:
     """Inner join question -> pool on ``key`` that stays balanced under hot keys.
 
-    Each output pair appears once: a build row lives in one slice only.  The
-    pairs are meant to be reduced in the same stage (count, top-k, filter).
+    A hot key is tiled on both sides: its pool into slices, its questions into
+    batches, one (slice, batch) tile per join key.  Each output pair appears once,
+    since a row owns one slice or batch and is replicated along the other axis
+    only.  The pairs are meant to be reduced in the same stage (count, top-k,
+    filter).
     """
     hot = slice_counts(build, key, rows_per_slice)
-    left = slice_probe_side(probe, hot, key)
-    right = slice_build_side(build, hot, key, spread_by)
-    return left.join(right, [*key, "_slice"]).drop("_slice")
+    busy = slice_counts(probe, key, rows_per_batch, "n_batches")
+    left = slice_probe_side(slice_build_side(probe, busy, key, batch_by, "_batch", "n_batches"), hot, key)
+    right = slice_probe_side(slice_build_side(build, hot, key, spread_by), busy, key, "_batch", "n_batches")
+    return left.join(right, [*key, "_slice", "_batch"]).drop("_slice", "_batch")
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:

@@ -75,11 +75,11 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
 
 
-def intent_of(text: Column) -> Column:
+def intent_of(text: Column, phrases_by_intent: dict[str, list[str]] = INTENT_PHRASES) -> Column:
     """First intent, in list order, one of whose phrases occurs."""
     low = F.lower(text)
     expr = F.lit("MISC")
-    for name, phrases in reversed(list(INTENT_PHRASES.items())):
+    for name, phrases in reversed(list(phrases_by_intent.items())):
         hit = low.contains(phrases[0])
         for phrase in phrases[1:]:
             hit = hit | low.contains(phrase)
