@@ -228,7 +228,7 @@ def l10(spark, d):
 
 @query(
     "l19_clean_labels",
-    """SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS n, CASE WHEN event_id % 3 = 0 THEN 'misc' ELSE 'travel' END AS label, CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 1.0 END AS confidence FROM events""",
+    """SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS n, CASE WHEN event_id % 3 = 0 THEN 'misc' ELSE 'travel' END AS label, CAST(CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS confidence FROM events""",
 )
 def l19(spark, d):
     lab = lambda a, c: F.struct(F.lit(a).alias("label"), F.lit(c).cast("double").alias("confidence"))

@@ -466,7 +466,7 @@ def c21(spark, d):
 
 @query(
     "f5_event_type_score",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 1.0 WHEN o_orderkey % 3 = 0 THEN CASE o_orderkey % 4 WHEN 0 THEN 1.0 ELSE 0.7 END WHEN o_orderkey % 3 = 1 THEN CASE o_orderkey % 4 WHEN 1 THEN 1.0 ELSE 0.85 END ELSE 0.7 END AS score FROM orders""",
+    """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 = 3 THEN 1.0 WHEN o_orderkey % 3 = 0 THEN CASE o_orderkey % 4 WHEN 0 THEN 1.0 ELSE 0.7 END WHEN o_orderkey % 3 = 1 THEN CASE o_orderkey % 4 WHEN 1 THEN 1.0 ELSE 0.85 END ELSE 0.7 END AS DOUBLE) AS score FROM orders""",
 )
 def f5(spark, d):
     k = F.col("o_orderkey")
@@ -474,7 +474,7 @@ def f5(spark, d):
     intent = F.element_at(F.array(F.lit("WINDOW"), F.lit("AS_OF"), F.lit("STATIC"), F.lit("PLANNING")), (k % 4 + 1).cast("int"))
     from timeweave.plans.annotate import target_types
 
-    return table(spark, d, "orders").select("o_orderkey", event_type_score(have, target_types(intent), intent).cast("decimal(4,2)").cast("double").alias("score"))
+    return table(spark, d, "orders").select("o_orderkey", event_type_score(have, target_types(intent), intent).alias("score"))
 
 
 @query("b4_user_remap", "SELECT event_id, event_type || CASE WHEN event_type = 'error' THEN '' ELSE '_' || (user_id % 3) END AS user_id FROM events WHERE event_type <> 'error' OR user_id % 3 = 0")

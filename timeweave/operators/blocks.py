@@ -88,11 +88,6 @@ def is_split(decision: Column) -> Column:
     return ~F.lower(F.coalesce(decision, F.lit(""))).contains("yes")
 
 
-def _carried(summary: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return summary.withColumn(name, value.over(before))
-
-
 def segment(messages: DataFrame, split: Column, chunk: int = CHUNK) -> DataFrame:
     """Add ``block_no`` (1-based per user) and ``opens``.
 
@@ -100,29 +95,39 @@ def segment(messages: DataFrame, split: Column, chunk: int = CHUNK) -> DataFrame
     and the open block already holds two messages.  Equivalently: in a run of
     consecutive messages that start a session or ask for a split, the 1st, 3rd,
     5th ... open a block.
+
+    Within a chunk everything but the leading run is settled locally.  One summary
+    row per chunk gives the run length and the block count carried into the next
+    one, so the messages are read twice and shuffled once by (session, chunk).
     """
     part = [*SESSION, "_chunk"]
     rows = messages.withColumn("_split", split).withColumn("_chunk", F.floor((F.col("msg_idx") - 1) / chunk).cast("int"))
-    within = Window.partitionBy(*part).orderBy("msg_idx")
-    rows = rows.withColumn("_row", F.row_number().over(within))
-    sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
-    sizes = _carried(sizes, SESSION, ["_chunk"], F.sum("_size"), "_skip").select(*part, F.coalesce("_skip", F.lit(0)).alias("_skip"))
-    rows = rows.join(sizes, part).withColumn("_at", F.col("_row") + F.col("_skip"))
-    rows = rows.withColumn("_flag", F.col("_split") | (F.col("_at") == 1))
-    seen = Window.partitionBy(*part).orderBy("msg_idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_calm", F.max(F.when(~F.col("_flag"), F.col("_at"))).over(seen))
-    calm = rows.groupBy(*part).agg(F.max("_calm").alias("_last"))
-    calm = _carried(calm, SESSION, ["_chunk"], F.max("_last"), "_before").select(*part, F.coalesce("_before", F.lit(0)).alias("_before"))
-    rows = rows.join(calm, part)
-    run = F.col("_at") - F.coalesce("_calm", "_before")
-    rows = rows.withColumn("opens", F.col("_flag") & (run % 2 == 1))
-    opened = rows.groupBy(*part).agg(F.count_if("opens").alias("_n"))
-    opened = _carried(opened, ["user_id"], ["session_order", "_chunk"], F.sum("_n"), "_done").select(*part, F.coalesce("_done", F.lit(0)).alias("_done"))
-    rows = rows.join(opened, part)
-    inside = F.sum(F.col("opens").cast("int")).over(seen)
-    return rows.withColumn("block_no", (inside + F.col("_done")).cast("bigint")).drop(
-        "_split", "_chunk", "_row", "_skip", "_at", "_flag", "_calm", "_before", "_done"
+    ordered = Window.partitionBy(*part).orderBy("msg_idx")
+    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_row", F.row_number().over(ordered))
+    rows = rows.withColumn("_flag", F.col("_split") | ((F.col("_chunk") == 0) & (F.col("_row") == 1)))
+    rows = rows.withColumn("_calm", F.max(F.when(~F.col("_flag"), F.col("_row"))).over(running))
+
+    odd = lambda n: n % 2 == 1
+    local = F.col("_flag") & F.col("_calm").isNotNull() & odd(F.col("_row") - F.col("_calm"))
+    summary = rows.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("_size"), F.max("_calm").alias("_last"), F.count_if(F.col("_calm").isNull()).alias("_lead"), F.count_if(local).alias("_own")
     )
+    in_session = Window.partitionBy(*SESSION).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    in_user = Window.partitionBy("user_id").orderBy("session_order", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("_skip", F.coalesce(F.sum("_size").over(in_session), F.lit(0)))
+    calm_before = F.coalesce(F.max(F.col("_skip") + F.col("_last")).over(in_session), F.lit(0))
+    summary = summary.withColumn("_carry", F.col("_skip") - calm_before)
+    half = lambda n: F.floor((n + 1) / 2)  # noqa: E731  odd numbers in 1..n
+    opened = F.col("_own") + half(F.col("_carry") + F.col("_lead")) - half(F.col("_carry"))
+    done = F.coalesce(F.sum("_opened").over(in_user), F.lit(0))
+    summary = summary.withColumn("_opened", opened).withColumn("_done", done).select(*part, "_carry", "_done")
+
+    rows = rows.join(summary, part)
+    run = F.when(F.col("_calm").isNull(), F.col("_carry") + F.col("_row")).otherwise(F.col("_row") - F.col("_calm"))
+    rows = rows.withColumn("opens", F.col("_flag") & odd(run))
+    block_no = F.sum(F.col("opens").cast("int")).over(running) + F.col("_done")
+    return rows.withColumn("block_no", block_no.cast("bigint")).drop("_split", "_chunk", "_row", "_flag", "_calm", "_carry", "_done")
 
 
 def split_context(messages: DataFrame, n: int = 2, chunk: int = CHUNK) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.operators.skew import slice_build_side, slice_counts
+
 
 def append_jsonl(df: DataFrame, path: str) -> None:
     """Append rows; parallel tasks write their own part files, so no merge step."""
@@ -15,13 +17,14 @@ def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def write_blocks(df: DataFrame, path: str, buckets: int = 256, mode: str = "append") -> None:
+def write_blocks(df: DataFrame, path: str, buckets: int = 256, mode: str = "append", rows_per_task: int = 1_000_000) -> None:
     """Blocks laid out by a hash of the user, so that reads of a few users prune
-    files.  A bucket column keeps the folder count fixed however many users exist,
-    and the block hash splits a user that outgrows one file."""
+    files.  A bucket column keeps the folder count fixed however many users exist;
+    buckets beyond ``rows_per_task`` (a hot user) are written by several tasks."""
     spread = df.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
-    part = F.pmod(F.xxhash64("block_id"), F.lit(8))
-    spread.repartition("user_bucket", part).write.mode(mode).partitionBy("user_bucket").parquet(path)
+    hot = slice_counts(spread, ["user_bucket"], rows_per_task)
+    sliced = slice_build_side(spread, hot, ["user_bucket"], ["block_id"])
+    sliced.repartition("user_bucket", "_slice").drop("_slice").write.mode(mode).partitionBy("user_bucket").parquet(path)
 
 
 def ranking_rows(ranked: DataFrame) -> DataFrame:

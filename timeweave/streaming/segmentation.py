@@ -43,20 +43,22 @@ class BlockSegmenter(StatefulProcessor):
             return
         batch = pd.concat(frames).sort_values(["session_order", "msg_idx"])
         block, sealed = (self.open.get() if self.open.exists() else None), []
-        number = int(block[0]) if block else 0
-        session, start, end, count = (block[1], block[2], block[3], block[4]) if block else (None, 0, 0, 0)
-        lines = [r[0] for r in self.lines.get()] if count else []
+        number, session, start, end, count = block if block else (0, None, 0, 0, 0)
+        fresh: list[str] = []  # lines of the open block that are not in the state yet
         for m in batch.itertuples(index=False):
             changed = count > 0 and m.session_id != session
             if changed or (count >= 2 and bool(m.split)):
-                sealed.append(self._row(user, number, session, start, end, lines, "session" if changed else "split"))
-                count, lines = 0, []
+                stored = [r[0] for r in self.lines.get()] if not sealed and self.lines.exists() else []
+                sealed.append(self._row(user, number, session, start, end, stored + fresh, "session" if changed else "split"))
+                count, fresh = 0, []
             if count == 0:
-                number, session, start = number + 1, m.session_id, int(m.msg_idx)
-            end, count = int(m.msg_idx), count + 1
-            lines.append(f"{m.role}: {m.text}")
-        self.open.update((number, session, start, end, count))
-        self.lines.put([(line,) for line in lines])
+                number, session, start = int(number) + 1, m.session_id, int(m.msg_idx)
+            end, count = int(m.msg_idx), int(count) + 1
+            fresh.append(f"{m.role}: {m.text}")
+        self.open.update((int(number), session, int(start), int(end), int(count)))
+        if sealed:
+            self.lines.clear()
+        self.lines.appendList([(line,) for line in fresh])
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         latest = int(batch["ts_ms"].max())
