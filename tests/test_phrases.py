@@ -95,3 +95,22 @@ def test_expression_goldens(spark, observed, expression, start, end):
     r = df.select(resolve_expression(F.col("o"), F.col("e")).alias("r")).first()["r"]
     assert (str(r["start_date"]), str(r["end_date"])) == (start, end)
     assert r["unresolved"] == (expression == "someday")
+
+
+def test_written_times_do_not_depend_on_the_session_zone(spark):
+    from timeweave.functions.dates import bracket_range, iso_day, iso_if_possible
+
+    df = spark.createDataFrame([("[2024-03-01T00:30:00+0200, 2024-03-02T10:00:00]",), ("[Sep 04, 2025, 09:27:31]",), ("nothing",)], "line string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            span = bracket_range(F.col("line"))
+            got = [tuple(r) for r in df.select(*[F.date_format(span[c], "yyyy-MM-dd HH:mm:ss") for c in ("start", "end")]).collect()]
+            assert got == [("2024-02-29 22:30:00", "2024-03-02 10:00:00"), ("2025-09-04 09:27:31",) * 2, (None, None)], zone
+            row = df.limit(1).select(
+                iso_if_possible(F.lit("1:56 pm on 8 May, 2023")).alias("a"), iso_day(F.lit("2023-05-08T23:30:00-05:00")).cast("string").alias("b")
+            ).first()
+            assert (row["a"], row["b"]) == ("2023-05-08T13:56:00", "2023-05-08")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

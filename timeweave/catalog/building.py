@@ -410,3 +410,43 @@ def x18(spark, d):
         tx.fact_text(F.col("s_name"), F.when(even, F.lit("located_in")), F.lit("x")).alias("fact"),
         tx.time_meta(F.when(even, F.lit("2024-01-01")), F.when(even, F.lit("2024-01-02")), F.lit("2024-02-01"), null, F.when(even, F.lit("text"))).alias("meta"),
     )
+
+
+@query(
+    "x13_question_times",
+    """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) + to_minutes(CAST(o_orderkey % 60 AS INTEGER)) END AS asked FROM orders""",
+)
+def x13(spark, d):
+    k = F.col("o_orderkey")
+    clock = F.concat(F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"))
+    text = F.when(k % 4 == 3, F.concat(F.lit("2023/13/01 (Tue) "), clock)).otherwise(F.concat(F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit(" (Tue) "), clock))
+    return table(spark, d, "orders").select(k.alias("k"), dt.question_time(text).cast("timestamp_ntz").alias("asked"))
+
+
+@query(
+    "x15_x17_numbers_and_explicit_days",
+    """SELECT o_orderkey AS k, CAST(CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 12 WHEN 3 THEN o_custkey ELSE NULL END AS INTEGER) AS n,
+         CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE NULL END AS day FROM orders""",
+)
+def x15(spark, d):
+    k = F.col("o_orderkey")
+    token = F.element_at(F.array(F.lit("An"), F.lit("few"), F.lit("TWELVE"), F.col("o_custkey").cast("string"), F.lit("many")), (k % 5 + 1).cast("int"))
+    text = F.element_at(
+        F.array(
+            F.concat(F.lit("met on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(", again Jan 02, 2001")),
+            F.concat(F.lit("met on "), F.date_format("o_orderdate", "MMM dd, yyyy"), F.lit(".")), F.lit("met in 1999"),
+        ),
+        (k % 3 + 1).cast("int"),
+    )
+    return table(spark, d, "orders").select(k.alias("k"), dt.number_word(token).alias("n"), dt.explicit_day(text).alias("day"))
+
+
+@query(
+    "j10_event_block_map",
+    f"WITH {FIN} SELECT user_id || '_' || block_id || '_e0' AS event_id, user_id, block_id FROM day WHERE NOT bad",
+)
+def j10(spark, d):
+    b = finished(spark, d)
+    lookup = bl.explode_events(b).select("event_id", "user_id", "block_id")
+    wanted = bl.explode_events(b).filter("event_no = 0 and event_temporal_type = 'OCCURRENCE'").filter(F.col("description").contains(" bought ticket ")).select("event_id")
+    return wanted.join(lookup, "event_id").select("event_id", "user_id", "block_id")

@@ -239,9 +239,15 @@ BRACKET_STAMPS = [
 
 
 def _one_stamp(s: Column) -> Column:
-    """ISO (offset -> UTC) or ``Sep 04, 2025[, 09:27:31]`` -> timestamp (session zone UTC)."""
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.regexp_replace(s, r"(T.*[+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
-    return F.coalesce(iso, _short_time(s), _short_day(s).cast("timestamp"))
+    """ISO or ``Sep 04, 2025[, 09:27:31]`` -> timestamp that reads as written; a
+    zone offset is turned into UTC first, whatever the session zone is."""
+
+    def iso(x: Column) -> Column:
+        at = x.try_cast("timestamp")
+        return F.when(x.rlike(r"T.*(?:Z|[+-]\d{2}:\d{2})$"), F.to_utc_timestamp(at, F.current_timezone())).otherwise(at)
+
+    written = let(F.regexp_replace(s, r"(T.*[+-]\d{2})(\d{2})$", "$1:$2"), iso)
+    return F.coalesce(F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), written), _short_time(s), _short_day(s).cast("timestamp"))
 
 
 def bracket_range(line: Column) -> Column:
