@@ -15,13 +15,11 @@ from timeweave.plans.annotate import (
     annotate,
     clause_from_keyword,
     fuzzy_buffer,
-    inferred_axis,
     intent_of,
     normal_axis,
     promoted_intent,
     remove_clause,
     resolve_expression,
-    target_types,
 )
 
 BASE = "2001-12-31"
