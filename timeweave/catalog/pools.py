@@ -10,7 +10,7 @@ from timeweave.functions.vectors import cosine
 from timeweave.operators import pools, rank
 from timeweave.operators import temporal as tp
 from timeweave.operators.skew import pool_join
-from timeweave.plans.retrieval import retrieve
+from timeweave.plans.retrieval import retrieve, score_pool
 
 PAIR_COLS = ["user_id", "qa_idx", "block_id"]
 
@@ -298,14 +298,7 @@ def s4(spark, d):
        SELECT user_id, qa_idx, block_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY user_id, qa_idx ORDER BY s DESC, block_id) AS INTEGER) AS rank FROM kept""",
 )
 def f1(spark, d):
-    q, b = questions(spark, d), blocks(spark, d)
-    decided = pools.decide_pool(q.drop("embedding"), b).select("user_id", "qa_idx", "pool_mode")
-    v = pools.axis_verdicts(q, b).join(decided, ["user_id", "qa_idx"])
-    kept = v.filter(pools.in_pool(F.col("pool_mode"), F.col("ok_event"), F.col("ok_session"))).select(*PAIR_COLS)
-    scored = kept.join(b.select("user_id", "block_id", F.col("embedding").alias("bv")), ["user_id", "block_id"]).join(
-        q.select("user_id", "qa_idx", F.col("embedding").alias("qv")), ["user_id", "qa_idx"]
-    )
-    pairs = scored.select(*PAIR_COLS, cosine(F.col("qv"), F.col("bv")).alias("score"))
+    pairs = score_pool(questions(spark, d), blocks(spark, d))
     return rank.rank_full(pairs).select(*PAIR_COLS, F.round("score", 6).alias("score"), "rank")
 
 

@@ -18,7 +18,7 @@ PER_Q = """ng AS (SELECT user_id, qa_idx, count(DISTINCT block_id) AS n_gold FRO
      CASE WHEN n_gold IS NOT NULL THEN CASE WHEN coalesce(n_found, 0) = n_gold THEN n_gold / l ELSE 0.0 END END AS complete_mrr,
      CASE WHEN n_gold IS NOT NULL THEN CASE WHEN coalesce(n_found, 0) > 0 THEN 1 ELSE 0 END END AS hit,
      coalesce(n_found, 0) / n_gold AS recall FROM qry q LEFT JOIN ng USING (user_id, qa_idx) LEFT JOIN fd USING (user_id, qa_idx))"""
-# gold of a question: the three nearest ids that share its remainder, so complete coverage occurs
+# gold of a question: ids within 200 that share its remainder; every tenth question has none, to show both denominators
 NEAR_GOLD = """gold AS (SELECT q.user_id, q.qa_idx, b.block_id FROM qry q JOIN blk b ON q.user_id = b.user_id AND q.qa_idx % 7 = b.block_id % 7
   AND abs(q.qa_idx - b.block_id) <= 200 AND q.qa_idx % 10 <> 3)"""
 

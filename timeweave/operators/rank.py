@@ -77,8 +77,8 @@ def _decay_matrix(q: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return np.where(np.isnan(delta), 1.0, weight)
 
 
-def _tile_function(k: int, filtered: bool, decayed: bool, min_score: float | None, before: bool):
-    """Score one (user, slice, batch) tile and emit the ``k`` best per question."""
+def _tile_function(k: int | None, filtered: bool, decayed: bool, min_score: float | None, before: bool):
+    """Score one (user, slice, batch) tile; emit the ``k`` best per question, or all."""
 
     def score_tile(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         columns = ["user_id", "qa_idx", "block_id", "score"]
@@ -103,7 +103,7 @@ def _tile_function(k: int, filtered: bool, decayed: bool, min_score: float | Non
         rows, cols = [], []
         for i in range(len(q)):
             alive = np.flatnonzero(keep[i])
-            if len(alive) > k:
+            if k is not None and len(alive) > k:
                 # all rows that tie with the k-th score stay in, then cut by id
                 floor = np.partition(score[i, alive], len(alive) - k)[len(alive) - k]
                 alive = alive[score[i, alive] >= floor]
@@ -119,10 +119,17 @@ def _tile_function(k: int, filtered: bool, decayed: bool, min_score: float | Non
     return score_tile
 
 
-def tiled_top_k(
+def tiled_top_k(questions: DataFrame, blocks: DataFrame, k: int, **options) -> DataFrame:
+    """Exact top-``k`` blocks per question by cosine, ties by ``block_id`` ->
+    ``(user_id, qa_idx, block_id, score, rank)``.  Options as in :func:`tiled_scores`."""
+    partial = tiled_scores(questions, blocks, k, **options)
+    return top_k(partial, ["user_id", "qa_idx"], [F.desc("score"), F.asc("block_id")], k)
+
+
+def tiled_scores(
     questions: DataFrame,
     blocks: DataFrame,
-    k: int,
+    k: int | None = None,
     filtered: bool = False,
     decayed: bool = False,
     min_score: float | None = None,
@@ -130,12 +137,14 @@ def tiled_top_k(
     blocks_per_tile: int = BLOCKS_PER_TILE,
     questions_per_tile: int = QUESTIONS_PER_TILE,
 ) -> DataFrame:
-    """Exact top-``k`` blocks per question by cosine, ties by ``block_id``.
+    """Scores per (question, block): the ``k`` best of every tile, or every
+    surviving pair when ``k`` is None (for full rankings; vectors are not shuffled
+    per pair).
 
     ``questions(user_id, qa_idx, embedding[, bounds, pool_mode, decay_day,
     late_penalty, seq])`` against ``blocks(user_id, block_id, embedding[, axis
-    days, b_day, seq])``.  Returns ``(user_id, qa_idx, block_id, score, rank)``.
-    ``earlier_only`` keeps pairs whose block was inserted before the question row.
+    days, b_day, seq])``.  ``earlier_only`` keeps pairs whose block was inserted
+    before the question row.
     """
     q_extra = (BOUND_COLS + ["pool_mode"] if filtered else []) + (["decay_day", "late_penalty"] if decayed else [])
     b_extra = (AXIS_COLS if filtered else []) + (["b_day"] if decayed else [])
@@ -159,12 +168,11 @@ def tiled_top_k(
     tile_keys = ["user_id", "_slice", "_batch"]
     # fresh column names, so that a table can be ranked against itself
     q = q.toDF(*[f"ask_{c}" for c in q.columns])
-    partial = (
+    return (
         q.groupBy(*[f"ask_{c}" for c in tile_keys])
         .cogroup(b.groupBy(*tile_keys))
         .applyInPandas(_tile_function(k, filtered, decayed, min_score, earlier_only), out)
     )
-    return top_k(partial, ["user_id", "qa_idx"], [F.desc("score"), F.asc("block_id")], k)
 
 
 def rank_in_pool(pairs: DataFrame, score: str = "score", k: int | None = None) -> DataFrame:

@@ -19,9 +19,7 @@ def retrieve(questions: DataFrame, blocks: DataFrame, k: int = 5, mode: str = "f
     config = rank.RUN_MODES[mode]
     q = questions
     if config["time"]:
-        decision = pools.decide_pool(q.drop("embedding"), blocks, rule, axis_mode).select("user_id", "qa_idx", "pool_mode")
-        q = pools.with_bounds(q).join(decision, ["user_id", "qa_idx"])
-        blocks = pools.with_axis_days(blocks)
+        q, blocks = _with_decision(q, blocks, rule, axis_mode)
     if decay:
         query_day = F.col("tc_start")
         applies = rank.decay_applies(mode, F.col("intent"), F.col("tc_type"), query_day)
@@ -30,3 +28,15 @@ def retrieve(questions: DataFrame, blocks: DataFrame, k: int = 5, mode: str = "f
         )
         blocks = blocks.withColumn("b_day", F.unix_date(F.coalesce("session_end", "session_start")))
     return rank.tiled_top_k(q, blocks, k, filtered=config["time"], decayed=decay)
+
+
+def score_pool(questions: DataFrame, blocks: DataFrame, rule: str = "empty", axis_mode: str = "auto") -> DataFrame:
+    """Score of every block in each question's decided pool (full order: see
+    :func:`timeweave.operators.rank.rank_full`)."""
+    q, b = _with_decision(questions, blocks, rule, axis_mode)
+    return rank.tiled_scores(q, b, filtered=True)
+
+
+def _with_decision(questions: DataFrame, blocks: DataFrame, rule: str, axis_mode: str) -> tuple[DataFrame, DataFrame]:
+    decision = pools.decide_pool(questions.drop("embedding"), blocks, rule, axis_mode).select("user_id", "qa_idx", "pool_mode")
+    return pools.with_bounds(questions).join(decision, ["user_id", "qa_idx"]), pools.with_axis_days(blocks)
