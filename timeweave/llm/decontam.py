@@ -35,6 +35,8 @@ from timeweave.llm.store import written
 from timeweave.llm.texts import ALNUM, LOWER, sliced_words
 
 WINDOW = 13
+#: Unused positions between texts of a segment, so that no window reaches from one text into the next.
+GAP = 64
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,8 @@ class Search:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(segment, ids, keys, first, terms, lists, positions): segments of the positional index, stored in the shared folder.
-    ``keys`` are hashes of the texts, ``first`` the number of each text's first word in its segment."""
+    ``keys`` are hashes of the texts, ``first`` the number of each text's first word in its segment; positions count words, and
+    ``GAP`` more after each text."""
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     schema = f"segment long, ids array<{source.schema['id'].dataType.simpleString()}>, keys array<long>, first binary, terms binary, lists binary, positions binary"
 
@@ -59,9 +62,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         for batch in batches:
             for at, to, found in sliced_words(batch.column(2), ALNUM, LOWER):
                 order = np.argsort(found.hashes, kind="stable")
+                gapped = (np.arange(len(found.hashes)) + found.owner * GAP).astype(np.int32)
                 terms, lists = np.unique(found.hashes[order], return_index=True)
                 lists = np.append(lists, len(order))
-                blobs = (found.first.astype(np.int64), terms, lists.astype(np.int64), order.astype(np.int32))
+                blobs = (found.first.astype(np.int64), terms, lists.astype(np.int64), gapped[order])
                 ids, keys = (pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), batch.column(c).slice(at, to - at)) for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array([number]), ids, keys, *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["segment", "ids", "keys", "first", "terms", "lists", "positions"])
                 number += 1
@@ -144,6 +148,8 @@ def span_words(spans: pd.Series) -> pd.Series:
 
 def search_block(index: DataFrame, part: pd.DataFrame, options: Search) -> DataFrame:
     """Matches of one block of items in all segments."""
+    if options.window + options.slop >= GAP:
+        raise ValueError(f"window and slop must stay below {GAP}")
     spark = index.sparkSession
     merged: dict[str, list[np.ndarray]] = {}
     for item, words in zip(part["item"], part["words"], strict=True):
@@ -159,14 +165,16 @@ def search_block(index: DataFrame, part: pd.DataFrame, options: Search) -> DataF
     sizes = list_sizes(index, terms)
     place = np.where(used, np.searchsorted(terms, windows), 0)
     rarity = np.where(used, sizes[place] if len(terms) else 0, np.iinfo(np.int64).max)
+    rarity = np.where(rarity == 0, np.iinfo(np.int64).max, rarity)  # tokens that no text has come last
     order = np.argsort(rarity, axis=1, kind="stable")
+    occurs = (used & (rarity < np.iinfo(np.int64).max)).sum(axis=1)
     by_window = np.argsort(pairs[:, 1], kind="stable")
-    query = spark.sparkContext.broadcast((terms, place, used, order, lengths, pairs[by_window, 0], np.searchsorted(pairs[by_window, 1], np.arange(len(windows) + 1)), names))
+    query = spark.sparkContext.broadcast((terms, place, used, order, lengths, occurs, pairs[by_window, 0], np.searchsorted(pairs[by_window, 1], np.arange(len(windows) + 1)), names))
     id_type = index.schema["ids"].dataType.elementType.simpleString()
     near_terms, slop = options.near_terms, options.slop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, place, used, order, lengths, owners, owned, names = query.value
+        terms, place, used, order, lengths, occurs, owners, owned, names = query.value
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, keys = batch.column(1)[row].values, batch.column(2)[row].values
@@ -181,37 +189,38 @@ def search_block(index: DataFrame, part: pd.DataFrame, options: Search) -> DataF
                     list_no = at[place[window, k]]
                     return positions[lists[list_no] : lists[list_no + 1]], k
 
-                edge = np.zeros(int(first[-1]) + 1, np.int64)
-                spans: list[list[int]] = [[] for _ in range(len(ids))]
-                exact: list[set[int]] = [set() for _ in range(len(ids))]
-                near: list[set[int]] = [set() for _ in range(len(ids))]
-                for window in np.flatnonzero(held.sum(axis=1) >= np.minimum(near_terms, lengths)):
-                    size, ranked = int(lengths[window]), [k for k in order[window][: lengths[window]] if held[window, k]]
+                n_texts = len(ids)
+                begin = first + np.arange(n_texts + 1) * GAP
+                edge = np.zeros(int(begin[-1]) + 1, np.int64)
+                spans: list[list[int]] = [[] for _ in range(n_texts)]
+                exact: list[set[int]] = [set() for _ in range(n_texts)]
+                near: list[set[int]] = [set() for _ in range(n_texts)]
+                anchors = np.minimum(near_terms, lengths)
+                first_held = np.take_along_axis(held, order, axis=1)[:, :near_terms]
+                for window in np.flatnonzero((occurs >= anchors) & (first_held.sum(axis=1) >= anchors)):
+                    size, ranked = int(lengths[window]), order[window][: lengths[window]].tolist()
                     lead, offset = posting(window, ranked[0])
                     starts = lead.astype(np.int64) - offset
-                    items = owners[owned[window] : owned[window + 1]]
                     close = intersect(starts, (posting(window, k) for k in ranked[1:near_terms]), slop)
-                    if len(close):
-                        anchor = close + offset
-                        for d in np.unique(np.searchsorted(first, anchor, side="right") - 1):
-                            near[d].update(items)
-                    if len(ranked) < size or not len(close):
+                    if not len(close):
+                        continue
+                    items = owners[owned[window] : owned[window + 1]].tolist()
+                    for d in np.unique(np.searchsorted(begin, close + offset, side="right") - 1).tolist():
+                        near[d].update(items)
+                    if held[window].sum() < size:
                         continue
                     starts = intersect(close, (posting(window, k) for k in ranked[1:]))
-                    doc = np.searchsorted(first, starts, side="right") - 1
-                    inside = starts + size <= first[doc + 1]
-                    starts, doc = starts[inside], doc[inside]
+                    doc = np.searchsorted(begin, starts, side="right") - 1
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + size, -1)
-                    for d, s in zip(doc.tolist(), starts.tolist(), strict=True):
+                    for d, s in zip(doc.tolist(), (starts - begin[doc]).tolist(), strict=True):
                         exact[d].update(items)
-                        spans[d] += (s - int(first[d]), s - int(first[d]) + size)
+                        spans[d] += (s, s + size)
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
-                n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n, batch.column(0)[row].as_py())), pa.array(np.arange(n)), ids, keys,
-                        pa.array(np.diff(first)), pa.array(hit[first[1:]] - hit[first[:-1]]), pa.array(spans, pa.list_(pa.int64())),
+                        pa.array(np.full(n_texts, batch.column(0)[row].as_py())), pa.array(np.arange(n_texts)), ids, keys,
+                        pa.array(np.diff(first)), pa.array(hit[begin[1:]] - hit[begin[:-1]]), pa.array(spans, pa.list_(pa.int64())),
                         pa.array([[names[i] for i in x] for x in exact], pa.list_(pa.string())), pa.array([[names[i] for i in x] for x in near], pa.list_(pa.string())),
                     ],
                     names=["segment", "place", "id", "key", "n_words", "n_hit", "spans", "items", "near_items"],

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import decontam, mixing, neardup, sharding
+from timeweave.llm import check_sql, decontam, html_main, licenses, mixing, neardup, secret_scan, sharding, suffix_tree, url_cascade
 from timeweave.llm import quality as quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,48 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.sharded(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return placed.select("doc.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_table(spark))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("novel"))
+
+
+@query
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+#: Site names of the block list.
+BLOCKED_SITES = ("adult-x", "casino-win", "free-bets", "spam-farm")
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge(table(spark, sf_dir, "pages"), BLOCKED_SITES).drop("listed")
+
+
+CHECK_SQL |= {
+    "op1_license_scan": check_sql.license_sql(),
+    "op2_decontaminate": check_sql.contamination_sql(),
+    "op8_mix_sources": check_sql.mix_sql(),
+    "op10_url_filter": check_sql.url_sql(BLOCKED_SITES),
+}
