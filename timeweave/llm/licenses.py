@@ -29,7 +29,8 @@ SPELLINGS = (
     ("wilful", "willful"),
     ("copyright owner", "copyright holder"),
 )
-NOT_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+#: Runs of ASCII and general punctuation, spaces and controls.
+NOT_WORD = r"[\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{A0}\x{AB}\x{B7}\x{BB}\x{2000}-\x{206F}\x{3000}-\x{3003}]+"
 COPYRIGHT_LINE = r"^((copyright|c|©) )*(copyright|c|©) ([0-9][0-9][0-9][0-9]|year|yyyy|by)( |$)|^©|^all rights reserved$"
 
 _MIT_BODY = (

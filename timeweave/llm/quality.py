@@ -60,7 +60,7 @@ def gram_ranges(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def trusted_keys(labels: DataFrame, id_col: str = "doc_id", most: int = 100_000) -> np.ndarray:
     """Sorted hashes of the ids labelled with quality 1: all of them, or the ``most`` least hashes (a uniform sample)."""
     keys = labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("key"))
-    return keys.distinct().orderBy("key").limit(most).toPandas()["key"].to_numpy(np.int64)
+    return keys.distinct().orderBy("key").limit(most).toArrow().to_pandas()["key"].to_numpy(np.int64)
 
 
 def gram_counts(docs: DataFrame, trusted: np.ndarray, id_col: str = "doc_id", text: str = "text", buckets: int = 1 << 16) -> DataFrame:
@@ -101,13 +101,15 @@ def ratios(data: np.ndarray, bounds: np.ndarray, weights: np.ndarray) -> np.ndar
 
 
 def ratio_model(counts: DataFrame, buckets: int = 1 << 16) -> np.ndarray:
-    """log p_trusted - log p_raw for each bucket with add-one smoothing; at most ``buckets`` rows reach the driver."""
-    table = counts.select("bucket", "n_raw", "n_trusted").toPandas()
+    """log p_trusted - log p_raw for each bucket; at most ``buckets`` rows reach the driver.  The raw multinomial has add-one
+    smoothing, the trusted one a prior of ``buckets`` n-grams of the raw one, so that few trusted texts decide little."""
+    table = counts.select("bucket", "n_raw", "n_trusted").toArrow().to_pandas()
     raw, good = np.zeros(buckets), np.zeros(buckets)
     raw[table["bucket"]], good[table["bucket"]] = table["n_raw"], table["n_trusted"]
     if not good.sum():
         return np.zeros(buckets)
-    return np.log((good + 1) / (good.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    share = (raw + 1) / (raw.sum() + buckets)
+    return np.log((good + buckets * share) / (good.sum() + buckets)) - np.log(share)
 
 
 def repeated_words(found: Words, width: int) -> np.ndarray:
