@@ -38,6 +38,9 @@ GOLDEN = [
     ("lately", D(2023, 8, 28), D(2024, 4, 4), "RANGE"),
     ("room 2024", None, None, "NONE"),
     ("999999999 weeks ago", None, None, "NONE"),
+    ("12345 days ago", D(1990, 5, 28), D(1990, 5, 28), "POINT"),
+    ("99999999999 days ago", None, None, "NONE"),
+    ("20000 months ago", D(357, 7, 1), D(357, 7, 31), "RANGE"),
     ("", None, None, "NONE"),
 ]
 

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from timeweave.operators import pools, rank
-from timeweave.operators.intervals import overlap_join
+from timeweave.operators.intervals import open_counts, overlap_join
 from timeweave.operators.skew import pool_join, positions, slice_counts
 from timeweave.operators.stats import exact_quantile
 from timeweave.plans.retrieval import retrieve
@@ -159,3 +159,56 @@ def test_full_rank_equals_window_rank(spark):
     pairs = pool_join(q.select("user_id", "qa_idx"), b.select("user_id", "block_id")).withColumn("score", (F.col("block_id") % 5).cast("double"))
     a = {(r.qa_idx, r.block_id, r.rank) for r in rank.rank_full(pairs).collect()}
     assert a == {(r.qa_idx, r.block_id, r.rank) for r in rank.rank_in_pool(pairs).collect()}
+
+
+def test_pool_size_equals_ranked_rows_with_missing_dates(spark):
+    day = lambda n: DAY + dt.timedelta(days=n)
+    b = spark.createDataFrame(
+        [("u", 1, [1.0], day(1), day(1), day(1), day(2)), ("u", 2, [1.0], None, None, day(3), day(4)), ("u", 3, [1.0], day(5), day(5), None, None), ("u", 4, [1.0], None, None, None, None)],
+        "user_id string, block_id long, embedding array<double>, session_start date, session_end date, event_start date, event_end date",
+    )
+    asks = [
+        ("u", i, [1.0], kind, start, end, axis, "WINDOW")
+        for i, (kind, start, end, axis) in enumerate(
+            (k, s, e, a) for k in ("RANGE", "POINT", "AFTER", "BEFORE", "NONE") for s in (day(2), None) for e in (day(4), None) for a in ("EVENT", "SESSION", "BOTH_UNION", "BOTH_INTERSECT")
+        )
+    ]
+    q = spark.createDataFrame(asks, "user_id string, qa_idx int, embedding array<double>, tc_type string, tc_start date, tc_end date, axis string, intent string")
+    sizes = {r.qa_idx: r.pool_size for r in pools.decide_pool(q, b).collect()}
+    ranked = {r.qa_idx: r["count"] for r in retrieve(q, b, 10).groupBy("qa_idx").count().collect()}
+    assert sizes == ranked and len(sizes) == len(asks)
+    slow = {r.qa_idx: tuple(r)[2:] for r in pools.pool_counts(pools.axis_verdicts(q, b)).collect()}
+    fast = {r.qa_idx: (r.n_pool, r.n_event, r.n_session, r.n_intersect, r.n_union) for r in pools.with_pool_counts(q, b).collect()}
+    assert fast == slow
+
+
+def test_audit_keeps_gold_blocks_without_session_dates(spark):
+    b = spark.createDataFrame(
+        [("u", i, None, None, None, None) for i in range(3)], "user_id string, block_id long, session_start date, session_end date, event_start date, event_end date"
+    )
+    q = spark.createDataFrame([("u", 0, "NONE", None, None, "EVENT", "WINDOW")], "user_id string, qa_idx int, tc_type string, tc_start date, tc_end date, axis string, intent string")
+    gold = spark.createDataFrame([("u", 0, i) for i in range(4)], "user_id string, qa_idx int, block_id long")
+    (row,) = pools.pool_audit(pools.decide_pool(q, b), b, gold).collect()
+    assert (row.gold_total, row.gold_after_time, row.gold_lost_time) == (4, 3, 1)
+
+
+def test_open_counts_equal_the_theta_join(spark):
+    rng = random.Random(9)
+    day = lambda: DAY + dt.timedelta(days=rng.randint(0, 400))
+    iv = [(i % 3, *([day(), day()] if i % 9 else [day(), None])) for i in range(200)]
+    points = [(i, i % 4, day() if i % 11 else None) for i in range(150)]
+    got = {
+        r.i: r.n_open
+        for r in open_counts(spark.createDataFrame(points, "i int, k int, day date"), "day", spark.createDataFrame(iv, "k int, s date, e date"), ("s", "e"), ["k"]).collect()
+    }
+    assert got == {i: sum(k == x[0] and x[2] is not None and min(x[1:]) <= d <= max(x[1:]) for x in iv) for i, k, d in points if d}
+
+
+def test_links_follow_the_order_of_events_in_long_blocks(spark):
+    from timeweave.operators.graph import graph_tables
+
+    event = "struct<event_id:string,description:string>"
+    blocks = spark.range(2).selectExpr("'u' AS user_id", "id AS block_id", "id AS seq", f"transform(sequence(0, 4999), i -> cast(named_struct('event_id', concat(id, '_', i), 'description', 'x') AS {event})) AS events")
+    named = spark.createDataFrame([("u", "0_4998"), ("u", "0_4999"), ("u", "1_0")], "user_id string, event_id string").withColumn("embedding", F.array(F.lit(1.0)))
+    _, edges = graph_tables(blocks, named, "seq")
+    assert {(r.a_id, r.b_id) for r in edges.collect()} == {("0_4999", "0_4998"), ("1_0", "0_4998"), ("1_0", "0_4999")}

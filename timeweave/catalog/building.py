@@ -443,10 +443,10 @@ def x15(spark, d):
 
 @query(
     "j10_event_block_map",
-    f"WITH {FIN} SELECT user_id || '_' || block_id || '_e0' AS event_id, user_id, block_id FROM day WHERE NOT bad",
+    f"WITH {FIN} SELECT user_id || '_' || block_id || '_e' || i AS event_id, user_id, block_id FROM (SELECT *, unnest([0, 1, 2, 3]) AS i FROM day WHERE NOT bad)",
 )
 def j10(spark, d):
     b = finished(spark, d)
     lookup = bl.explode_events(b).select("event_id", "user_id", "block_id")
-    wanted = bl.explode_events(b).filter("event_no = 0 and event_temporal_type = 'OCCURRENCE'").filter(F.col("description").contains(" bought ticket ")).select("event_id")
+    wanted = bl.explode_events(b).select("event_id")
     return wanted.join(lookup, "event_id").select("event_id", "user_id", "block_id")

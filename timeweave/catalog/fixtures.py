@@ -78,14 +78,14 @@ QRY = f"""qry AS (
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """Gold blocks of a question: same user, same id modulo 7."""
-    b = blocks(spark, d).select("user_id", "block_id", (F.col("block_id") % 7).alias("_m"))
-    q = questions(spark, d).select("user_id", "qa_idx", (F.col("qa_idx") % 7).alias("_m"))
-    return q.join(b, ["user_id", "_m"]).select("user_id", "qa_idx", "block_id")
+    """Gold blocks of a question: blocks of the same user whose id is within 20 of the question's."""
+    near = F.explode(F.sequence(F.col("qa_idx") - 20, F.col("qa_idx") + 20)).alias("block_id")
+    q = questions(spark, d).select("user_id", "qa_idx", near)
+    return q.join(blocks(spark, d).select("user_id", "block_id"), ["user_id", "block_id"]).select("user_id", "qa_idx", "block_id")
 
 
 GOLD = """gold AS (SELECT q.user_id, q.qa_idx, b.block_id FROM qry q JOIN blk b
-  ON q.user_id = b.user_id AND q.qa_idx % 7 = b.block_id % 7)"""
+  ON q.user_id = b.user_id AND abs(q.qa_idx - b.block_id) <= 20)"""
 
 #: Axis verdicts per pair, the SQL twin of the time predicates.
 PAIRS = """pairs AS (SELECT q.*, b.block_id, b.emb, b.session_start, b.session_end, b.event_start, b.event_end,

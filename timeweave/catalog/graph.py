@@ -443,10 +443,10 @@ def s5(spark, d):
     return s.union(gr.reachable(s, _edges(spark, d), 2, 0.3).select(*KEY, "event_id")).distinct()
 
 
-@query("s6_a4_merge_runs", "SELECT printf('%08x', CAST(user_id AS INTEGER)) AS user_id, count(*) AS n FROM events WHERE CASE WHEN user_id % 3 = 0 THEN event_type = 'click' ELSE event_type <> 'click' END GROUP BY 1")
+@query("s6_a4_merge_runs", "SELECT printf('%08x', CAST(user_id AS INTEGER)) AS user_id, count(*) AS n FROM events WHERE user_id % 3 <> 0 OR event_type = 'click' OR user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click') GROUP BY 1")
 def s6(spark, d):
     e = table(spark, d, "events").select(F.lpad(F.lower(F.hex("user_id")), 8, "0").alias("user_id"), "event_type", (F.col("user_id") % 3 == 0).alias("z"), "event_id")
-    first = e.filter("event_type <> 'click'").drop("z")
+    first = e.filter("event_type <> 'click' or not z").drop("z")
     second = e.filter("event_type = 'click' and z").drop("z")
     junk = e.filter("event_type = 'view'").withColumn("user_id", F.lit("not-hex!")).drop("z")
     return scans.merge_runs([first.union(junk), second]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -477,10 +477,12 @@ def f5(spark, d):
     return table(spark, d, "orders").select("o_orderkey", event_type_score(have, target_types(intent), intent).alias("score"))
 
 
-@query("b4_user_remap", "SELECT event_id, event_type || CASE WHEN event_type = 'error' THEN '' ELSE '_' || (user_id % 3) END AS user_id FROM events WHERE event_type <> 'error' OR user_id % 3 = 0")
+@query("b4_user_remap", "SELECT event_id, event_type || CASE WHEN event_id % 2 = 0 THEN '_' ELSE '' END || (user_id % 3) AS user_id FROM events")
 def b4(spark, d):
-    e = table(spark, d, "events").filter("event_type <> 'error' or user_id % 3 = 0")
-    r = e.select("event_id", F.col("event_type").alias("source_id"), (F.col("user_id") % 3).cast("string").alias("user_id"))
+    """Even events come in files of three users, odd ones in files of one."""
+    user = (F.col("user_id") % 3).cast("string")
+    source = F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.concat("event_type", user))
+    r = table(spark, d, "events").select("event_id", source.alias("source_id"), user.alias("user_id"))
     return scans.remap_users(r, "source_id").select("event_id", "user_id")
 
 

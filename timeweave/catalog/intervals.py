@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from timeweave.catalog.fixtures import BLK, QRY, blocks, questions, with_sql
 from timeweave.catalog.registry import query, table
 from timeweave.operators import temporal as tp
-from timeweave.operators.intervals import overlap_join
+from timeweave.operators.intervals import open_counts, overlap_join
 
 IV = """iv AS (SELECT o_custkey, o_orderkey, least(a, b) AS iv_start, greatest(a, b) AS iv_end FROM (
   SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(max(l_shipdate) AS DATE) AS b
@@ -66,14 +66,12 @@ def j2_orders(spark, d):
     "j2_days_without_key",
     with_sql(IV)
     + """, days AS (SELECT CAST(ts AS DATE) - 9000 + CAST(event_id % 8000 AS INTEGER) AS day, event_id FROM events)
-       SELECT d.event_id, count(*) AS open_orders FROM days d JOIN iv ON iv.iv_start <= d.day AND iv.iv_end >= d.day
-       AND iv.iv_end - iv.iv_start <= 30 GROUP BY d.event_id""",
+       SELECT d.event_id, count(*) AS open_orders FROM days d JOIN iv ON iv.iv_start <= d.day AND iv.iv_end >= d.day GROUP BY d.event_id""",
 )
 def j2_no_key(spark, d):
     ev = table(spark, d, "events").select(
         "event_id",
         F.date_add(F.date_sub(F.col("ts").cast("date"), 9000), (F.col("event_id") % 8000).cast("int")).alias("day"),
-    ).withColumn("day2", F.col("day"))
-    iv = order_intervals(spark, d).filter(F.datediff("iv_end", "iv_start") <= 30)
-    hits = overlap_join(ev, iv, ("day", "day2"), ("iv_start", "iv_end"), [], 30)
-    return hits.groupBy("event_id").agg(F.count(F.lit(1)).alias("open_orders"))
+    )
+    counted = open_counts(ev, "day", order_intervals(spark, d), ("iv_start", "iv_end"), name="open_orders")
+    return counted.filter("open_orders > 0").select("event_id", "open_orders")

@@ -24,8 +24,7 @@ def _typed(spark, d, kind):
 
 def _counts(spark, d, kind):
     """Matches per question and axis for one constraint type."""
-    v = pools.axis_verdicts(_typed(spark, d, kind), blocks(spark, d))
-    return pools.pool_counts(v).select("user_id", "qa_idx", "n_event", "n_session")
+    return pools.with_pool_counts(_typed(spark, d, kind), blocks(spark, d)).select("user_id", "qa_idx", "n_event", "n_session")
 
 
 def _count_sql(cond: str) -> str:
@@ -47,7 +46,7 @@ def c1(spark, d):
 @query("c2_range_open_end", _count_sql("{e} >= q.base_day"))
 def c2(spark, d):
     q = _typed(spark, d, "RANGE").withColumn("tc_end", F.lit(None).cast("date"))
-    return pools.pool_counts(pools.axis_verdicts(q, blocks(spark, d))).select("user_id", "qa_idx", "n_event", "n_session")
+    return pools.with_pool_counts(q, blocks(spark, d)).select("user_id", "qa_idx", "n_event", "n_session")
 
 
 @query("c3_point", _count_sql("{s} <= q.base_day AND {e} >= q.base_day"))

@@ -28,8 +28,10 @@ YEAR_MONTH = r"(?:19|20)\d{2}[-/](?:0[1-9]|1[0-2])(?![-/.\d])"
 DATE_EXPR = (
     rf"(?:{ISO_DAY}|{SLASH_DAY}|{NUMERIC_DAY}|{MONTH_DAY_YEAR}|{DAY_MONTH_YEAR}|{MONTH_YEAR}|{YEAR_MONTH}|{YEAR})"
 )
-MONTH_STEMS = "janfebmaraprmayjunjulaugsepoctnovdec"
-WEEKDAY_STEMS = "montuewedthufrisatsun"
+MONTH_NUMBERS = {
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
+}
+WEEKDAY_NUMBERS = {"mon": 0, "tue": 1, "wed": 2, "thu": 3, "fri": 4, "sat": 5, "sun": 6}
 NUMBER_WORDS = {
     "a": 1, "an": 1, "two": 2, "few": 3, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8,
     "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
@@ -51,25 +53,28 @@ def ymd(year: Column, month: Column, day: Column) -> Column:
 
 def month_number(name: Column) -> Column:
     """``jan``..``december`` -> 1..12."""
-    return _stem_no(MONTH_STEMS, name)
+    return _named(MONTH_NUMBERS, F.substring(name, 1, 3))
 
 
 def weekday_number(name: Column) -> Column:
     """Monday -> 0 .. Sunday -> 6."""
-    return _stem_no(WEEKDAY_STEMS, name) - 1
+    return _named(WEEKDAY_NUMBERS, F.substring(name, 1, 3))
 
 
-def _stem_no(stems: str, name: Column) -> Column:
-    """1-based position of a name's first three letters; no name -> null."""
-    at = F.nullif(F.instr(F.lit(stems), F.lower(F.rpad(F.substring(name, 1, 3), 3, "?"))), F.lit(0))
-    return F.floor((at + 2) / 3).cast("int")
+def _named(values: dict[str, int], name: Column) -> Column:
+    """Value of a name in any case; null for other words."""
+    table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
+    return F.try_element_at(table, F.lower(name))
 
 
 def number_word(token: Column) -> Column:
-    """``a``/``an`` 1, ``few`` 3, ``two``..``twelve``, digits up to 9999; else null."""
-    words = F.create_map(*[x for k, v in NUMBER_WORDS.items() for x in (F.lit(k), F.lit(v))])
-    digits = F.when(F.length(token) <= 4, token.try_cast("int"))
-    return F.coalesce(F.try_element_at(words, F.lower(token)), digits)
+    """``a``/``an`` 1, ``few`` 3, ``two``..``twelve``, or any whole number in digits; else null."""
+    return F.coalesce(_named(NUMBER_WORDS, token), token.try_cast("int"))
+
+
+def in_calendar(day: Column) -> Column:
+    """``day`` if it lies in years 1 to 9999, else null."""
+    return F.when(day.between(F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")), day)
 
 
 def shift_months(day: Column, n: Column | int) -> Column:

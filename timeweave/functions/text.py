@@ -93,10 +93,10 @@ def session_number(session_id: Column, trailing: bool = False) -> Column:
     return group(session_id, pattern, 1).try_cast("int")
 
 
-def retrieval_text(content: Column | None, topic: Column, descriptions: Column, first_n: int | None = 20, topic_last: bool = False) -> Column:
+def retrieval_text(content: Column | None, topic: Column, descriptions: Column, first_n: int | None = None, topic_last: bool = False) -> Column:
     """Text a block is embedded by: content, topic keywords, first event descriptions.
 
-    ``content=None`` leaves the content out; ``first_n=None`` keeps all events;
+    ``content=None`` leaves the content out; ``first_n`` keeps the first events only;
     ``topic_last`` is the order content, events, topic.
     """
     shown = F.filter(F.coalesce(descriptions, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))

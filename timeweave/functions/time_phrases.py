@@ -206,9 +206,14 @@ def relative_quarter(text, base, opts):
     return _match(text, RELATIVE_QUARTER, start, end, "RELATIVE_RANGE", "RANGE", opts)
 
 
+#: Days from year 1 to year 9999.
+CALENDAR_DAYS = 3_652_059
+
+
 def _with_count(text: Column, pattern: str, body: Callable[[Column, Column], Column]) -> Column:
-    """Bind the number and the unit of a "N units" phrase."""
+    """Bind the number and the unit of a "N units" phrase.  Numbers of more days than the calendar has name no day."""
     n, unit = dt.number_word(F.regexp_extract(text, pattern, 1)), F.lower(F.regexp_extract(text, pattern, 2))
+    n = F.when(n <= CALENDAR_DAYS, n)
     return let(F.struct(n.alias("n"), unit.alias("unit")), lambda c: body(c["n"], c["unit"]))
 
 
@@ -228,8 +233,8 @@ def n_ago(text, base, opts):
         quarter_, year = dt.quarter_range(F.add_months(first, n * -3)), dt.year_range(F.year(base) - n)
         day = F.date_sub(base, n)
         return F.struct(
-            _by_unit(unit, day, week[0], month_first, quarter_[0], year[0]).alias("s"),
-            _by_unit(unit, day, week[1], month_last, quarter_[1], year[1]).alias("e"),
+            dt.in_calendar(_by_unit(unit, day, week[0], month_first, quarter_[0], year[0])).alias("s"),
+            dt.in_calendar(_by_unit(unit, day, week[1], month_last, quarter_[1], year[1])).alias("e"),
             F.when(unit == "day", "POINT").otherwise("RANGE").alias("b"),
         )
 
@@ -243,7 +248,7 @@ def last_n(text, base, opts):
         month = F.add_months(first, F.when(opts.relaxed(), -(n + 3)).otherwise(-n + 1))
         year = dt.ymd(F.year(base) - n + 1, F.lit(1), F.lit(1))
         return F.struct(
-            _by_unit(unit, F.date_sub(base, n - 1), F.date_sub(base, n * 7), month, F.date_sub(base, n * QUARTER_DAYS), year).alias("s"),
+            dt.in_calendar(_by_unit(unit, F.date_sub(base, n - 1), F.date_sub(base, n * 7), month, F.date_sub(base, n * QUARTER_DAYS), year)).alias("s"),
             (unit == "day").alias("days"),
         )
 

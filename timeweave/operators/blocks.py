@@ -198,10 +198,10 @@ def events_from_mentions(mentions: Column, session_start: Column, session_end: C
     )
 
 
-def fallback_text(topic_kw: Column, first_text: Column) -> Column:
-    """Topic and keywords, else the first 120 characters of a message, else "conversation"."""
+def fallback_text(topic_kw: Column, first_text: Column, most: int = 120) -> Column:
+    """Topic and keywords, else the first ``most`` characters of a message, else "conversation"."""
     blank = F.lit("")
-    return F.coalesce(F.nullif(topic_kw, blank), F.nullif(F.substring(first_text, 1, 120), blank), F.lit("conversation"))
+    return F.coalesce(F.nullif(topic_kw, blank), F.nullif(F.substring(first_text, 1, most), blank), F.lit("conversation"))
 
 
 def finish(raw_blocks: DataFrame, extraction: str = "extraction", supplied_events: str | None = None) -> DataFrame:

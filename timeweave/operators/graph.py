@@ -15,15 +15,13 @@ from timeweave.session import cut_lineage
 
 KEY = ["user_id", "qa_idx"]
 LINK_SCORE, LINK_LIMIT = 0.8, 20
-EXPAND_SCORE, EXPAND_LIMIT = 0.7, 200
+EXPAND_SCORE = 0.7
 
 # Relation vocabulary.
-ENTITY_TYPES = ["Person", "Organization", "Location", "Product", "CreativeWork", "Topic", "Role", "Other"]
 PREDICATES = [
     "live_in", "located_in", "from", "born_in", "work_at", "study_at", "member_of", "has_role", "parent_of", "spouse_of",
     "sibling_of", "friend_of", "reports_to", "owns", "uses", "likes", "dislikes", "interested_in", "created_by", "part_of",
 ]
-FACTUALITY = ["asserted", "negated", "uncertain"]
 RELATION_KEY = ["relation_id", "source", "relationship", "destination", "event_id", "block_key", "block_id"]
 SHORT_RELATION_KEY = ["relation_id", "source", "relationship", "destination"]
 
@@ -53,7 +51,8 @@ def graph_tables(blocks: DataFrame, vectors: DataFrame, load_order: str, similar
     nodes = upsert_nodes(exploded, "_load").drop("_load")
     if not similarity:
         return nodes, None
-    order = F.col("seq") * 4096 + F.col("event_no")
+    # an array position fits 31 bits, so the order is that of (seq, event_no) for any block of fewer than 2^32 in sequence
+    order = F.shiftleft(F.col("seq").cast("bigint"), 31) + F.col("event_no")
     described = nodes.filter(F.trim(F.coalesce("description", F.lit(""))) != "").select("user_id", "event_id", order.alias("seq"))
     return nodes, link_similar(described.join(vectors.select("user_id", "event_id", "embedding"), ["user_id", "event_id"]), threshold, limit)
 
@@ -71,17 +70,17 @@ def best_edges(edges: DataFrame, min_score: float = EXPAND_SCORE) -> DataFrame:
     return pairs.groupBy("user_id", "a_id", "b_id").agg(F.max("score").alias("score"))
 
 
-def one_hop_edges(seeds: DataFrame, edges: DataFrame, min_score: float = EXPAND_SCORE, limit: int = EXPAND_LIMIT) -> DataFrame:
-    """Edges that touch a seed, best ``limit`` per question (score desc, ids)."""
+def one_hop_edges(seeds: DataFrame, edges: DataFrame, min_score: float = EXPAND_SCORE, limit: int | None = None) -> DataFrame:
+    """Edges that touch a seed, ranked per question (score desc, ids); the best ``limit`` if one is given."""
     best = best_edges(edges, min_score)
     touch = lambda side: seeds.join(best, (seeds.user_id == best.user_id) & (seeds.event_id == best[side])).select(
         seeds.user_id, "qa_idx", "a_id", "b_id", "score"
     )
     both = touch("a_id").union(touch("b_id")).distinct()
-    return top_k(both, KEY, [F.desc("score"), F.asc("a_id"), F.asc("b_id")], limit)
+    return _ordered(both, KEY, [F.desc("score"), F.asc("a_id"), F.asc("b_id")], limit)
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, hops: int = 1, min_score: float = EXPAND_SCORE, limit: int = EXPAND_LIMIT) -> DataFrame:
+def reachable(seeds: DataFrame, edges: DataFrame, hops: int = 1, min_score: float = EXPAND_SCORE, limit: int | None = None) -> DataFrame:
     """Non-seed events within ``hops``: fewest hops and best weakest-edge score.
 
     Every step keeps one row per (question, event), so the frontier is bounded by
@@ -103,7 +102,7 @@ def reachable(seeds: DataFrame, edges: DataFrame, hops: int = 1, min_score: floa
     found = visited.join(seeds.select(*KEY, "event_id"), [*KEY, "event_id"], "left_anti").groupBy(*KEY, "event_id").agg(
         F.min("_hop").alias("min_hop"), F.max("_path").alias("similarity_score")
     )
-    return top_k(found, KEY, [F.asc("min_hop"), F.desc("similarity_score"), F.asc("event_id")], limit)
+    return _ordered(found, KEY, [F.asc("min_hop"), F.desc("similarity_score"), F.asc("event_id")], limit)
 
 
 def attach_events(expanded: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -120,15 +119,16 @@ def score_events(expanded: DataFrame, questions: DataFrame, vectors: DataFrame)
 # ---- relations -----------------------------------------------------------------------------------
 
 
-def relations_of_events(events: DataFrame, relations: DataFrame, limit: int = EXPAND_LIMIT) -> DataFrame:
-    """Relations of the given (question, event) rows, at most ``limit`` a question."""
+def relations_of_events(events: DataFrame, relations: DataFrame, limit: int | None = None) -> DataFrame:
+    """Relations of the given (question, event) rows; the first ``limit`` a question if one is given."""
     hit = events.select(*KEY, "event_id").distinct().join(relations, ["user_id", "event_id"])
-    return top_k(hit, KEY, [F.asc("relation_id"), F.asc("event_id")], limit).drop("rank")
+    return hit if limit is None else top_k(hit, KEY, [F.asc("relation_id"), F.asc("event_id")], limit).drop("rank")
 
 
-def relations_of_blocks(ranked: DataFrame, relations: DataFrame, limit: int = EXPAND_LIMIT) -> DataFrame:
+def relations_of_blocks(ranked: DataFrame, relations: DataFrame, limit: int | None = None) -> DataFrame:
     blocks = ranked.select(*KEY, F.col("block_id").cast("string").alias("block_id")).distinct()
-    return top_k(blocks.join(relations, ["user_id", "block_id"]), KEY, [F.asc("relation_id"), F.asc("block_id")], limit).drop("rank")
+    hit = blocks.join(relations, ["user_id", "block_id"])
+    return hit if limit is None else top_k(hit, KEY, [F.asc("relation_id"), F.asc("block_id")], limit).drop("rank")
 
 
 def distinct_relations(relations: DataFrame, scope: Sequence[str] = ("user_id",), key: Sequence[str] = tuple(RELATION_KEY)) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,19 @@ def overlap_join(
     lo_l, hi_l = F.least(*left_iv), F.greatest(*left_iv)
     lo_r, hi_r = F.least(*right_iv), F.greatest(*right_iv)
     return joined.filter(first_shared & (lo_l <= hi_r) & (hi_l >= lo_r)).drop("_bucket", "_first_l", "_first_r")
+
+
+def open_counts(points: DataFrame, day: str, intervals: DataFrame, iv: tuple[str, str], keys: Sequence[str] = (), name: str = "n_open") -> DataFrame:
+    """``points`` with the number of closed intervals of equal ``keys`` that hold their day, without pairing the two.
+
+    Starts count +1 and the days after ends -1; the running sum over the distinct days of a key is the answer, so the window
+    sees calendar days, not rows.  Intervals with a missing bound are left out, points without a day too.
+    """
+    lo, hi = F.least(*iv), F.greatest(*iv)
+    known = intervals.filter(F.col(iv[0]).isNotNull() & F.col(iv[1]).isNotNull())
+    steps = known.select(*keys, lo.alias("_day"), F.lit(1).alias("_step")).unionAll(known.select(*keys, F.date_add(hi, 1).alias("_day"), F.lit(-1).alias("_step")))
+    asked = points.select(*keys, F.col(day).alias("_day"), F.lit(0).alias("_step")).filter("_day is not null")
+    per_day = steps.unionAll(asked).groupBy(*keys, "_day").agg(F.sum("_step").alias("_step"))
+    so_far = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = per_day.select(*keys, "_day", F.sum("_step").over(so_far).alias(name))
+    return points.withColumn("_day", F.col(day)).join(running, [*keys, "_day"]).drop("_day")

@@ -16,9 +16,6 @@ from timeweave.operators.skew import ROWS_PER_SLICE, pool_join
 
 QUESTION_KEY = ["user_id", "qa_idx"]
 AXES = ("EVENT", "SESSION", "BOTH_INTERSECT", "BOTH_UNION")
-MIN_POOL = 3
-SMALL_POOL = 20
-SMALL_SHARE = 0.1
 
 
 def with_bounds(questions: DataFrame) -> DataFrame:
@@ -65,13 +62,16 @@ def axis_verdicts(questions: DataFrame, blocks: DataFrame, rows_per_slice: int =
 
 def _dated_or_unfiltered(start: Column, end: Column) -> Column:
     """Undated blocks pass only where the constraint filters nothing."""
-    t = F.col("tc_type")
-    no_filter = (
-        ~t.isin("RANGE", "POINT", "BEFORE", "UNTIL", "AFTER", "SINCE")
-        | (t.isin("RANGE", "POINT", "AFTER", "SINCE") & F.col("tc_start").isNull())
-        | (t.isin("BEFORE", "UNTIL") & F.coalesce(F.col("tc_end"), F.col("tc_start")).isNull())
+    return tp.on_axis(start, end) | filters_nothing(F.col("tc_type"), F.col("tc_start"), F.col("tc_end"))
+
+
+def filters_nothing(tc_type: Column, tc_start: Column, tc_end: Column) -> Column:
+    """No constraint, an unknown one, or one without the date it needs."""
+    return (
+        ~tc_type.isin("RANGE", "POINT", "BEFORE", "UNTIL", "AFTER", "SINCE")
+        | (tc_type.isin("RANGE", "POINT", "AFTER", "SINCE") & tc_start.isNull())
+        | (tc_type.isin("BEFORE", "UNTIL") & F.coalesce(tc_end, tc_start).isNull())
     )
-    return tp.on_axis(start, end) | no_filter
 
 
 def pool_counts(verdicts: DataFrame) -> DataFrame:
@@ -86,20 +86,59 @@ def pool_counts(verdicts: DataFrame) -> DataFrame:
     )
 
 
+AXIS_DAYS = ["ev_lo", "ev_hi", "ss_lo", "ss_hi"]
+SPEC = ["user_id", "tc_type", "tc_start", "tc_end"]
+COUNTS = ["n_pool", "n_event", "n_session", "n_intersect", "n_union"]
+
+
+def with_pool_counts(questions: DataFrame, blocks: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """``questions`` with the size of their pool under every axis rule.
+
+    Counts depend on dates only.  Blocks are first counted per user and distinct combination of their four dates, questions
+    reduced to distinct constraints; only constraints that filter meet date combinations, so the work is bounded by the
+    calendar and not by questions times blocks.  Constraints that filter nothing take the whole pool from one count per user.
+    """
+    b = with_axis_days(blocks.select("user_id", "session_start", "session_end", "event_start", "event_end"))
+    cells = b.groupBy("user_id", *AXIS_DAYS).agg(F.count(F.lit(1)).alias("_n"))
+    total = cells.groupBy("user_id").agg(F.sum("_n").alias("n_pool"))
+    constraint = (F.col("tc_type"), F.col("tc_start"), F.col("tc_end"))
+    specs = with_bounds(questions.select(*SPEC).distinct().filter(~filters_nothing(*constraint)))
+    meet = pool_join(specs, cells, spread_by=AXIS_DAYS, rows_per_slice=rows_per_slice, batch_by=SPEC[1:])
+    e, s = on_bounds("ev_lo", "ev_hi"), on_bounds("ss_lo", "ss_hi")
+    counted = lambda ok: F.sum(F.when(ok, F.col("_n")).otherwise(0))
+    sizes = meet.groupBy(*SPEC).agg(counted(e).alias("n_event"), counted(s).alias("n_session"), counted(e & s).alias("n_intersect"), counted(e | s).alias("n_union"))
+    named = sizes.withColumnsRenamed({c: f"_{c}" for c in SPEC})
+    same = [questions["user_id"] == named["_user_id"], *(questions[c].eqNullSafe(named[f"_{c}"]) for c in SPEC[1:])]
+    q = questions.join(named, same, "left").drop(*(f"_{c}" for c in SPEC)).join(total, "user_id", "left").fillna(0, ["n_pool"])
+    open_ = filters_nothing(*constraint)
+    return q.withColumns({c: F.coalesce(F.when(open_, F.col("n_pool")).otherwise(F.col(c)), F.lit(0)) for c in COUNTS[1:]})
+
+
+def on_bounds(lo: str, hi: str) -> Column:
+    """Is a dated interval within the four bounds of :func:`with_bounds`?"""
+    within = lambda bound, ok: F.col(bound).isNull() | ok
+    return (
+        F.col(lo).isNotNull() & F.col(hi).isNotNull()
+        & within("q_start_max", F.col(lo) <= F.col("q_start_max")) & within("q_end_min", F.col(hi) >= F.col("q_end_min"))
+        & within("q_end_max", F.col(hi) <= F.col("q_end_max")) & within("q_start_min", F.col(lo) >= F.col("q_start_min"))
+    )
+
+
 def decide_pool(questions: DataFrame, blocks: DataFrame, rule: str = "empty", axis_mode: str = "auto",
-                rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                rows_per_slice: int = ROWS_PER_SLICE, min_pool: int = 3, small_pool: int = 20, small_share: float = 0.1) -> DataFrame:
     """Attach ``pool_mode``, ``pool_size``, ``pool_label`` and ``fell_back``.
 
-    ``rule``: ``empty`` (no survivor -> whole pool), ``min_pool`` (< 3 survivors
-    -> whole pool), ``small_pool`` (< 20 and < 10 % of the pool -> union, then
-    whole pool; automatic axis only) or ``event_first`` (session axis only when
-    the event axis is empty).
+    ``rule``: ``empty`` (no survivor -> whole pool), ``min_pool`` (fewer than
+    ``min_pool`` survivors -> whole pool), ``small_pool`` (fewer than ``small_pool``
+    and than ``small_share`` of the pool -> union, then whole pool; automatic axis
+    only) or ``event_first`` (session axis only when the event axis is empty).
+    A constraint without a usable date filters nothing: its pool is the whole pool.
     """
-    counts = pool_counts(axis_verdicts(questions, blocks, rows_per_slice))
-    q = questions.join(counts, QUESTION_KEY, "left").fillna(0, ["n_pool", "n_event", "n_session", "n_intersect", "n_union"])
+    q = with_pool_counts(questions, blocks, rows_per_slice)
     axis = F.upper(F.coalesce(tp.forced_axis(F.col("axis"), axis_mode), F.lit("BOTH_UNION")))
     axis = F.when(axis.isin(*AXES, "NONE"), axis).otherwise("BOTH_UNION")
     skip = ~tp.uses_time(F.col("intent"), F.col("tc_type")) | (F.col("tc_type") == "ANCHOR") | F.lit(axis_mode == "none")
+    skip = skip | filters_nothing(F.col("tc_type"), F.col("tc_start"), F.col("tc_end"))
 
     if rule == "event_first":
         q = q.withColumn("_axis", F.when(F.col("n_event") > 0, "EVENT").otherwise("SESSION"))
@@ -110,12 +149,12 @@ def decide_pool(questions: DataFrame, blocks: DataFrame, rule: str = "empty", ax
     q = q.withColumn("pool_label", F.when(skip, "FULL").when(degraded, "BOTH_INTERSECT_DEGRADED_UNION").otherwise(F.col("_mode")))
 
     if rule == "small_pool" and axis_mode == "auto":
-        small = lambda n: (n < SMALL_POOL) & (n < F.lit(SMALL_SHARE) * F.greatest(F.lit(1), F.col("n_pool")))
+        small = lambda n: (n < small_pool) & (n < F.lit(small_share) * F.greatest(F.lit(1), F.col("n_pool")))
         widen = small(F.col("_n")) & (F.col("_axis") != "BOTH_UNION") & (F.col("n_union") > F.col("_n"))
         q = q.withColumn("_mode", F.when(widen, "BOTH_UNION").otherwise(F.col("_mode"))).withColumn("_n", _size_of("_mode"))
         fall_back = small(F.col("_n")) | (F.col("_n") == 0)
     elif rule == "min_pool":
-        fall_back = F.col("_n") < MIN_POOL
+        fall_back = F.col("_n") < min_pool
     else:
         fall_back = F.col("_n") == 0
     return (
@@ -172,11 +211,11 @@ def pool_audit(decided: DataFrame, blocks: DataFrame, gold: DataFrame, rows_per_
     from the gold pairs only and never touch the full pair stream.
     """
     gold_pairs = gold.join(decided.select(*QUESTION_KEY, "tc_type", "tc_start", "tc_end", "intent", "pool_mode"), QUESTION_KEY)
-    b = blocks.select("user_id", "block_id", "session_start", "session_end", "event_start", "event_end")
+    b = blocks.select("user_id", "block_id", "session_start", "session_end", "event_start", "event_end", F.lit(True).alias("_there"))
     constraint = (F.col("tc_type"), F.col("tc_start"), F.col("tc_end"))
     flagged = gold_pairs.join(b, ["user_id", "block_id"], "left").withColumn(
         "_kept",
-        F.col("session_start").isNotNull()
+        F.col("_there").isNotNull()
         & in_pool(
             F.col("pool_mode"),
             tp.matches_axis(F.col("event_start"), F.col("event_end"), *constraint)
