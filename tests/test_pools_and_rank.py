@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from timeweave.operators import pools, rank
 from timeweave.operators.intervals import open_counts, overlap_join
-from timeweave.operators.skew import pool_join, positions, slice_counts
-from timeweave.operators.stats import exact_quantile
+from timeweave.operators.skew import pool_join, slice_counts
+from timeweave.operators.stats import exact_quantile, quantiles
 from timeweave.plans.retrieval import retrieve
 
 DAY = dt.date(2024, 1, 1)
@@ -145,20 +145,15 @@ def test_overlap_join_equals_theta_join(spark):
     assert len(clipped) == len(plain) and set(clipped) == plain
 
 
-def test_positions_and_quantiles(spark):
-    values = [float(v) for v in range(97)] + [5.0] * 40
-    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("b", 4.0)], "g string, v double")
-    pos = positions(df, ["g"], [F.asc("v")], "pos", 5).filter("g = 'a'").orderBy("pos").collect()
-    assert [r.pos for r in pos] == list(range(1, 138)) and [r.v for r in pos] == sorted(values)
-    q = {r.g: r.p95 for r in exact_quantile(df, "v", 0.95, ["g"]).collect()}
-    assert abs(q["a"] - np.percentile(values, 95)) < 1e-9 and abs(q["b"] - 3.85) < 1e-9
-
-
-def test_full_rank_equals_window_rank(spark):
-    b, q, *_ = make_tables(spark, questions=9)
-    pairs = pool_join(q.select("user_id", "qa_idx"), b.select("user_id", "block_id")).withColumn("score", (F.col("block_id") % 5).cast("double"))
-    a = {(r.qa_idx, r.block_id, r.rank) for r in rank.rank_full(pairs).collect()}
-    assert a == {(r.qa_idx, r.block_id, r.rank) for r in rank.rank_in_pool(pairs).collect()}
+def test_quantiles_of_tied_and_skewed_values(spark):
+    values = [float(v) for v in range(97)] + [5.0] * 40 + [1e9]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("b", 4.0), (None, 7.0), ("c", None)], "g string, v double")
+    for buckets in (2, 7, 4096):
+        q = {r.g: r for r in quantiles(df, "v", {"p95": (0.95, "linear"), "low": (0.3, "floor"), "mid": (0.5, "nearest")}, ["g"], buckets).collect()}
+        n = len(values)
+        assert abs(q["a"].p95 - np.percentile(values, 95)) < 1e-9 and abs(q["b"].p95 - 3.85) < 1e-9 and q[None].mid == 7 and "c" not in q
+        assert q["a"].low == sorted(values)[int(0.3 * n)] and q["a"].mid == sorted(values)[round(0.5 * n) - 1]
+    assert [r.p50 for r in exact_quantile(df.filter("g = 'b'"), "v", 0.5).collect()] == [2.5]
 
 
 def test_pool_size_equals_ranked_rows_with_missing_dates(spark):

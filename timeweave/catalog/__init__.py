@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-MODULES = ["pools", "intervals", "phrases", "scoring", "building", "graph", "streams", "files"]
+MODULES = ["answers", "pools", "intervals", "phrases", "scoring", "building", "graph", "streams", "files"]
 
 
 def load_all() -> ModuleType:

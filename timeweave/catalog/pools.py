@@ -10,7 +10,7 @@ from timeweave.functions.vectors import cosine
 from timeweave.operators import pools, rank
 from timeweave.operators import temporal as tp
 from timeweave.operators.skew import pool_join
-from timeweave.plans.retrieval import retrieve, score_pool
+from timeweave.plans.retrieval import retrieve
 
 PAIR_COLS = ["user_id", "qa_idx", "block_id"]
 
@@ -100,12 +100,12 @@ def c8(spark, d):
 @query(
     "c10_axis_dispatch",
     with_sql(BLK, QRY, PAIRS)
-    + """SELECT user_id, qa_idx, block_id FROM pairs WHERE CASE axis WHEN 'EVENT' THEN ok_event WHEN 'SESSION' THEN ok_session
-         WHEN 'BOTH_INTERSECT' THEN ok_event AND ok_session ELSE ok_event OR ok_session END""",
+    + """SELECT user_id, qa_idx, count(*) FILTER (CASE axis WHEN 'EVENT' THEN ok_event WHEN 'SESSION' THEN ok_session
+         WHEN 'BOTH_INTERSECT' THEN ok_event AND ok_session ELSE ok_event OR ok_session END) AS n FROM pairs GROUP BY ALL""",
 )
 def c10(spark, d):
-    v = pools.axis_verdicts(questions(spark, d), blocks(spark, d))
-    return v.filter(tp.dispatch(F.col("axis"), F.col("ok_event"), F.col("ok_session"))).select(*PAIR_COLS)
+    q = pools.with_pool_counts(questions(spark, d), blocks(spark, d))
+    return q.select("user_id", "qa_idx", pools.size_on(F.col("axis")).alias("n"))
 
 
 @query(
@@ -253,16 +253,14 @@ def c24(spark, d):
 SET_SQL = with_sql(BLK, QRY, PAIRS)
 
 
-@query("s1_axis_union", SET_SQL + "SELECT user_id, qa_idx, block_id FROM pairs WHERE ok_event OR ok_session")
+@query("s1_axis_union", SET_SQL + "SELECT user_id, qa_idx, count(*) FILTER (ok_event OR ok_session) AS n FROM pairs GROUP BY ALL")
 def s1(spark, d):
-    v = pools.axis_verdicts(questions(spark, d), blocks(spark, d))
-    return v.filter(F.col("ok_event") | F.col("ok_session")).select(*PAIR_COLS)
+    return pools.with_pool_counts(questions(spark, d), blocks(spark, d)).select("user_id", "qa_idx", F.col("n_union").alias("n"))
 
 
-@query("s2_axis_intersect", SET_SQL + "SELECT user_id, qa_idx, block_id FROM pairs WHERE ok_event AND ok_session")
+@query("s2_axis_intersect", SET_SQL + "SELECT user_id, qa_idx, count(*) FILTER (ok_event AND ok_session) AS n FROM pairs GROUP BY ALL")
 def s2(spark, d):
-    v = pools.axis_verdicts(questions(spark, d), blocks(spark, d))
-    return v.filter(F.col("ok_event") & F.col("ok_session")).select(*PAIR_COLS)
+    return pools.with_pool_counts(questions(spark, d), blocks(spark, d)).select("user_id", "qa_idx", F.col("n_intersect").alias("n"))
 
 
 @query(
@@ -281,8 +279,8 @@ def s3(spark, d):
     + "SELECT user_id, qa_idx, block_id FROM gold EXCEPT ALL SELECT user_id, qa_idx, block_id FROM pairs WHERE ok_event",
 )
 def s4(spark, d):
-    v = pools.axis_verdicts(questions(spark, d), blocks(spark, d)).filter("ok_event").select(*PAIR_COLS)
-    return gold(spark, d).select(*PAIR_COLS).exceptAll(v)
+    decided = pools.with_bounds(questions(spark, d)).withColumn("pool_mode", F.lit("EVENT"))
+    return pools.lost_gold(decided, blocks(spark, d), gold(spark, d)).select(*PAIR_COLS)
 
 
 # ---- ranking ------------------------------------------------------------------------
@@ -294,11 +292,11 @@ def s4(spark, d):
     + """, kept AS (SELECT p.user_id, p.qa_idx, p.block_id, round(list_cosine_similarity(p.qemb, p.emb), 9) AS s
            FROM pairs p JOIN dec USING (user_id, qa_idx) WHERE CASE WHEN dec.skipped OR dec.n = 0 THEN TRUE WHEN dec.mode = 'EVENT' THEN ok_event
              WHEN dec.mode = 'SESSION' THEN ok_session WHEN dec.mode = 'BOTH_INTERSECT' THEN ok_event AND ok_session ELSE ok_event OR ok_session END)
-       SELECT user_id, qa_idx, block_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY user_id, qa_idx ORDER BY s DESC, block_id) AS INTEGER) AS rank FROM kept""",
+       SELECT user_id, qa_idx, block_id, round(s, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, qa_idx ORDER BY s DESC, block_id) AS INTEGER) AS rank FROM kept)
+       WHERE rank <= 20""",
 )
 def f1(spark, d):
-    pairs = score_pool(questions(spark, d), blocks(spark, d))
-    return rank.rank_full(pairs).select(*PAIR_COLS, F.round("score", 6).alias("score"), "rank")
+    return retrieve(questions(spark, d), blocks(spark, d), k=20).select(*PAIR_COLS, F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -306,22 +304,28 @@ def f1(spark, d):
     with_sql(BLK, QRY, TOP5) + "SELECT user_id, qa_idx, block_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 20",
 )
 def f2(spark, d):
-    out = retrieve(questions(spark, d), blocks(spark, d), k=20, mode="baseline")
+    out = retrieve(questions(spark, d), blocks(spark, d), k=20, time_filter=False)
     return out.select(*PAIR_COLS, F.round("score", 6).alias("score"), "rank")
 
 
 @query(
     "f3_time_decay",
     with_sql(BLK, QRY)
-    + """SELECT user_id, qa_idx, block_id, round(CASE WHEN tc_start IS NULL THEN 1.0 ELSE exp(-abs(session_end - tc_start) / 1500.0)
-         * CASE WHEN intent IN ('AS_OF','STATIC') AND session_end > tc_start THEN 0.3 ELSE 1.0 END END, 6) AS decay
-         FROM qry JOIN blk USING (user_id)""",
+    + """, p AS (SELECT user_id, qa_idx, CASE WHEN tc_start IS NULL THEN 1.0 ELSE exp(-abs(session_end - tc_start) / 1500.0)
+         * CASE WHEN intent IN ('AS_OF','STATIC') AND session_end > tc_start THEN 0.3 ELSE 1.0 END END AS decay FROM qry JOIN blk USING (user_id))
+         SELECT user_id, qa_idx, round(sum(decay), 4) AS total, round(max(decay), 6) AS best, round(min(decay), 6) AS worst FROM p GROUP BY ALL""",
 )
 def f3(spark, d):
-    q = questions(spark, d).drop("embedding")
-    pairs = pool_join(q, blocks(spark, d).drop("embedding"))
-    decay = rank.time_decay(F.coalesce("session_end", "session_start"), F.col("tc_start"), F.col("intent"))
-    return pairs.select(*PAIR_COLS, F.round(decay, 6).alias("decay"))
+    """Weights of a question's whole pool: days are counted first, constraints made distinct, so no pair of rows meets."""
+    q = questions(spark, d).select("user_id", "qa_idx", "tc_start", "intent")
+    days = blocks(spark, d).groupBy("user_id", F.coalesce("session_end", "session_start").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    asks = q.select("user_id", "tc_start", "intent").distinct()
+    weight = rank.time_decay(F.col("day"), F.col("tc_start"), F.col("intent"))
+    weights = asks.join(days, "user_id").withColumn("w", weight).groupBy("user_id", F.col("tc_start").alias("start"), F.col("intent").alias("i")).agg(
+        F.round(F.sum(F.col("w") * F.col("n")), 4).alias("total"), F.round(F.max("w"), 6).alias("best"), F.round(F.min("w"), 6).alias("worst")
+    )
+    w = weights.withColumnRenamed("user_id", "u")
+    return q.join(w, (F.col("user_id") == F.col("u")) & F.col("tc_start").eqNullSafe(F.col("start")) & (F.col("intent") == F.col("i"))).select("user_id", "qa_idx", "total", "best", "worst")
 
 
 def _decayed_sql(applies: str) -> str:
@@ -336,13 +340,13 @@ def _decayed_sql(applies: str) -> str:
 
 @query("f4_decayed_rank", _decayed_sql("p.intent IN ('STATIC','PLANNING')"))
 def f4(spark, d):
-    out = retrieve(questions(spark, d), blocks(spark, d), mode="full", decay=True)
+    out = retrieve(questions(spark, d), blocks(spark, d), decay="history")
     return out.select(*PAIR_COLS, F.round("score", 6).alias("score"), "rank")
 
 
 @query("f6_time_only_mode", _decayed_sql("p.tc_type <> 'NONE'"))
 def f6(spark, d):
-    out = retrieve(questions(spark, d), blocks(spark, d), mode="time_only", decay=True)
+    out = retrieve(questions(spark, d), blocks(spark, d), decay="dated")
     return out.select(*PAIR_COLS, F.round("score", 6).alias("score"), "rank")
 
 

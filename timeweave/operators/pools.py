@@ -166,7 +166,11 @@ def decide_pool(questions: DataFrame, blocks: DataFrame, rule: str = "empty", ax
 
 
 def _size_of(mode_col: str) -> Column:
-    mode = F.col(mode_col)
+    return size_on(F.col(mode_col))
+
+
+def size_on(mode: Column) -> Column:
+    """The pool size of an axis rule, from the counts."""
     return (
         F.when(mode == "EVENT", F.col("n_event"))
         .when(mode == "SESSION", F.col("n_session"))
@@ -210,10 +214,29 @@ def pool_audit(decided: DataFrame, blocks: DataFrame, gold: DataFrame, rows_per_
     Gold is the small side (a few blocks per question), so gold counters come
     from the gold pairs only and never touch the full pair stream.
     """
+    flagged = gold_in_pool(decided, blocks, gold)
+    counts = flagged.groupBy(*QUESTION_KEY).agg(
+        F.count(F.lit(1)).alias("gold_total"), F.count_if("_kept").alias("gold_after_time")
+    )
+    return (
+        decided.select(*QUESTION_KEY, "n_pool", "pool_size", "fell_back")
+        .join(counts, QUESTION_KEY, "left")
+        .fillna(0, ["gold_total", "gold_after_time"])
+        .withColumn("gold_lost_time", F.col("gold_total") - F.col("gold_after_time"))
+    )
+
+
+def lost_gold(decided: DataFrame, blocks: DataFrame, gold: DataFrame) -> DataFrame:
+    """Gold rows that the decided pool leaves out."""
+    return gold_in_pool(decided, blocks, gold).filter(~F.col("_kept")).select(*QUESTION_KEY, "block_id")
+
+
+def gold_in_pool(decided: DataFrame, blocks: DataFrame, gold: DataFrame) -> DataFrame:
+    """Gold rows with ``_kept``: is the block there and in the decided pool?"""
     gold_pairs = gold.join(decided.select(*QUESTION_KEY, "tc_type", "tc_start", "tc_end", "intent", "pool_mode"), QUESTION_KEY)
     b = blocks.select("user_id", "block_id", "session_start", "session_end", "event_start", "event_end", F.lit(True).alias("_there"))
     constraint = (F.col("tc_type"), F.col("tc_start"), F.col("tc_end"))
-    flagged = gold_pairs.join(b, ["user_id", "block_id"], "left").withColumn(
+    return gold_pairs.join(b, ["user_id", "block_id"], "left").withColumn(
         "_kept",
         F.col("_there").isNotNull()
         & in_pool(
@@ -224,15 +247,6 @@ def pool_audit(decided: DataFrame, blocks: DataFrame, gold: DataFrame, rows_per_
             & _dated_or_unfiltered(F.col("session_start"), F.col("session_end")),
         ),
     )
-    counts = flagged.groupBy(*QUESTION_KEY).agg(
-        F.count(F.lit(1)).alias("gold_total"), F.count_if("_kept").alias("gold_after_time")
-    )
-    return (
-        decided.select(*QUESTION_KEY, "n_pool", "pool_size", "fell_back")
-        .join(counts, QUESTION_KEY, "left")
-        .fillna(0, ["gold_total", "gold_after_time"])
-        .withColumn("gold_lost_time", F.col("gold_total") - F.col("gold_after_time"))
-    )
 
 
 def trace_from_rankings(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:

@@ -15,7 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.session import cut_lineage
 
 ROWS_PER_SLICE = 50_000
 ROWS_PER_BATCH = 5_000
@@ -71,26 +70,3 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     shuffle, so each map task ships at most ``k`` rows per key."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(window)).filter(F.col(rank_col) <= k)
-
-
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], pos_col: str, partitions: int | None = None) -> DataFrame:
-    """Exact 1-based position of every row within its key, for groups of any size.
-
-    A window over the key would sort a whole group in one task.  Here rows are
-    range-partitioned by (key, order) and written once through a reliable
-    checkpoint, so that the partition number is stable; the position is the local
-    one plus the rows of the same key in earlier partitions (a table of keys x
-    partitions they touch).
-    """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy(*keys, "_part").orderBy(*order)
-    return (
-        ranged.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [*keys, "_part"])
-        .withColumn(pos_col, F.col("_local") + F.col("_offset"))
-        .drop("_local", "_offset", "_part")
-    )

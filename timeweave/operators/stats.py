@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.operators.skew import positions
 
 SCORES = ["f1", "precision", "recall", "accuracy", "bleu"]
 
@@ -96,31 +95,55 @@ def usage_by_stage(usage: DataFrame) -> DataFrame:
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (), method: str = "linear", name: str | None = None) -> DataFrame:
-    """Exact quantile per group, distributed; nulls are not counted.
+    """Exact quantile per group, distributed; nulls are not counted.  See :func:`quantiles`."""
+    return quantiles(df, value, {name or f"p{int(q * 100)}": (q, method)}, by)
+
+
+def quantiles(df: DataFrame, value: str, wanted: dict[str, tuple[float, str]], by: Sequence[str] = (), buckets: int = 4096) -> DataFrame:
+    """Exact quantiles per group, one column per name of ``wanted`` (quantile, method).
 
     ``linear`` interpolates between neighbours, ``nearest`` takes the sorted value
     at ``clamp(round_half_even(q n) - 1)``, ``floor`` the one at ``int(q n)``.
+
+    Equal values are counted first.  Their counts fill ``buckets`` equal ranges between a group's least and greatest value;
+    running sums over the ranges tell which range holds each position, and only values of those ranges are put in order.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    if method == "linear":
-        k = (F.col("_n") - 1) * F.lit(q)
-        low = F.floor(k)
-    elif method == "nearest":
-        k = low = F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.bround(F.lit(q) * F.col("_n"), 0).cast("bigint") - 1))
-    else:
-        k = low = F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1)
-    wanted = n.select(*by, low.cast("bigint").alias("_low"), (k - low).alias("_frac"))
-    placed = positions(rows, by, [F.asc("_v")], "_pos")
-    if by:
-        joined = placed.join(wanted, list(by))
-    else:
-        joined = placed.withColumn("_one", F.lit(1)).join(F.broadcast(wanted.withColumn("_one", F.lit(1))), "_one")
-    near = joined.filter((F.col("_pos") - 1).between(F.col("_low"), F.col("_low") + 1))
-    at = lambda step: F.max(F.when(F.col("_pos") == F.col("_low") + 1 + step, F.col("_v")))
-    picked = near.groupBy(*by).agg(at(0).alias("_a"), at(1).alias("_b"), F.max("_frac").alias("_f"))
-    out = F.when(F.col("_f") == 0, F.col("_a")).otherwise(F.col("_a") + F.col("_f") * (F.coalesce("_b", "_a") - F.col("_a")))
-    return picked.select(*by, out.alias(name or f"p{int(q * 100)}"))
+    keys = [f"_g{i}" for i in range(max(1, len(by)))]
+    groups = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)] if by else [F.lit(0).alias(keys[0])]
+    counted = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    span = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    same = lambda left, right: [left[k].eqNullSafe(right[f"_x{k}"]) for k in keys]
+    hidden = lambda table: table.withColumnsRenamed({k: f"_x{k}" for k in keys})
+    shown = lambda table: table.drop(*(f"_x{k}" for k in keys))
+    range_of = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (buckets - 1))).otherwise(0)
+    other = hidden(span)
+    placed = shown(counted.join(other, same(counted, other))).withColumn("_range", range_of.cast("int")).select(*keys, "_range", "_v", "_c")
+    before = lambda *part: Window.partitionBy(*part[:-1]).orderBy(part[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(*keys, "_range").agg(F.sum("_c").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before(*keys, "_range")), F.lit(0)))
+    asks = []
+    for name, (q, method) in wanted.items():
+        n = F.col("_n")
+        if method == "linear":
+            at = (n - 1) * F.lit(q)
+            low = F.floor(at)
+        elif method == "nearest":
+            at = low = F.greatest(F.lit(0), F.least(n - 1, F.bround(F.lit(q) * n, 0).cast("bigint") - 1))
+        else:
+            at = low = F.least(F.floor(F.lit(q) * n), n - 1)
+        for step in (0, 1):
+            asks.append(F.struct(F.lit(f"{name}/{step}").alias("_name"), F.least(low + step, n - 1).cast("bigint").alias("_pos"), (at - low).cast("double").alias("_frac")))
+    ask = hidden(span.select(*keys, F.explode(F.array(*asks)).alias("_ask")).select(*keys, "_ask.*"))
+    held = ranges.join(ask, same(ranges, ask)).filter((F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_c")))
+    held = hidden(shown(held).select(*keys, F.col("_range").alias("_in"), (F.col("_pos") - F.col("_before")).alias("_at"), "_name", "_frac"))
+    chosen = held.select(*(f"_x{k}" for k in keys), "_in").distinct()
+    inside = shown(placed.join(chosen, [*same(placed, chosen), placed["_range"] == chosen["_in"]])).drop("_in")
+    inside = inside.withColumn("_before", F.coalesce(F.sum("_c").over(before(*keys, "_range", "_v")), F.lit(0)))
+    hits = inside.join(held, [*same(inside, held), inside["_range"] == held["_in"]]).filter((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_c")))
+    value_at = lambda name: F.max(F.when(F.col("_name") == name, F.col("_v")))
+    share = lambda name: F.max(F.when(F.col("_name") == name, F.col("_frac")))
+    out = [(value_at(f"{n}/0") + F.when(share(f"{n}/0") > 0, share(f"{n}/0") * (value_at(f"{n}/1") - value_at(f"{n}/0"))).otherwise(0)).alias(n) for n in wanted]
+    picked = hits.groupBy(*keys).agg(*out)
+    return picked.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=False)), *wanted)
 
 
 def value_stats(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "linear") -> DataFrame:
@@ -128,12 +151,11 @@ def value_stats(df: DataFrame, value: str, by: Sequence[str] = (), method: str =
     base = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")
     )
-    mid = exact_quantile(df, value, 0.5, by, "linear", "median")
-    high = exact_quantile(df, value, 0.95, by, method, "p95")
+    picked = quantiles(df, value, {"median": (0.5, "linear"), "p95": (0.95, method)}, by)
     if not by:
-        one = lambda x: x.withColumn("_one", F.lit(1))
-        return one(base).join(one(mid), "_one").join(one(high), "_one").drop("_one")
-    return base.join(mid, list(by)).join(high, list(by))
+        return base.withColumn("_one", F.lit(1)).join(picked.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    other = picked.withColumnsRenamed({c: f"_x{c}" for c in by})
+    return base.join(other, [base[c].eqNullSafe(other[f"_x{c}"]) for c in by]).drop(*(f"_x{c}" for c in by))
 
 
 def distribution(df: DataFrame, columns: Sequence[str], default: str = "NONE") -> DataFrame:

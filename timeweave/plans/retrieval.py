@@ -1,42 +1,81 @@
-"""End-to-end retrieval: decide each question's pool, then score and rank."""
+"""End-to-end retrieval: from question text to ranked blocks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.operators import pools, rank
+from timeweave.functions.text import content_key
+from timeweave.operators import anchors, pools, rank
+from timeweave.plans.annotate import annotate
+from timeweave.session import cut_lineage
 
+KEY = ["user_id", "qa_idx"]
 
-def retrieve(questions: DataFrame, blocks: DataFrame, k: int = 5, mode: str = "full", rule: str = "empty",
-             axis_mode: str = "auto", decay: bool = False) -> DataFrame:
+
+def retrieve(questions: DataFrame, blocks: DataFrame, k: int = 5, time_filter: bool = True, rule: str = "empty", axis_mode: str = "auto",
+             decay: str | None = None, buffer: bool = False, bypass: tuple[str, ...] = ()) -> DataFrame:
     """Top-``k`` blocks per question -> ``(user_id, qa_idx, block_id, score, rank)``.
 
-    Two passes over the blocks: ids and dates for the pool decision (no vectors
-    are read), then vectors in bounded tiles for scoring.  ``mode`` is one of
-    :data:`timeweave.operators.rank.RUN_MODES`.
+    Two passes over the blocks: dates for the pool decision (no vectors are read),
+    then vectors in bounded tiles for scoring.  ``time_filter`` off ranks the whole
+    pool; ``decay`` weighs scores by distance in time, for ``history`` questions
+    (STATIC, PLANNING) or ``dated`` ones; ``buffer`` widens constraints by intent
+    first; questions of the categories in ``bypass`` are never filtered.
     """
-    config = rank.RUN_MODES[mode]
-    q = questions
-    if config["time"]:
+    q = pools.bypass_categories(questions, bypass) if bypass else questions
+    q = pools.buffered(q) if buffer else q
+    if time_filter:
         q, blocks = _with_decision(q, blocks, rule, axis_mode)
     if decay:
         query_day = F.col("tc_start")
-        applies = rank.decay_applies(mode, F.col("intent"), F.col("tc_type"), query_day)
+        applies = rank.decay_applies(decay == "dated", F.col("intent"), F.col("tc_type"), query_day)
         q = q.withColumn("decay_day", F.when(applies, F.unix_date(query_day))).withColumn(
             "late_penalty", F.col("intent").isin("AS_OF", "STATIC")
         )
         blocks = blocks.withColumn("b_day", F.unix_date(F.coalesce("session_end", "session_start")))
-    return rank.tiled_top_k(q, blocks, k, filtered=config["time"], decayed=decay)
+    return rank.tiled_top_k(q, blocks, k, filtered=time_filter, decayed=decay is not None)
+
+
+def directed(questions: DataFrame) -> DataFrame:
+    """Annotated questions with the columns that retrieval reads.
+
+    ``questions(user_id, qa_idx, question, base_day, ...)`` gains ``tc_type``,
+    ``tc_start``, ``tc_end``, ``axis``, ``intent``, ``anchor_relation`` and
+    ``rewritten_query``.
+    """
+    a = annotate(questions)
+    day = lambda c: F.to_date(c)
+    return a.select(
+        *questions.columns, F.col("tc.type").alias("tc_type"), day("tc.start").alias("tc_start"), day("tc.end").alias("tc_end"),
+        F.col("time_axis").alias("axis"), "intent", F.col("tc.anchor_relation").alias("anchor_relation"), "rewritten_query",
+    )
 
 
-def score_pool(questions: DataFrame, blocks: DataFrame, rule: str = "empty", axis_mode: str = "auto") -> DataFrame:
-    """Score of every block in each question's decided pool (full order: see
-    :func:`timeweave.operators.rank.rank_full`)."""
-    q, b = _with_decision(questions, blocks, rule, axis_mode)
-    return rank.tiled_scores(q, b, filtered=True)
+def resolved(questions: DataFrame, blocks: DataFrame, event_vectors: DataFrame, rules: anchors.AnchorRules = anchors.AnchorRules()) -> DataFrame:
+    """Questions whose ANCHOR constraint is replaced by the window of the anchor's blocks; the others pass unchanged."""
+    asked = questions.filter("tc_type = 'ANCHOR'").select(*KEY, "embedding", "anchor_relation")
+    found = anchors.resolve(asked, blocks, event_vectors, rules).select(*KEY, *(F.col(c).alias(f"_{c}") for c in ("tc_type", "tc_start", "tc_end", "axis")))
+    took = F.col("_tc_type").isNotNull()
+    changed = ("tc_type", "tc_start", "tc_end", "axis")
+    q = questions.join(found, KEY, "left").withColumns({c: F.when(took, F.col(f"_{c}")).otherwise(F.col(c)) for c in changed})
+    return q.drop(*(f"_{c}" for c in changed))
+
+
+def answer_context(questions: DataFrame, blocks: DataFrame, event_vectors: DataFrame, vectors: DataFrame, k: int = 5, **options) -> DataFrame:
+    """From question text to ranked blocks in one plan: annotate, resolve anchors, filter, rank by the rewritten question.
+
+    ``questions(user_id, qa_idx, question, base_day)``; ``vectors(user_id, text_key, embedding)`` holds the vectors of
+    question texts by :func:`timeweave.functions.text.content_key`, one of which is the rewritten text.  Options as in
+    :func:`retrieve`.
+    """
+    named = directed(questions).withColumn("text_key", content_key(F.col("rewritten_query")))
+    own = vectors.select("user_id", "text_key", "embedding").dropDuplicates(["user_id", "text_key"])
+    # annotation is the dear part and ranking reads its result several times: it is computed once
+    asked = cut_lineage(named.join(own, ["user_id", "text_key"], "left").select(*KEY, "embedding", "tc_type", "tc_start", "tc_end", "axis", "intent", "anchor_relation"))
+    return retrieve(cut_lineage(resolved(asked, blocks, event_vectors)), blocks, k, **options)
 
 
 def _with_decision(questions: DataFrame, blocks: DataFrame, rule: str, axis_mode: str) -> tuple[DataFrame, DataFrame]:
-    decision = pools.decide_pool(questions.drop("embedding"), blocks, rule, axis_mode).select("user_id", "qa_idx", "pool_mode")
-    return pools.with_bounds(questions).join(decision, ["user_id", "qa_idx"]), pools.with_axis_days(blocks)
+    decision = pools.decide_pool(questions.drop("embedding"), blocks, rule, axis_mode).select(*KEY, "pool_mode")
+    return pools.with_bounds(questions).join(decision, KEY), pools.with_axis_days(blocks)

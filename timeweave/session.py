@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plans.  Cluster sizing (executors, memory,
@@ -34,13 +32,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tim
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
-
-    A private folder is set only where the session names none (tests).
-    """
+    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``; runs the plan of ``df`` at once."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+        if configured is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(configured)
     return df.checkpoint()
