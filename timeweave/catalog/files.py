@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,13 +16,13 @@ from timeweave.operators import blocks as bl
 from timeweave.operators import rank
 from timeweave.plans.annotate import inferred_axis
 from timeweave.plans.annotate_old import annotate_old
+from timeweave.session import shared_folder
 from timeweave.sources import scans, sinks
 
 
 def scratch(spark) -> str:
-    """A new folder: below the cluster's shared one where it is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-files-", dir="/tmp")
+    """A new folder under the one that ``spark.checkpoint.dir`` names."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 @query(

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from timeweave.catalog.fixtures import BLK, blocks, with_sql
 from timeweave.catalog.graph import EDGES
 from timeweave.catalog.registry import query, table
+from timeweave.session import shared_folder
 from timeweave.streaming import jobs
 from timeweave.streaming.segmentation import segment_stream
 
 
-def _scratch(spark) -> str:
-    """Folder for stream output: the cluster's shared folder where one is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+def _scratch(spark):
+    """A new folder under the one that ``spark.checkpoint.dir`` names."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events_stream(spark, d):
@@ -53,7 +49,12 @@ def st2(spark, d):
         F.concat(F.lit("session_"), (F.floor(F.col("turn") / 3) + 1).cast("int")).alias("session_id"), (F.col("turn") % 3 + 1).cast("int").alias("msg_idx"),
         "role", "text", (F.length("text") % 3 == 0).alias("split"), F.timestamp_seconds(F.col("turn") * 60 + 1_700_000_000).alias("msg_ts"),
     )
-    return _drain(segment_stream(m, idle="1 minute", late="0 seconds"), spark).select("user_id", "block_no", "start_idx", "end_idx", "messages", "sealed_by")
+    # a closing row, later than all others, lets the watermark pass the last messages, so that no block stays open
+    base = _scratch(spark)
+    end = spark.range(1).selectExpr("'' AS user_id", "1 AS session_order", "'end' AS session_id", "1 AS msg_idx", "'' AS role", "'' AS text", "false AS split", "timestamp'2100-01-01' AS msg_ts")
+    end.select(*m.columns).write.parquet(f"{base}/end")
+    closed = m.unionByName(spark.readStream.schema(m.schema).parquet(f"{base}/end"))
+    return _drain(segment_stream(closed, idle="1 minute", late="0 seconds"), spark).filter("user_id <> ''").select("user_id", "block_no", "start_idx", "end_idx", "messages", "sealed_by")
 
 
 @query(

@@ -31,13 +31,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tim
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``; runs the plan of ``df`` at once."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir`` that driver and executors share; an error where none is named."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(configured)
+        context.setCheckpointDir(configured)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; runs the plan of ``df`` at once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
