@@ -120,7 +120,7 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
     n_blocks = max(1, -(-total // options.block_words))
     found = None
     for block in range(n_blocks):
-        part = tokens.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block).toPandas()
+        part = tokens.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block).toArrow().to_pandas()
         hits = search_block(index, part, options)
         found = hits if found is None else found.unionByName(hits)
     if n_blocks > 1:
@@ -244,7 +244,7 @@ def list_sizes(index: DataFrame, terms: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
-    sums = index.select("terms", "lists").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    sums = index.select("terms", "lists").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     sizes = np.zeros(len(terms), np.int64)
     sizes[sums["term"]] = sums["n"]
     return sizes

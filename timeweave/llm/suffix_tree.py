@@ -5,14 +5,13 @@ has a probability.  The tree's states are contexts of up to ``depth`` preceding
 are gathered from every training text, combined in the task, and summed over the corpus.  A context of enough occurrences is
 retained when its next-byte distribution diverges from that of the context one byte shorter: ``count * KL`` must exceed the
 Bayesian penalty for its distinct next bytes.  Suffixes of retained contexts are retained too.  Distributions are smoothed
-by interpolation with the shorter context, by the number of distinct next bytes, down to the uniform one.  A byte is scored in the
+by interpolation with the shorter context, weighted by the number of distinct next bytes, down to the uniform one.  A byte is scored in the
 state of the longest retained suffix before it.
 
 Sizes: (context, byte) counts and word counts are tables that grow with the corpus and never leave the executors.  Only retained
-contexts are broadcast: each has at least ``min_share`` of all training bytes, so there are at most ``depth / min_share``.
-
-Texts travel in chunks of a few megabytes, stored once; a chunk asks for the counts of its distinct words, so a frequent word is
-asked for once a chunk.
+contexts are broadcast: each has at least ``min_share`` of all training bytes, so there are at most ``depth / min_share``.  So are
+the counts of frequent words; the tokens of other words join the word counts, which no frequent word can make uneven.
+Texts travel in chunks of a few megabytes, stored once.
 
 Defined results: a null text counts as empty and is one end token; a null id is never held out; repeated rows are scored each by
 itself and count each in training; without training texts all scores are uniform and base scores 0; other columns are ignored.
@@ -20,16 +19,17 @@ itself and count each in training; without training texts all scores are uniform
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from timeweave.llm.store import written
 from timeweave.llm.texts import LOWER, SAME, SPACED, raw_bytes, slices, words
@@ -41,15 +41,19 @@ END_WORD = np.uint64(0x656E64)
 
 @dataclass(frozen=True)
 class Tree:
-    """``min_count`` and ``min_share`` of all training bytes bound the contexts looked at; ``penalty`` scales the divergence test."""
+    """``min_count`` and ``min_share`` of all training bytes bound the contexts looked at; ``penalty`` scales the divergence test;
+    ``smoothing`` is the weight of the shorter context for each distinct next byte.  Words of ``word_share`` of all tokens or more
+    are broadcast with their counts, others are counted by a join."""
 
     depth: int = 6
-    min_count: int = 8
-    min_share: float = 4e-6
-    penalty: float = 0.5
+    min_count: int = 4
+    min_share: float = 1e-6
+    penalty: float = 0.25
+    smoothing: float = 4.0
     folds: int = 7
     held_fold: int = 2
-    chunk_bytes: int = 4 << 20
+    word_share: float = 1e-6
+    chunk_bytes: int = 1 << 20
 
 
 def symbols(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -66,7 +70,7 @@ def symbols(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, id_col: str, text: str, tree: Tree) -> DataFrame:
-    """(chunk, ids, held, symbols): texts in chunks, stored."""
+    """(chunk, ids, held, symbols): texts in chunks, their symbols compressed, so that a batch of chunks stays small; stored."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % tree.folds == tree.held_fold, F.lit(False))
     source = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text).alias("text"))
     schema = f"chunk long, ids array<{source.schema['id'].dataType.simpleString()}>, held array<boolean>, symbols binary"
@@ -78,12 +82,16 @@ def chunks(docs: DataFrame, id_col: str, text: str, tree: Tree) -> DataFrame:
             for at, to in slices(bounds, tree.chunk_bytes):
                 ids, flags = (pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), batch.column(c).slice(at, to - at)) for c in (0, 1))
                 stream = symbols(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
-                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, flags, pa.array([stream.tobytes()], pa.binary())], names=["chunk", "ids", "held", "symbols"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, flags, pa.array([zstandard.ZstdCompressor(level=1).compress(stream.tobytes())], pa.binary())], names=["chunk", "ids", "held", "symbols"])
                 number += 1
 
     return written(source.mapInArrow(run, schema))
 
 
+def unpacked(value: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(value.as_buffer()), np.uint8)
+
+
 def text_bounds(stream: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(stream == END) + 1])
 
@@ -100,31 +108,53 @@ def word_hashes(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def word_counts(stored: DataFrame) -> DataFrame:
-    """(word, c) over the training texts, by word hash."""
+def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[begin], np.add.reduceat(counts, begin) if len(begin) else counts
+
+
+def training_counts(stored: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], room: int = 1 << 20) -> DataFrame:
+    """(key, n) over the training texts; a task sums equal keys, of which it holds about ``room``, before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            out = merged(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+            parts.clear()
+            return out
+
+        def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+
         for batch in batches:
             for row in range(batch.num_rows):
-                held = np.asarray(batch.column(0)[row].values)
-                tokens, first = word_hashes(np.frombuffer(batch.column(1)[row].as_py(), np.uint8))
-                value, n = np.unique(tokens[np.repeat(~held, np.diff(first))], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+                stream = unpacked(batch.column(1)[row])
+                train = np.repeat(~np.asarray(batch.column(0)[row].values), np.diff(text_bounds(stream)))
+                own = np.sort(keys_of(stream[train]))
+                begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+                parts.append((own[begin], np.diff(np.append(begin, len(own)))))
+                if sum(len(k) for k, _ in parts) > room:
+                    parts.append(summed())
+                    if len(parts[0][0]) > room // 2:
+                        yield rows(*parts.pop())
+        if parts:
+            yield rows(*summed())
 
-    return stored.select("held", "symbols").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return stored.select("held", "symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def asked_words(stored: DataFrame) -> DataFrame:
-    """(chunk, place, word): the distinct words of each chunk, in the order of their hashes."""
+def word_counts(stored: DataFrame) -> DataFrame:
+    """(key, n) by word hash, the end token among them."""
+    return training_counts(stored, lambda stream: word_hashes(stream)[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                value = np.unique(word_hashes(np.frombuffer(batch.column(1)[row].as_py(), np.uint8))[0])
-                chunk = np.full(len(value), batch.column(0)[row].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value.view(np.int64))], names=["chunk", "place", "word"])
 
-    return stored.select("chunk", "symbols").mapInArrow(run, "chunk long, place int, word long")
+def context_counts(stored: DataFrame, tree: Tree) -> DataFrame:
+    """(key, n) of every deepest context and next byte."""
+    depth = tree.depth
+    return training_counts(stored, lambda stream: context_keys(stream, depth))
 
 
 def mask(depth: int) -> int:
@@ -136,43 +166,14 @@ def context_keys(stream: np.ndarray, depth: int) -> np.ndarray:
     """For each byte its context, nearest byte first, with the byte itself in the lowest place.  Contexts end at a text's start."""
     n = len(stream)
     bounds = text_bounds(stream)
-    since = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
-    keys = stream.astype(np.uint64)
+    since = np.arange(n, dtype=np.int32) - np.repeat(bounds[:-1].astype(np.int32), np.diff(bounds))
+    # the bytes of a key, least first: the symbol, then contexts from the farthest byte up to the nearest
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, 0] = stream
     for k in range(1, depth + 1):
-        before = np.full(n, END, np.uint64)
-        before[k:] = stream[:-k] if n > k else stream[:0]
-        before[since < k] = END
-        keys |= before << np.uint64(64 - 8 * k)
-    return keys
-
-
-def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[begin], np.add.reduceat(counts, begin) if len(begin) else counts
-
-
-def context_counts(stored: DataFrame, tree: Tree) -> DataFrame:
-    """(key, n) of every deepest context and next byte in the training texts."""
-    room = 1 << 21
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                stream = np.frombuffer(batch.column(1)[row].as_py(), np.uint8)
-                bounds = text_bounds(stream)
-                train = np.repeat(~np.asarray(batch.column(0)[row].values), np.diff(bounds))
-                own = np.sort(context_keys(stream[train], tree.depth))
-                begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-                keys, counts = merged(np.concatenate([keys, own[begin]]), np.concatenate([counts, np.diff(np.append(begin, len(own)))]))
-                if len(keys) > room:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
-                    keys, counts = keys[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
-
-    return stored.select("held", "symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        keys[k:, 8 - k] = stream[: max(0, n - k)]
+        keys[since < k, 8 - k] = END
+    return keys.view("<u8").ravel()
 
 
 def signed(value: int) -> int:
@@ -183,11 +184,17 @@ def retained(counts: DataFrame, tree: Tree) -> DataFrame:
     """(depth, context, byte, n): next-byte counts of the root and of all contexts that the divergence test retains."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(tree.min_count, int(np.ceil(tree.min_share * total)))
-    deep = counts.select(F.col("key"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n")
-    levels = F.array(*(F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND(F.lit(signed(mask(d)))).alias("context")) for d in range(tree.depth + 1)))
-    pairs = deep.select(F.explode(levels).alias("at"), "byte", "n").groupBy("at", "byte").agg(F.sum("n").alias("n"))
-    by_context = pairs.groupBy("at").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("branches")).where((F.col("total") >= least) | (F.col("at.depth") == 0))
-    pairs = written(pairs.join(by_context, "at").select("at.depth", "at.context", "byte", "n", "total", "branches"))
+    levels, keys = [], counts
+    for d in range(tree.depth, -1, -1):
+        context = F.col("key").bitwiseAND(F.lit(signed(mask(d))))
+        byte = F.col("key").bitwiseAND(F.lit(255))
+        if d < tree.depth:  # the counts of a level come from those of the next longer contexts
+            keys = written(keys.groupBy(context.bitwiseOR(byte).alias("key")).agg(F.sum("n").alias("n")))
+        own = keys.select(context.alias("context"), byte.alias("byte"), "n")
+        of = own.groupBy(F.col("context").alias("of")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("branches"))
+        of = of.where(F.col("total") >= (least if d else 0))
+        levels.append(own.join(of, F.col("context") == F.col("of")).select(F.lit(d).alias("depth"), "context", "byte", "n", "total", "branches"))
+    pairs = written(reduce(DataFrame.unionByName, levels))
     shorter = F.lit(None)
     for d in range(1, tree.depth + 1):
         shorter = F.when(F.col("depth") == d, F.col("context").bitwiseAND(F.lit(signed(mask(d - 1))))).otherwise(shorter)
@@ -230,11 +237,11 @@ class Model:
         return out
 
 
-def model_of(table: pd.DataFrame, depth: int) -> Model:
+def model_of(table: pd.DataFrame, tree: Tree) -> Model:
     """Smoothed distributions of retained contexts; a shorter state's are done first."""
     contexts, weights, entries, scores = [], [], [], []
     probability = np.zeros(0)
-    for d in range(depth + 1):
+    for d in range(tree.depth + 1):
         own = table[table["depth"] == d]
         context = own["context"].to_numpy(np.int64).view(np.uint64)
         key = context | own["byte"].to_numpy(np.int64).astype(np.uint64)
@@ -243,58 +250,72 @@ def model_of(table: pd.DataFrame, depth: int) -> Model:
         begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(begin, len(key)))
         total = np.add.reduceat(n, begin) if len(begin) else n
+        spared = tree.smoothing * sizes
         lower = np.full(len(key), 1 / 256)
         if d and len(key):
             short = (key & np.uint64(mask(d - 1))) | (key & np.uint64(255))
             lower = probability[np.searchsorted(entries[d - 1], short)]
-        probability = (n + np.repeat(sizes, sizes) * lower) / np.repeat(total + sizes, sizes) if len(key) else n
+        probability = (n + np.repeat(spared, sizes) * lower) / np.repeat(total + spared, sizes) if len(key) else n
         contexts.append(context[begin])
-        weights.append(np.log10(sizes / (total + sizes)))
+        weights.append(np.log10(spared / (total + spared)))
         entries.append(key)
         scores.append(np.log10(probability))
     return Model(contexts, weights, entries, scores)
 
 
+def frequent_words(counted: DataFrame, n_train: int, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the words that make up ``word_share`` of all tokens or more: at most its inverse."""
+    table = counted.where(F.col("n") >= max(1, int(np.ceil(tree.word_share * n_train)))).toArrow()
+    keys, counts = np.asarray(table["key"]).astype(np.int64).view(np.uint64), np.asarray(table["n"]).astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tree: Tree = Tree()) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
     stored = chunks(docs, id_col, text, tree)
     counted = written(word_counts(stored))
-    n_train, n_words = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    table = retained(written(context_counts(stored, tree)), tree).toPandas()
-    model = docs.sparkSession.sparkContext.broadcast(model_of(table, tree.depth))
-    answers = asked_words(stored).join(counted, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("known"))
-    joined = stored.join(answers.withColumnRenamed("chunk", "of"), F.col("chunk") == F.col("of"), "left").select("ids", "held", "symbols", "known.place", "known.c")
-    id_type = stored.schema["ids"].dataType.elementType
-    kinds = [T.StructField(id_col, id_type), T.StructField("held_out", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")]
-    schema = T.StructType(kinds + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")])
-    depth = tree.depth
+    n_train, n_words = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    model = model_of(retained(written(context_counts(stored, tree)), tree).toArrow().to_pandas(), tree)
+    query = docs.sparkSession.sparkContext.broadcast((model, *frequent_words(counted, n_train, tree)))
+    id_type = stored.schema["ids"].dataType.elementType.simpleString()
+    schema = f"chunk long, place int, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
+    depth, spread = tree.depth, float(np.log10(n_train + 1.0 * (n_words + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, names, counts = query.value
         for batch in batches:
             for row in range(batch.num_rows):
-                stream = np.frombuffer(batch.column(2)[row].as_py(), np.uint8)
+                stream = unpacked(batch.column(3)[row])
                 bounds = text_bounds(stream)
                 tokens, first = word_hashes(stream)
-                value, which = np.unique(tokens, return_inverse=True)
-                c = np.zeros(len(value), np.int64)
-                if batch.column(3)[row].is_valid:
-                    c[np.asarray(batch.column(3)[row].values)] = np.asarray(batch.column(4)[row].values)
-                own = c[which]
-                base = np.add.reduceat(np.log10(own + 1.0), first[:-1]) - np.diff(first) * np.log10(n_train + 1.0 * (n_words + 1))
+                at = np.minimum(np.searchsorted(names, tokens), max(0, len(names) - 1))
+                known = names[at] == tokens if len(names) else np.zeros(len(tokens), bool)
+                base = np.add.reduceat(np.where(known, np.log10(counts[at] + 1.0) if len(names) else 0.0, 0.0), first[:-1]) - np.diff(first) * spread
+                unknown = np.concatenate([[0], np.cumsum(~known)])[first]
+                rare = pa.ListArray.from_arrays(pa.array(unknown, pa.int32()), pa.array(tokens[~known].view(np.int64)))
                 keys = context_keys(stream, depth)
                 order = np.argsort(keys)
                 ordered = keys[order]
                 fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
                 each = np.empty(len(keys))
-                each[order] = model.value.log10(ordered[fresh])[np.cumsum(fresh) - 1]
+                each[order] = model.log10(ordered[fresh])[np.cumsum(fresh) - 1]
                 n = len(bounds) - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[row].values, batch.column(1)[row].values, pa.array(np.diff(first).astype(np.int64)),
-                        pa.array(np.add.reduceat((own > 0).astype(np.int64), first[:-1])), pa.array(np.full(n, n_train, np.int64)),
-                        pa.array(base), pa.array(np.add.reduceat(each, bounds[:-1])),
+                        pa.array(np.full(n, batch.column(0)[row].as_py())), pa.array(np.arange(n, dtype=np.int32)), batch.column(1)[row].values, batch.column(2)[row].values,
+                        pa.array(np.diff(first).astype(np.int64)), pa.array(np.add.reduceat(known.astype(np.int64), first[:-1])), pa.array(base),
+                        pa.array(np.add.reduceat(each, bounds[:-1])), rare,
                     ],
-                    names=schema.names,
+                    names=["chunk", "place", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
                 )
 
-    return joined.mapInArrow(run, schema)
+    scored = written(stored.mapInArrow(run, schema))
+    # a word that no training text has adds log10(1) and is not known, so an inner join tells all
+    asked = scored.select("chunk", "place", F.explode("rare").alias("key")).join(counted, "key")
+    more = asked.groupBy("chunk", "place").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more_base"), F.count(F.lit(1)).alias("more_known"))
+    found = scored.drop("rare").join(more, ["chunk", "place"], "left")
+    return found.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
+    )

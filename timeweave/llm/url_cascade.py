@@ -111,7 +111,7 @@ def build_level(keys: DataFrame, n: int, share: float, number: int) -> Level:
             value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), begin) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "value"])
 
-    rows = keys.select("first", "second").mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
+    rows = keys.select("first", "second").mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow().to_pandas()
     bits = np.zeros(size // 64 + 1, np.uint64)
     bits[rows["word"].to_numpy()] = rows["value"].to_numpy(np.int64).view(np.uint64)
     return Level(bits.view(np.uint8), size, hashes, number)
