@@ -65,6 +65,33 @@ def test_loose_group_in_one_bucket_is_linked_where_similar(spark):
     assert all(want[a] == want[b] for a in want for b in want if found[a] == found[b])
 
 
+def test_every_candidate_link_of_a_loose_group_is_in_one_class(spark):
+    """All pairs that agree in a sketch and are similar, by brute force, in buckets of many blocks."""
+    rng = random.Random(11)
+    origin, rows = sentence(rng, 120), []
+    for k in range(400):
+        words = list(origin)
+        for _ in range(rng.choice((1, 2, 3, 4, 5, 6))):
+            words[rng.randrange(120)] = f"w{k}{rng.randrange(1000)}"
+        rows.append((k, " ".join(words), "s"))
+    found = {r["doc_id"]: r["class_id"] for r in nd.near_duplicate_classes(frame(spark, rows), sketches=4, small=4, tile=32).collect()}
+    number: dict[str, int] = {}
+    keys = [nd.shingles(np.array([number.setdefault(w, len(number)) for w in t.split()], np.uint64)) for _, t, _ in rows]
+    drawn = {r["row"]["id"]: r["sketches"] for r in nd.sketch(frame(spark, rows), "doc_id", "text", 4, 4).collect()}
+    links = [(a, b) for b in range(400) for a in range(b) if any(x == y for x, y in zip(drawn[a], drawn[b], strict=True)) and nd.aligned_similarity(keys[a], keys[b], 0.8) >= 0.8]
+    assert len(links) > 300
+    assert [(a, b) for a, b in links if found[a] != found[b]] == []
+    want = brute_classes(rows)
+    assert all(want[a] == want[b] for a in want for b in want if found[a] == found[b])
+
+
+def test_shared_counts_match_sets():
+    rng = np.random.default_rng(3)
+    a, b = ([rng.choice(300, n, replace=False).astype(np.uint64) for n in sizes] for sizes in ((5, 80, 1), (40, 200)))
+    assert nd.shared_counts(a, b, 64).tolist() == [[len(set(x) & set(y)) for y in b] for x in a]
+    assert nd.shared_counts([a[0]], [a[0] + np.uint64(1000)]).tolist() == [[0]]
+
+
 def test_order_matters_to_sketch_and_alignment():
     rng = np.random.default_rng(1)
     a = nd.shingles(rng.integers(0, 1 << 62, 200).astype(np.uint64))

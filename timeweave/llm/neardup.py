@@ -10,10 +10,13 @@ longest increasing run of matched positions within the band that the threshold l
 the similarity is ``L / (n + m - L)``; texts of 0.8 or more are linked, and classes are connected components of links.
 
 Groups of any size: texts of equal word sequences are one node from the start (one row per node after a map-side combine).
-In a sketch bucket every node is compared with the bucket's leader only, in two rounds with other leaders, the second among
-nodes not yet in one class; then nodes of different classes are compared in full in buckets of at most ``small`` nodes, and
-in larger ones within the finer buckets of nodes that agree in two sketches.  So pairs grow with the nodes, not with the
-square of a bucket.  Only counts reach the driver.
+In a sketch bucket every node is compared with the bucket's leader first.  Then, in every bucket whose nodes are still in two
+classes or more, all pairs of different classes are compared: as pairs in buckets of at most ``small`` nodes, and block by block
+in larger ones.  A bucket's blocks are dealt by a seeded hash, those of its largest class apart, which need not meet each
+other; a tile of two blocks counts the shared shingles of all its pairs by matrix products and aligns those that can reach the
+threshold.  So every pair that agrees in a sketch is compared, or is in one class anyway.  The work of a bucket is its size times
+its nodes outside its largest class; its tiles have bounded sizes and spread over all tasks, and a tile returns no more links
+than it has nodes.  Only counts reach the driver.
 
 Defined results: a text of fewer than five words is one shingle; a null text, or one without a word, is never a duplicate and
 is a class of its own row; repeated rows are in one class; a null id orders after all others; other columns are ignored.
@@ -199,11 +202,85 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     return ordered_pairs(members.join(other, "bucket").where("class <> b_class").select(F.col("node").alias("a"), "b"))
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """How many keys each of ``a`` shares with each of ``b``; no key repeats within one of them."""
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+
+    def placed(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, owner = np.concatenate(side), np.repeat(np.arange(len(side)), [len(k) for k in side])
+        at = np.searchsorted(common, keys)
+        hit = common[np.minimum(at, len(common) - 1)] == keys
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], owner[hit][order]
+
+    out = np.zeros((len(a), len(b)), np.int64)
+    sides = [placed(a), placed(b)] if len(common) else []
+    for low in range(0, len(common), width):
+        has = [np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)]
+        for matrix, (at, owner) in zip(has, sides, strict=True):
+            part = slice(*np.searchsorted(at, [low, low + width]))
+            matrix[owner[part], at[part] - low] = 1
+        out += (has[0] @ has[1].T).astype(np.int64)
+    return out
+
+
+def tile_links(tile: pa.Table, least: float) -> pa.Table:
+    """Links (a, b) that join all classes of a tile (low, high, own, node, class, words) which have a pair of similarity ``least``
+    or more between the tile's two blocks."""
+    names, own = tile.column("node").to_pylist(), np.asarray(tile.column("own"))
+    rows, columns = (np.flatnonzero(own == tile.column(c)[0].as_py()) for c in ("low", "high"))
+    links: list[tuple[bytes, bytes]] = []
+    if len(rows) and len(columns):
+        number: dict[bytes, int] = {}
+        kind = np.array([number.setdefault(c, len(number)) for c in tile.column("class").to_pylist()])
+        keys = [shingles(np.frombuffer(w, np.uint32).astype(np.uint64)) for w in tile.column("words").to_pylist()]
+        sizes = np.array([len(k) for k in keys])
+        shared = shared_counts([keys[k] for k in rows], [keys[k] for k in columns])
+        # an alignment is no longer than the shingles shared
+        may = (shared >= least * (sizes[rows][:, None] + sizes[columns] - shared) - 1e-9) & (kind[rows][:, None] != kind[columns])
+        parent = list(range(len(number)))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero(may)), strict=True):
+            a, b = rows[i], columns[j]
+            x, y = root(kind[a]), root(kind[b])
+            if x != y and aligned_similarity(keys[a], keys[b], least) >= least:
+                parent[x] = y
+                links.append((min(names[a], names[b]), max(names[a], names[b])))
+    return pa.table([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
+
+
+def tiled_links(large: DataFrame, texts: DataFrame, least: float, tile: int, tile_bytes: int) -> DataFrame:
+    """Links between the classes of each bucket of ``large`` (bucket, node, class), from all pairs of nodes of different classes."""
+    members = large.select("bucket", "node", "class").join(texts, "node")
+    kinds = members.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("words")).alias("bytes"))
+    spans = kinds.groupBy("bucket").agg(F.max(F.struct("n", "class", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / tile), F.ceil(size / tile_bytes)).cast("int")
+
+    others = blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes"))
+    spans = written(spans.select("bucket", F.col("main.class").alias("main"), others.alias("others"), blocks(F.col("main.n"), F.col("main.bytes")).alias("mains")))
+    # blocks of other classes come first and meet all blocks; those of the largest class meet them only
+    dealt, is_main = F.xxhash64("bucket", "node"), F.col("class") == F.col("main")
+    own = F.when(is_main, F.col("others") + F.pmod(dealt, "mains")).otherwise(F.pmod(dealt, "others")).cast("int")
+    meets = F.sequence(F.lit(0), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    tiles = members.join(spans, "bucket").select("bucket", "node", "class", "words", own.alias("own"), F.explode(meets).alias("met"))
+    tiles = tiles.select("bucket", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "own", "node", "class", "words")
+    return tiles.groupBy("bucket", "low", "high").applyInArrow(lambda table: tile_links(table, least), "a binary, b binary")
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 16, sample: int = 4, small: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 16, sample: int = 4, small: int = 16,
+    tile: int = 256, tile_bytes: int = 4 << 20,
 ) -> DataFrame:
     """(row, first, class_rows, class_texts, wordless) per row: its name, the name of the first row of its class, and the
-    numbers of rows and of different word sequences in the class."""
+    numbers of rows and of different word sequences in the class.  ``small`` chooses between two exact ways; ``tile`` nodes or
+    ``tile_bytes`` of word hashes are about a block."""
     rows = written(sketch(docs, id_col, text, sketches, sample))
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.first("sketches").alias("sketches")))
     each = nodes.select("node", F.posexplode("sketches")).select("node", "pos", F.xxhash64("pos", "col").alias("bucket"))
@@ -217,11 +294,9 @@ def near_duplicates(
     classes = components(links)
     rest = written(mixed(members, classes))
     if not rest.isEmpty():
-        finer = written(finer_buckets(rest.where(F.col("size") > small), sketches))
-        second = star_pairs(rest.select("bucket", "node"), 2).unionByName(cross_pairs(rest.where(F.col("size") <= small)))
-        second = second.unionByName(star_pairs(finer.select("bucket", "node"), 3)).unionByName(cross_pairs(mixed(finer, classes).where(F.col("size") <= small)))
-        more = second.distinct().join(tried, ["a", "b"], "left_anti")
-        links = written(links.unionByName(verify(more, texts, similarity)))
+        more = cross_pairs(rest.where(F.col("size") <= small)).join(tried, ["a", "b"], "left_anti")
+        within = tiled_links(rest.where(F.col("size") > small), texts, similarity, tile, tile_bytes)
+        links = written(links.unionByName(verify(more, texts, similarity)).unionByName(within))
         classes = components(links)
     labelled = nodes.join(classes, "node", "left").select("node", "row", "n", F.coalesce("component", "node").alias("class"))
     totals = labelled.groupBy("class").agg(F.min("row").alias("first"), F.sum("n").alias("class_rows"), F.count(F.lit(1)).alias("class_texts"))
@@ -236,17 +311,6 @@ def near_duplicates(
     )
 
 
-def finer_buckets(large: DataFrame, sketches: int, reach: int = 5) -> DataFrame:
-    """Members of large mixed buckets dealt anew by pairs of such buckets, of sketches at most ``reach`` apart in a ring.  Of texts of
-    similarity 0.8, 993 in 1000 pairs agree in such a pair; two nodes that meet in a smaller bucket are compared there."""
-    again = large.select(F.col("bucket").alias("also"), F.col("node").alias("its"), F.col("pos").alias("at"))
-    apart = F.abs(F.col("pos") - F.col("at"))
-    near = (F.col("pos") < F.col("at")) & (F.least(apart, sketches - apart) <= reach)
-    dealt = large.select("bucket", "node", "pos").join(again, (F.col("node") == F.col("its")) & near).select(F.xxhash64("bucket", "also").alias("bucket"), "node")
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return dealt.join(shared.select("bucket"), "bucket")
-
-
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(id, class_id, class_rows, class_texts) per row; ``class_id`` is the least id of the class."""
     found = near_duplicates(docs, id_col, text, **options)
