@@ -3,7 +3,10 @@
 The base kinds are patterns.  The method's own kind, ``novel``, takes runs of token characters with a letter and a digit that
 stand near a sensitive word.  Each is compressed by zstandard primed with a dictionary of common identifiers and the text around
 it; the bytes it adds, divided by its length, are its novelty.  A string made of known identifiers, or used again nearby, adds
-little; a random one adds its whole length.  Strings of ``min_novelty`` or more that overlap no base span are reported.
+little; a random one adds its whole length, or what its alphabet needs once it is long enough for zstandard to code its
+characters.  So a string is held against a random one of its alphabet and length: strings of ``min_novelty`` of that or more that
+overlap no base span are reported.  A sensitive word may stand on a line before; between the lines of an armoured block that
+its header names sensitive every string is near one.
 
 Defined results: a null text counts as empty and has no spans; positions are code points, the end is exclusive; spans are ordered
 by start, then kind as listed in ``KINDS``; repeated rows are scanned each by itself; other columns are ignored.  The work is one
@@ -12,9 +15,11 @@ pass over the rows without a shuffle; nothing is kept across rows.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,15 @@ MIN_ASSIGNED, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
 SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|private|signature|session|cookie|salt|cert", re.ASCII | re.IGNORECASE)
 
+ARMOUR = re.compile(r"-----BEGIN ([^\n-]*)-----(.*?)(?:-----|\Z)", re.DOTALL)
+
+#: Alphabets of encoded secrets, smaller ones first; the last has all token characters.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = tuple(
+    (x, frozenset(x))
+    for x in (_DIGITS + "ABCDEF", _DIGITS + "abcdef", _UPPER + "234567", _LOWER + "234567", _UPPER + _DIGITS, _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS + "+/", _UPPER + _LOWER + _DIGITS + "+/_=.-")
+)
+
 #: Identifiers and words that code and configuration are full of.
 IDENTIFIERS = (
     "access_token refresh_token client_id client_secret api_key api_secret private_key public_key secret_key session_id user_id "
@@ -50,8 +64,8 @@ IDENTIFIERS = (
 
 @dataclass(frozen=True)
 class Novelty:
-    """``around`` is the number of characters on either side that prime the dictionary, ``near`` how far before a candidate, in its
-    line, a sensitive word may end."""
+    """``min_novelty`` is a share of what a random string of the same alphabet and length adds; ``around`` is the number of characters
+    on either side that prime the dictionary, ``near`` how far before a candidate a sensitive word may stand, over line ends too."""
 
     min_length: int = 16
     min_novelty: float = 0.85
@@ -68,6 +82,19 @@ def novelty(candidate: str, before: str, after: str, identifiers: str) -> float:
     return (len(compressor.compress(data)) - len(compressor.compress(b""))) / len(data)
 
 
+@lru_cache(maxsize=4096)
+def random_novelty(alphabet: str, length: int, identifiers: str) -> float:
+    """Novelty of a random string of an alphabet: 1 for short ones, towards the alphabet's bits for long ones."""
+    return min(1.0, novelty("".join(random.Random(f"{alphabet}{length}").choices(alphabet, k=length)), "", "", identifiers))
+
+
+def least_novelty(candidate: str, options: Novelty) -> float:
+    """The novelty from which a candidate counts as random; from 4,096 characters on a random string's hardly changes."""
+    own = set(candidate.rstrip("="))
+    alphabet = next(x for x, every in ALPHABETS if own <= every)
+    return options.min_novelty * random_novelty(alphabet, min(len(candidate), 4096), options.identifiers)
+
+
 def base_spans(text: str, assign: bool = True, access: bool = True, hexadecimal: bool = True) -> list[tuple[str, int, int]]:
     """Spans of the base kinds; the flags leave out kinds that are known not to occur."""
     spans = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGNED] if assign else []
@@ -78,16 +105,17 @@ def base_spans(text: str, assign: bool = True, access: bool = True, hexadecimal:
 def novel_spans(text: str, base: list[tuple[str, int, int]], options: Novelty) -> list[tuple[str, int, int]]:
     """Incompressible strings in a sensitive context that overlap no base span."""
     found = []
+    armoured = [m.span(2) for m in ARMOUR.finditer(text) if SENSITIVE.search(m[1])] if "-----BEGIN " in text else []
     for m in re.finditer(r"[A-Za-z0-9+/_=.-]{%d,}" % options.min_length, text):
         start, end = m.span()
         end -= len(m[0]) - len(m[0].rstrip("."))
         candidate = text[start:end]
         if len(candidate) < options.min_length or not re.search("[0-9]", candidate) or not re.search("[A-Za-z]", candidate):
             continue
-        line = max(text.rfind("\n", 0, start) + 1, start - options.near)
-        if not SENSITIVE.search(text, line, start) or any(s < end and start < e for _, s, e in base):
+        near = SENSITIVE.search(text, max(0, start - options.near), start) or any(s <= start and end <= e for s, e in armoured)
+        if not near or any(s < end and start < e for _, s, e in base):
             continue
-        if novelty(candidate, text[max(0, start - options.around) : start], text[end : end + options.around], options.identifiers) >= options.min_novelty:
+        if novelty(candidate, text[max(0, start - options.around) : start], text[end : end + options.around], options.identifiers) >= least_novelty(candidate, options):
             found.append(("novel", start, end))
     return found
 
