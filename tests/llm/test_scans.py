@@ -115,6 +115,22 @@ def test_article_is_taken_whole_and_nothing_else(wrap):
     assert html_main.main_text(AROUND % (wrap % BODY)) == TEXT
 
 
+@pytest.mark.parametrize("around", ['<div class="layout has-sidebar">%s</div>', '<div class="no-sidebar"><div class="content widget">%s</div></div>', "<form>%s</form>"])
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", '<div class="content">%s</div>'])
+def test_names_around_the_whole_text_do_not_drop_it(around, wrap):
+    page = AROUND.replace("</header>", "</header>" + around.split("%s")[0], 1).replace("<footer>", around.split("%s")[1] + "<footer>", 1)
+    assert html_main.main_text("<body>%s</body>" % (around % (wrap % BODY))) == TEXT
+    assert html_main.main_text(AROUND % (around % (wrap % BODY))) == TEXT
+    assert html_main.main_text(AROUND % ("<article>%s</article>" % (around % BODY))) == TEXT
+    if "form" not in around:
+        assert html_main.main_text(page % (wrap % BODY)) == TEXT
+
+
+def test_content_outside_a_short_article_is_kept():
+    text = "A long passage, with marks, and more of it. " * 20
+    assert text.strip() in html_main.main_text(f"<body><article><p>Short, but a teaser, here, is it.</p></article><div><p>{text}</p></div></body>")
+
+
 def test_broken_and_bare_pages(spark):
     assert html_main.main_text("") == "" and html_main.main_text("just text &lt;here&gt;  \n and on") == "just text <here> and on"
     assert html_main.main_text("<script>x</script><!-- c") == "" and html_main.main_text("<p>a<p>b</b></i></p>c") == "a b c"

@@ -4,7 +4,8 @@ A page is read into text runs, each with the path of tags from the root to its l
 punctuation marks of all its runs are summed; their product over the number of runs is the path's score, which paths next to each
 other on the page smooth, and which links in the text reduce.  Paths of at least a share of the mean score are content; the
 container they share, the deepest that holds most of their text, is the article, and all runs within it are kept, short ones
-such as headings and list items too, except runs in parts that are never article text (menus, forms, adverts, comments, ...).
+such as headings and list items too, except runs in parts that are never article text (menus, forms, adverts, comments, ...).  Parts that only
+their name or a form marks so are judged by the text they hold first.
 
 Defined results: a null page counts as empty and has an empty text; broken markup (tags left open, tags closed twice, references
 cut off) is read as browsers read it; texts of any length are kept whole; repeated rows are read each by itself; other columns are
@@ -28,7 +29,8 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-NEVER = frozenset("nav footer aside form button select option script style textarea title head noscript template iframe svg math canvas object audio video dialog menu fieldset".split())
+NEVER = frozenset("nav footer aside button select option script style textarea title head noscript template iframe svg math canvas object audio video dialog menu".split())
+SELDOM = frozenset(("form", "fieldset"))  # not article text, unless they are around a page's text
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_SAME = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "tbody": ("table",), "thead": ("table",)}
 
@@ -61,6 +63,7 @@ class Run:
 class Page:
     runs: list[Run] = field(default_factory=list)
     names: dict[int, str] = field(default_factory=dict)
+    seldom: set[int] = field(default_factory=set)
 
 
 def never(name: str, attributes: str, nodes: list[tuple[str, int, bool]]) -> bool:
@@ -71,11 +74,18 @@ def never(name: str, attributes: str, nodes: list[tuple[str, int, bool]]) -> boo
         return False
     for m in NAMES.finditer(attributes):
         value = (m[2] or "").strip("\"'")
-        if m[1].lower() == "hidden" or (m[1].lower() == "aria-hidden" and value.lower() == "true") or (m[1].lower() in ("class", "id", "role") and NEVER_NAMED.search(value)):
+        if m[1].lower() == "hidden" or (m[1].lower() == "aria-hidden" and value.lower() == "true"):
             return True
     return False
 
 
+def seldom(name: str, attributes: str) -> bool:
+    """Whether an element is a part that by its name is not article text, which the text it holds may refute."""
+    if name in ("html", "body", "main", "article"):
+        return False
+    return name in SELDOM or any(m[1].lower() in ("class", "id", "role") and NEVER_NAMED.search((m[2] or "").strip("\"'")) for m in NAMES.finditer(attributes))
+
+
 def read(page: str) -> Page:
     """Text runs outside the parts that are never article text, in page order."""
     out = Page()
@@ -129,6 +139,8 @@ def read(page: str) -> Page:
             continue
         nodes += 1
         out.names[nodes] = name
+        if seldom(name, m[3]):
+            out.seldom.add(nodes)
         open_.append((name, nodes, open_[-1][2] or never(name, m[3], open_)))
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(page, at)
@@ -170,25 +182,54 @@ def path_scores(page: Page, options: Ratios) -> dict[str, float]:
     return scores
 
 
+def content_runs(page: Page, options: Ratios) -> list[tuple[Run, int]]:
+    """Runs of the paths that are content, with their text lengths."""
+    scores = path_scores(page, options)
+    least = options.share * sum(scores.values()) / len(scores) if scores else 0.0
+    return [(run, len(run.text.strip())) for run in page.runs if run.path in scores and scores[run.path] >= least]
+
+
+def without_seldom(page: Page, options: Ratios) -> Page:
+    """The page without its parts that are seldom article text.  The heaviest part stays while no article or main outside such
+    parts holds content and it holds one, or while it outweighs by ``most`` the content outside such parts; then the parts in it are judged alike."""
+    content, left = content_runs(page, options), set(page.seldom)
+    while left:
+        plain, plain_article = 0.0, False
+        weight: dict[int, float] = defaultdict(float)
+        named: set[int] = set()
+        for run, size in content:
+            outer = next((n for n in run.nodes if n in left), None)
+            article = any(page.names.get(n) in ARTICLE for n in run.nodes)
+            if outer is None:
+                plain, plain_article = plain + size, plain_article or article
+            else:
+                weight[outer] += size
+                named |= {outer} if article else set()
+        best = max(weight, key=lambda n: (n in named, weight[n]), default=None)
+        if best is None or plain_article or not (best in named or weight[best] >= options.most * (weight[best] + plain)):
+            break
+        left.remove(best)
+    return Page([run for run in page.runs if left.isdisjoint(run.nodes)], page.names)
+
+
 def main_text(page: str, options: Ratios = Ratios()) -> str:
     """The article's blocks in page order, joined by a space."""
-    found = read(page)
-    scores = path_scores(found, options)
-    if not scores:
+    found = without_seldom(read(page), options)
+    content = content_runs(found, options)
+    if not content:
         return ""
-    least = options.share * sum(scores.values()) / len(scores)
     weight: dict[int, float] = defaultdict(float)
     depth: dict[int, int] = {}
     total = 0.0
-    for run in found.runs:
-        if scores.get(run.path, 0.0) >= least:
-            size = len(run.text.strip())
-            total += size
-            for k, node in enumerate(run.nodes):
-                weight[node] += size
-                depth[node] = k
+    named = 0.0
+    for run, size in content:
+        total += size
+        named += size * any(found.names.get(n) in ARTICLE for n in run.nodes)
+        for k, node in enumerate(run.nodes):
+            weight[node] += size
+            depth[node] = k
     article = {n: w for n, w in weight.items() if found.names.get(n) in ARTICLE}
-    if article:  # pages that name their article: all that hold content
+    if article and 2 * named >= total:  # pages that name their article: all that hold content, unless most content is elsewhere
         kept = set(article)
     else:
         # the deepest container of most content that is not a mere piece of running text
