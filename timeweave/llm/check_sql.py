@@ -109,3 +109,40 @@ def url_sql(sites: tuple[str, ...]) -> str:
     SELECT page_id, host, path, {case(1)} AS rule,
         coalesce({case(0)}, CASE WHEN list_has_any(string_split(host, '.'), [{", ".join(map(quoted, sites))}]) THEN 'block' ELSE 'allow' END) AS verdict FROM p
     """
+
+
+def negatives_sql() -> str:
+    return """
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, x.vec_id AS other_id, a.label = x.label AS same, CAST(list_inner_product(a.v, x.v) AS BIGINT) AS score
+        FROM e a JOIN e x ON a.vec_id <> x.vec_id WHERE a.vec_id % 50 = 0),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS INT) AS rank,
+        s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+    QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) <= 3
+    """
+
+
+def runs_sql() -> str:
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    step = "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))"
+    return rf"""
+    WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), {step}), 4294967295) AS h FROM documents),
+    g AS (SELECT doc_id, w, h, len(w) AS n, h // 10 AS g FROM t),
+    a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+    p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+    d AS (SELECT doc_id, unnest(range(n)) AS i, w, a, p FROM p),
+    words AS (SELECT doc_id, i, w[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END] AS word FROM d),
+    pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+    islands AS (SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+    runs AS (SELECT doc_id, s, e, min(q) AS q FROM islands GROUP BY doc_id, s, e),
+    per_doc AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := s, l := e - s, q := q), struct_pack(l := s - e, s := s, q := q)) AS top,
+        string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY doc_id),
+    dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM runs),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+    SELECT g.doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, CAST(top.q AS BIGINT) AS period, CAST(1000 * top.l // top.q AS BIGINT) AS exponent_milli,
+        sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+    FROM g LEFT JOIN per_doc USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """
