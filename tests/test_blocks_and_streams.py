@@ -3,13 +3,15 @@
 import random
 import tempfile
 
+import numpy as np
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from timeweave.functions.stem import stem
 from timeweave.operators import answers, blocks, graph
 from timeweave.sources import scans, sinks
-from timeweave.streaming import jobs
-from timeweave.streaming.segmentation import segment_stream
+from timeweave.streaming import jobs, segmentation
 
 
 def model_blocks(messages):
@@ -49,28 +51,69 @@ def test_segmentation_matches_sequential_model(spark):
         assert {u: [b[k] for k in sorted(b)] for u, b in got.items()} == model_blocks(rows)
 
 
+COLS = ["user_id", "session_order", "session_id", "msg_idx", "role", "text", "split", "msg_ts"]
+
+
+def run_segments(spark, base, idle, late):
+    stream = spark.readStream.schema(", ".join(f"{c} {t}" for c, t in zip(COLS, ("string", "int", "string", "int", "string", "string", "boolean", "timestamp"), strict=True))).parquet(f"{base}/in")
+    out = segmentation.segment_stream(stream, idle=idle, late=late)
+    segmentation.started(spark, jobs.append_blocks(out, f"{base}/out", f"{base}/ckpt").trigger(availableNow=True)).awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out").filter("user_id <> 'zz'")
+
+
 def test_stream_gives_the_batch_blocks(spark):
     rows = random_messages(11)
     base = tempfile.mkdtemp(prefix="spark-test-", dir="/tmp")
-    stamped = message_df(spark, rows).withColumn("msg_ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("session_order") * 100 + F.col("msg_idx")))
-    cols = ["user_id", "session_order", "session_id", "msg_idx", "role", "text", "split", "msg_ts"]
-    stamped.select(*cols).coalesce(1).write.parquet(f"{base}/in/part1")
-    # a far later message of another user moves the watermark, so idle blocks are sealed
-    late = spark.createDataFrame([("zz", 9, "session_9", 1, "user", "x", False)], "user_id string, session_order int, session_id string, msg_idx int, role string, text string, split boolean")
-    for n in (1, 2):
-        late.withColumn("msg_ts", F.timestamp_seconds(F.lit(1_800_000_000 + n))).select(*cols).write.parquet(f"{base}/in/part{n + 1}")
-    for n in (1, 2, 3):
-        stream = spark.readStream.schema(stamped.select(*cols).schema).parquet(f"{base}/in/part[1-{n}]")
-        q = (
-            segment_stream(stream, idle="10 minutes", late="1 hour").writeStream.format("parquet").option("path", f"{base}/out")
-            .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
-        )
-        q.awaitTermination()
+    stamped = message_df(spark, rows).withColumn("msg_ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("session_order") * 100 + F.col("msg_idx"))).select(*COLS)
+    provider = spark.conf.get(segmentation.PROVIDER, None)
+    # sessions arrive in two parts, the later messages second
+    for part in (F.col("msg_idx") <= 9, F.col("msg_idx") > 9):
+        stamped.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        run_segments(spark, base, "10 minutes", "1 hour")
+    far = "array(named_struct('user_id', 'zz', 'session_order', 9, 'session_id', 'session_9', 'msg_idx', 1, 'role', 'user', 'text', 'x', 'split', false, 'msg_ts', timestamp'2100-01-01'))"
+    spark.range(1).selectExpr(f"inline({far})").write.mode("append").parquet(f"{base}/in")  # moves the watermark, so idle blocks are sealed
+    found = run_segments(spark, base, "10 minutes", "1 hour")
+    # a message of a session that is long over is late, one without a time is refused
+    stamped.filter("user_id = 'u1' AND msg_idx = 1").withColumn("text", F.lit("again")).write.mode("append").parquet(f"{base}/in")
+    stamped.limit(3).withColumn("msg_ts", F.lit(None).cast("timestamp")).write.mode("append").parquet(f"{base}/in")
+    found = run_segments(spark, base, "10 minutes", "1 hour")
     got = {}
-    for r in spark.read.parquet(f"{base}/out").filter("user_id <> 'zz'").collect():
-        got.setdefault(r.user_id, {})[r.block_no] = (int(r.session_id.split("_")[1]), r.start_idx, r.end_idx, r.messages)
+    for r in segmentation.user_blocks(found).collect():
+        got.setdefault(r.user_id, {})[r.user_block_no] = (r.session_order, r.start_idx, r.end_idx, r.messages)
+        assert r.content_text.split("\n") == [f"user: m{i}" for i in range(r.start_idx, r.end_idx + 1)]
     want = {u: [(b[0][0], b[0][1], b[-1][1], len(b)) for b in bs] for u, bs in model_blocks(rows).items()}
     assert {u: [b[k] for k in sorted(b)] for u, b in got.items()} == want
+    sessions = len({s for u, s, i, _ in rows if u == "u1"})
+    assert [(r.user_id, r.late) for r in segmentation.late_counts(found).collect()] == [("u1", sessions)]
+    assert {r.content_text for r in segmentation.late_messages(found).collect()} == {"user: again"}
+    assert spark.conf.get(segmentation.PROVIDER, None) == provider
+
+
+def test_openings_follow_the_sequential_rule():
+    rng = random.Random(4)
+    for _ in range(300):
+        split, held = [rng.random() < 0.6 for _ in range(rng.randrange(1, 30))], rng.randrange(4)
+        want, size = [], held
+        for i, asks in enumerate(split):
+            if size == 0 or (asks and size >= 2):
+                want.append(i)
+                size = 0
+            size += 1
+        assert segmentation.openings(np.array(split), held) == want
+
+
+def test_sessions_of_a_stream_merge_out_of_order(spark):
+    base = tempfile.mkdtemp(prefix="spark-test-", dir="/tmp")
+    hours = {"a": [0, 30, 11, 20, 45, 100], "b": [5, 40, 23, 14, 32, 101]}  # b: 14 and 23 join 5, 32 joins 40 to them
+    for k in range(6):
+        part = spark.createDataFrame([(u, h[k]) for u, h in hours.items()], "user_id string, h int")
+        part.selectExpr("user_id", "timestamp_seconds(1700000000 + h * 3600) AS ts").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    spark.sql("SELECT CAST(NULL AS STRING) AS user_id, timestamp'2100-01-01' AS ts").write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema("user_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    out = jobs.gap_sessions(stream, gap="10 hours", late="4 days")
+    jobs.append_blocks(out, f"{base}/out", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    found = {(r.user_id, r.messages) for r in spark.read.parquet(f"{base}/out").filter("user_id IS NOT NULL").collect()}
+    assert found == {("a", 1), ("a", 3), ("b", 5), ("b", 1)} and spark.read.parquet(f"{base}/out").count() >= 6
 
 
 def test_stemmer_and_category_scores(spark):
@@ -100,6 +143,39 @@ def test_link_batch_equals_one_shot_linking(spark):
     assert parts == whole
 
 
+def test_linking_stream_survives_replays(spark):
+    rng = random.Random(8)
+    rows = [("u" if i % 3 else "hot", i, i, [float(rng.randint(-3, 3)) for _ in range(3)]) for i in range(90)]
+    schema = "user_id string, event_id long, seq long, embedding array<double>"
+    want = {(r.user_id, r.a_id, r.b_id) for r in graph.link_similar(spark.createDataFrame(rows, schema), 0.7, 4).collect()}
+    base = tempfile.mkdtemp(prefix="spark-test-", dir="/tmp")
+    for lo, hi in ((0, 30), (30, 31), (31, 90)):  # one event comes a second time in the last part
+        spark.createDataFrame(rows[lo:hi] + (rows[3:4] if hi == 90 else []), schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    store = jobs.LinkStore(spark, f"{base}/store", 0.7, 4)
+    seen = []
+
+    def fails_after_its_work(batch, batch_id):
+        store.handle(batch, batch_id)
+        seen.append(batch_id)
+        if seen == [0, 1]:
+            raise RuntimeError("lost after both tables were written")
+
+    for run in range(2):
+        query = stream.writeStream.foreachBatch(fails_after_its_work).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+        if run == 0:
+            with pytest.raises(StreamingQueryException):
+                query.awaitTermination()
+        else:
+            query.awaitTermination()
+    assert seen == [0, 1, 1, 2]
+    edges = store.edges().collect()
+    assert len(edges) == len(want) and {(r.user_id, r.a_id, r.b_id) for r in edges} == want
+    assert store.events().count() == 90 and {r.batch for r in edges} <= {0, 1, 2}
+    again = jobs.LinkStore(spark, f"{base}/store", 0.7, 4)  # a store that is opened anew keeps its rows
+    assert again.events().count() == 90
+
+
 def test_file_round_trips(spark):
     base = tempfile.mkdtemp(prefix="spark-test-", dir="/tmp")
     with open(f"{base}/one.json", "w") as f:

@@ -177,6 +177,73 @@ def test_pool_size_equals_ranked_rows_with_missing_dates(spark):
     assert fast == slow
 
 
+def test_axis_counts_equal_the_pairs(spark):
+    rng = random.Random(12)
+    day = lambda n=40: DAY + dt.timedelta(days=rng.randrange(n))
+    maybe = lambda: day() if rng.random() < 0.85 else None
+    b = spark.createDataFrame(
+        [("hot" if i % 3 else f"u{i % 7}", i, *(maybe() for _ in range(4))) for i in range(400)], "user_id string, block_id long, session_start date, session_end date, event_start date, event_end date"
+    )
+    kinds = ("RANGE", "POINT", "AFTER", "SINCE", "BEFORE", "UNTIL", "NONE", "ANCHOR")
+    asks = [(u, i, kinds[i % 8], maybe(), maybe(), rng.choice(("EVENT", "SESSION", "BOTH_UNION", "BOTH_INTERSECT")), "WINDOW") for i, u in enumerate(["hot", "u0", "u3", "nobody"] * 60)]
+    q = spark.createDataFrame(asks, "user_id string, qa_idx int, tc_type string, tc_start date, tc_end date, axis string, intent string")  # some ranges end before they start
+    slow = {r.qa_idx: tuple(r)[2:] for r in pools.pool_counts(pools.axis_verdicts(q, b)).collect()}
+    fast = {r.qa_idx: (r.n_pool, r.n_event, r.n_session, r.n_intersect, r.n_union) for r in pools.with_pool_counts(q, b).collect()}
+    assert {k: v for k, v in fast.items() if asks[k][0] != "nobody"} == slow
+    assert {fast[k] for k in fast if asks[k][0] == "nobody"} == {(0, 0, 0, 0, 0)}
+    apart = {r.qa_idx: (r.n_event, r.n_session) for r in pools.with_pool_counts(q, b, joint=False).collect()}
+    assert apart == {k: v[1:3] for k, v in fast.items()}
+    some = pools.with_pool_counts(q, b, joint=F.col("axis") == "BOTH_INTERSECT").filter("axis = 'BOTH_INTERSECT'").collect()
+    assert some and all((r.n_intersect, r.n_union) == fast[r.qa_idx][3:] for r in some)
+    # without ranges that end before they start, the counts of one axis pair nothing: blocks and constraints meet in no join
+    tidy = q.filter("tc_type <> 'RANGE' OR tc_end IS NULL OR tc_end >= tc_start")
+    counted = pools.with_pool_counts(tidy, b, joint=False, ordered=True)
+    assert {r.qa_idx: (r.n_event, r.n_session) for r in counted.collect()} == {k: v for k, v in apart.items() if k in {r.qa_idx for r in tidy.collect()}}
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "q_start_max" not in "".join(line for line in plan.split("\n") if "Join" in line) and "_batch" not in plan
+
+
+def test_one_huge_value_does_not_press_the_others_together(spark):
+    n = 1_000_000
+    df = spark.range(n).selectExpr("CAST((id * 7919) % 1000003 AS DOUBLE) / 1000003 AS v").union(spark.sql("SELECT 1e12D AS v"))
+    asked = {"p50": (0.5, "nearest"), "p95": (0.95, "floor"), "top": (1.0, "nearest")}
+    values = sorted((k * 7919) % 1000003 / 1000003 for k in range(n)) + [1e12]
+    found = quantiles(df, "v", asked)
+    (row,) = found.collect()
+    assert (row.p50, row.p95, row.top) == (values[round(0.5 * (n + 1)) - 1], values[int(0.95 * (n + 1))], 1e12)
+    # rows that the windows order: ranges first, then the values of the last ranges
+    plan = found._jdf.queryExecution().executedPlan()
+    stack, windows = [plan], []
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            stack.append(node.plan())
+        else:
+            if node.nodeName() == "Window":
+                child = node.child()
+                while not child.metrics().contains("numOutputRows") and child.children().size():
+                    child = child.children().head()
+                windows.append(child.metrics().get("numOutputRows").get().value() if child.metrics().contains("numOutputRows") else 0)
+            stack += [node.children().apply(k) for k in range(node.children().size())]
+    assert len(windows) == 3 and max(windows) <= 5000
+
+
+def test_one_key_may_own_half_of_an_interval_join(spark):
+    rng = random.Random(6)
+    iv = lambda: (lambda a: (DAY + dt.timedelta(days=a), DAY + dt.timedelta(days=a + rng.randrange(9))))(rng.randrange(30))
+    left = [(i, "hot" if i % 2 else f"k{i % 13}", *iv()) for i in range(300)]
+    right = [(i, "hot" if i % 2 else f"k{i % 13}", *iv()) for i in range(260)]
+    want = sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and a[2] <= b[3] and a[3] >= b[2])
+    l, r = spark.createDataFrame(left, "i int, k string, s date, e date"), spark.createDataFrame(right, "j int, k string, s2 date, e2 date")
+    for tile in (7, 40, 50_000):
+        joined = overlap_join(l, r, ("s", "e"), ("s2", "e2"), ["k"], 10, rows_per_tile=tile)
+        assert joined.columns == ["k", "i", "s", "e", "j", "s2", "e2"]
+        assert sorted((x.i, x.j) for x in joined.collect()) == want
+    assert overlap_join(l, r.limit(0), ("s", "e"), ("s2", "e2"), ["k"], 10, rows_per_tile=7).count() == 0
+
+
 def test_audit_keeps_gold_blocks_without_session_dates(spark):
     b = spark.createDataFrame(
         [("u", i, None, None, None, None) for i in range(3)], "user_id string, block_id long, session_start date, session_end date, event_start date, event_end date"

@@ -38,7 +38,7 @@ CONSTRAINED = """w AS (SELECT c.user_id, c.qa_idx, min(event_end) AS e0 FROM can
 
 @query(
     "e2_question_text_to_blocks",
-    with_sql(BLK, ASKED, SCORED_ONCE, FINE, CONSTRAINED) + "SELECT user_id, qa_idx, block_id, round(score, 6) AS score, rank FROM top WHERE rank <= 5",
+    with_sql(BLK, ASKED, SCORED_ONCE, FINE, CONSTRAINED) + "SELECT user_id, qa_idx, block_id, score, rank FROM top WHERE rank <= 5",
 )
 def e2(spark, d):
     vectors = table(spark, d, "embeddings")
@@ -61,7 +61,7 @@ def e2(spark, d):
     )
     known = asked.join(vectors.select(F.col("vec_id").alias("other"), "embedding"), "other").select("user_id", content_key(F.col("stem")).alias("text_key"), "embedding")
     out = answer_context(asked.select(*KEY, "question", "base_day"), blocks(spark, d), event_vectors(spark, d), known)
-    return out.select(*KEY, "block_id", F.round("score", 6).alias("score"), "rank")
+    return out.select(*KEY, "block_id", "score", "rank")
 
 
 # constraints widened by intent, every fifth question in a category that is never filtered
@@ -81,9 +81,9 @@ WIDE = QRY.replace("qry AS (", "narrow AS (", 1) + """, qry AS (SELECT * REPLACE
       kept AS (SELECT user_id, qa_idx, block_id, open OR CASE axis WHEN 'EVENT' THEN ev WHEN 'SESSION' THEN ss WHEN 'BOTH_INTERSECT' THEN ev AND ss ELSE ev OR ss END AS ok FROM seen),
       top AS (SELECT user_id, qa_idx, block_id, score, CAST(row_number() OVER (PARTITION BY user_id, qa_idx ORDER BY score DESC, block_id) AS INTEGER) AS rank
         FROM kept JOIN scored USING (user_id, qa_idx, block_id) WHERE ok)
-      SELECT user_id, qa_idx, block_id, round(score, 6) AS score, rank FROM top WHERE rank <= 5""",
+      SELECT user_id, qa_idx, block_id, score, rank FROM top WHERE rank <= 5""",
 )
 def e3(spark, d):
     q = questions(spark, d).withColumn("category", F.when(F.col("qa_idx") % 5 == 0, "Memory Conflict").otherwise("Other"))
     out = retrieve(q, blocks(spark, d), buffer=True, bypass=("Memory Conflict",))
-    return out.select(*KEY, "block_id", F.round("score", 6).alias("score"), "rank")
+    return out.select(*KEY, "block_id", "score", "rank")

@@ -24,7 +24,7 @@ def _typed(spark, d, kind):
 
 def _counts(spark, d, kind):
     """Matches per question and axis for one constraint type."""
-    return pools.with_pool_counts(_typed(spark, d, kind), blocks(spark, d)).select("user_id", "qa_idx", "n_event", "n_session")
+    return pools.with_pool_counts(_typed(spark, d, kind), blocks(spark, d), joint=False, ordered=True).select("user_id", "qa_idx", "n_event", "n_session")
 
 
 def _count_sql(cond: str) -> str:
@@ -46,7 +46,7 @@ def c1(spark, d):
 @query("c2_range_open_end", _count_sql("{e} >= q.base_day"))
 def c2(spark, d):
     q = _typed(spark, d, "RANGE").withColumn("tc_end", F.lit(None).cast("date"))
-    return pools.with_pool_counts(q, blocks(spark, d)).select("user_id", "qa_idx", "n_event", "n_session")
+    return pools.with_pool_counts(q, blocks(spark, d), joint=False, ordered=True).select("user_id", "qa_idx", "n_event", "n_session")
 
 
 @query("c3_point", _count_sql("{s} <= q.base_day AND {e} >= q.base_day"))
@@ -115,7 +115,7 @@ def c10(spark, d):
          THEN 'BOTH_INTERSECT_DEGRADED_UNION' ELSE mode END AS pool_label, n_intersect, n_union FROM dec""",
 )
 def c11(spark, d):
-    return pools.decide_pool(questions(spark, d), blocks(spark, d)).select(
+    return pools.decide_pool(questions(spark, d), blocks(spark, d), all_counts=True).select(
         "user_id", "qa_idx", "pool_label", "n_intersect", "n_union"
     )
 
@@ -292,20 +292,20 @@ def s4(spark, d):
     + """, kept AS (SELECT p.user_id, p.qa_idx, p.block_id, round(list_cosine_similarity(p.qemb, p.emb), 9) AS s
            FROM pairs p JOIN dec USING (user_id, qa_idx) WHERE CASE WHEN dec.skipped OR dec.n = 0 THEN TRUE WHEN dec.mode = 'EVENT' THEN ok_event
              WHEN dec.mode = 'SESSION' THEN ok_session WHEN dec.mode = 'BOTH_INTERSECT' THEN ok_event AND ok_session ELSE ok_event OR ok_session END)
-       SELECT user_id, qa_idx, block_id, round(s, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, qa_idx ORDER BY s DESC, block_id) AS INTEGER) AS rank FROM kept)
+       SELECT user_id, qa_idx, block_id, s AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, qa_idx ORDER BY s DESC, block_id) AS INTEGER) AS rank FROM kept)
        WHERE rank <= 20""",
 )
 def f1(spark, d):
-    return retrieve(questions(spark, d), blocks(spark, d), k=20).select(*PAIR_COLS, F.round("score", 6).alias("score"), "rank")
+    return retrieve(questions(spark, d), blocks(spark, d), k=20).select(*PAIR_COLS, "score", "rank")
 
 
 @query(
     "f2_baseline_rank",
-    with_sql(BLK, QRY, TOP5) + "SELECT user_id, qa_idx, block_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 20",
+    with_sql(BLK, QRY, TOP5) + "SELECT user_id, qa_idx, block_id, score, rank FROM ranked WHERE rank <= 20",
 )
 def f2(spark, d):
     out = retrieve(questions(spark, d), blocks(spark, d), k=20, time_filter=False)
-    return out.select(*PAIR_COLS, F.round("score", 6).alias("score"), "rank")
+    return out.select(*PAIR_COLS, "score", "rank")
 
 
 @query(
@@ -335,19 +335,19 @@ def _decayed_sql(applies: str) -> str:
         FROM pairs p JOIN dec USING (user_id, qa_idx) WHERE CASE WHEN dec.skipped OR dec.n = 0 THEN TRUE WHEN dec.mode = 'EVENT' THEN ok_event
           WHEN dec.mode = 'SESSION' THEN ok_session WHEN dec.mode = 'BOTH_INTERSECT' THEN ok_event AND ok_session ELSE ok_event OR ok_session END),
       rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, qa_idx ORDER BY s DESC, block_id) AS INTEGER) AS rank FROM kept)
-      SELECT user_id, qa_idx, block_id, round(s, 6) AS score, rank FROM rk WHERE rank <= 5"""
+      SELECT user_id, qa_idx, block_id, s AS score, rank FROM rk WHERE rank <= 5"""
 
 
 @query("f4_decayed_rank", _decayed_sql("p.intent IN ('STATIC','PLANNING')"))
 def f4(spark, d):
     out = retrieve(questions(spark, d), blocks(spark, d), decay="history")
-    return out.select(*PAIR_COLS, F.round("score", 6).alias("score"), "rank")
+    return out.select(*PAIR_COLS, "score", "rank")
 
 
 @query("f6_time_only_mode", _decayed_sql("p.tc_type <> 'NONE'"))
 def f6(spark, d):
     out = retrieve(questions(spark, d), blocks(spark, d), decay="dated")
-    return out.select(*PAIR_COLS, F.round("score", 6).alias("score"), "rank")
+    return out.select(*PAIR_COLS, "score", "rank")
 
 
 @query(
@@ -356,7 +356,7 @@ def f6(spark, d):
 )
 def e1(spark, d):
     out = retrieve(questions(spark, d), blocks(spark, d), k=5)
-    return out.select(*PAIR_COLS, F.round("score", 6).alias("score"), "rank")
+    return out.select(*PAIR_COLS, "score", "rank")
 
 
 @query(

@@ -3,7 +3,8 @@
 Spark has no range join.  Both sides are exploded to the buckets their interval
 touches and joined on (key, bucket); a pair that shares several buckets is kept
 only in the first shared one, so no ``distinct`` is needed.  The bucket in the
-join key also splits a hot user over time.
+join key also splits a hot user over time, and a hot (key, bucket) is tiled on
+both sides.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeweave.operators.skew import ROWS_PER_SLICE, pool_join
+
 
 def bucket_of(day: Column, days: int) -> Column:
     return F.floor(F.unix_date(day) / F.lit(days)).cast("int")
@@ -26,6 +29,7 @@ def overlap_join(
     keys: Sequence[str] = (),
     bucket_days: int = 30,
     clip: bool = False,
+    rows_per_tile: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """All pairs whose closed date intervals overlap, on equal ``keys`` if given.
 
@@ -33,7 +37,8 @@ def overlap_join(
     longer than ``bucket_days`` touch many buckets: choose the bucket near the
     typical length of the longer side.  ``clip`` bounds the buckets of a row by
     the date range of the other side (a one-row aggregate), which keeps open-ended
-    intervals small without changing the result.
+    intervals small without changing the result.  A (key, bucket) with more than ``rows_per_tile`` rows on a side is cut into
+    tiles of that many rows on both sides, so one key or one day may own most rows.
     """
 
     def spread(df: DataFrame, iv: tuple[str, str], first: str, other: tuple[DataFrame, tuple[str, str]] | None) -> DataFrame:
@@ -50,7 +55,8 @@ def overlap_join(
 
     a = spread(left, left_iv, "_first_l", (right, right_iv) if clip else None)
     b = spread(right, right_iv, "_first_r", (left, left_iv) if clip else None)
-    joined = a.join(b, [*keys, "_bucket"])
+    own_l, own_r = ([c for c in df.columns if c not in (*keys, "_bucket")] for df in (a, b))
+    joined = pool_join(a, b, [*keys, "_bucket"], spread_by=own_r, rows_per_slice=rows_per_tile, batch_by=own_l, rows_per_batch=rows_per_tile)
     first_shared = F.col("_bucket") == F.greatest("_first_l", "_first_r")
     lo_l, hi_l = F.least(*left_iv), F.greatest(*left_iv)
     lo_r, hi_r = F.least(*right_iv), F.greatest(*right_iv)

@@ -8,7 +8,7 @@ column that the scoring pass applies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.operators import temporal as tp
@@ -91,27 +91,73 @@ SPEC = ["user_id", "tc_type", "tc_start", "tc_end"]
 COUNTS = ["n_pool", "n_event", "n_session", "n_intersect", "n_union"]
 
 
-def with_pool_counts(questions: DataFrame, blocks: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+#: A day after all others, for bounds that are open.
+FOREVER = 2_147_483_647
+
+
+def axis_counts(specs: DataFrame, days: DataFrame) -> DataFrame:
+    """(constraint, n_event, n_session): blocks that satisfy it on each axis, by counting starts and ends apart.
+
+    An interval misses a closed range by starting after it or by ending before it, never both, so the matches are those that start
+    by its end less those that end before its start.  Starts and ends are counted per user and day; running sums over a user's
+    days answer all bounds at once, and no constraint meets a block.  ``specs`` come from :func:`with_bounds`, and no RANGE of
+    them ends before it starts; ``days`` come from :func:`with_axis_days`.
+    """
+    side = lambda name, day: F.struct(F.lit(name).alias("_side"), day.cast("int").alias("_day"))
+    counted = days.select("user_id", F.explode(F.array(*[side(c, F.col(c)) for c in AXIS_DAYS])).alias("_s")).select("user_id", "_s.*")
+    counted = counted.filter(F.col("_day").isNotNull()).groupBy("user_id", "_side", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    t, forever = F.col("tc_type"), F.lit(FOREVER)
+
+    def terms(axis: str) -> list[Column]:
+        lo, hi = f"{axis}_lo", f"{axis}_hi"
+        by = F.when(t.isin("BEFORE", "UNTIL"), side(hi, F.col("q_end_max"))).otherwise(side(lo, F.coalesce("q_start_max", forever)))
+        less = F.when(t.isin("AFTER", "SINCE"), side(lo, F.col("q_start_min") - 1)).otherwise(side(hi, F.col("q_end_min") - 1))
+        return [F.struct(F.lit(axis).alias("_axis"), part["_side"].alias("_side"), part["_day"].alias("_day"), F.lit(sign).alias("_sign")) for part, sign in ((by, 1), (less, -1))]
+
+    asked = specs.select(*SPEC, F.explode(F.array(*terms("ev"), *terms("ss"))).alias("_t")).select(*SPEC, "_t.*").filter(F.col("_day").isNotNull())
+    steps = counted.unionAll(asked.select("user_id", "_side", "_day").distinct().withColumn("_n", F.lit(0).cast("bigint")))
+    per_day = steps.groupBy("user_id", "_side", "_day").agg(F.sum("_n").alias("_n"))
+    so_far = Window.partitionBy("user_id", "_side").orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = per_day.select("user_id", "_side", "_day", F.sum("_n").over(so_far).alias("_upto"))
+    met = asked.join(running, ["user_id", "_side", "_day"])
+    on = lambda axis: F.sum(F.when(F.col("_axis") == axis, F.col("_sign") * F.col("_upto")).otherwise(0))
+    return met.groupBy(*SPEC).agg(on("ev").alias("n_event"), on("ss").alias("n_session"))
+
+
+def with_pool_counts(questions: DataFrame, blocks: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, joint: Column | bool = True, ordered: bool = False) -> DataFrame:
     """``questions`` with the size of their pool under every axis rule.
 
-    Counts depend on dates only.  Blocks are first counted per user and distinct combination of their four dates, questions
-    reduced to distinct constraints; only constraints that filter meet date combinations, so the work is bounded by the
-    calendar and not by questions times blocks.  Constraints that filter nothing take the whole pool from one count per user.
+    Counts depend on dates only and questions are reduced to distinct constraints.  The counts of one axis are running sums over
+    days (:func:`axis_counts`).  The counts of both axes together are needed where ``joint`` holds (null elsewhere): for those
+    constraints, blocks are counted per user and distinct combination of their four dates and combinations met with constraints,
+    so that work is bounded by the calendar and not by questions times blocks.  So are ranges that end before they start, which
+    ``ordered`` says there are none of.  Constraints that filter nothing take the whole pool from one count per user.
     """
     b = with_axis_days(blocks.select("user_id", "session_start", "session_end", "event_start", "event_end"))
-    cells = b.groupBy("user_id", *AXIS_DAYS).agg(F.count(F.lit(1)).alias("_n"))
-    total = cells.groupBy("user_id").agg(F.sum("_n").alias("n_pool"))
+    total = b.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_pool"))
     constraint = (F.col("tc_type"), F.col("tc_start"), F.col("tc_end"))
-    specs = with_bounds(questions.select(*SPEC).distinct().filter(~filters_nothing(*constraint)))
-    meet = pool_join(specs, cells, spread_by=AXIS_DAYS, rows_per_slice=rows_per_slice, batch_by=SPEC[1:])
-    e, s = on_bounds("ev_lo", "ev_hi"), on_bounds("ss_lo", "ss_hi")
-    counted = lambda ok: F.sum(F.when(ok, F.col("_n")).otherwise(0))
-    sizes = meet.groupBy(*SPEC).agg(counted(e).alias("n_event"), counted(s).alias("n_session"), counted(e & s).alias("n_intersect"), counted(e | s).alias("n_union"))
+    inverted = (F.col("tc_type") == "RANGE") & (F.col("tc_end") < F.col("tc_start")) & F.lit(not ordered)
+    inverted = F.coalesce(inverted, F.lit(False))
+    wanted = F.lit(joint) if isinstance(joint, bool) else F.coalesce(joint, F.lit(False))
+    specs = questions.filter(~filters_nothing(*constraint)).groupBy(*SPEC).agg(F.max(wanted | inverted).alias("_joint"), F.max(inverted).alias("_inverted"))
+    sizes = axis_counts(with_bounds(specs.filter(~F.col("_inverted"))), b)
+    if joint is False and ordered:
+        sizes = sizes.withColumns({c: F.lit(None).cast("bigint") for c in COUNTS[3:]})
+    else:
+        cells = b.groupBy("user_id", *AXIS_DAYS).agg(F.count(F.lit(1)).alias("_n"))
+        meet = pool_join(with_bounds(specs.filter("_joint").select(*SPEC)), cells, spread_by=AXIS_DAYS, rows_per_slice=rows_per_slice, batch_by=SPEC[1:])
+        e, s = on_bounds("ev_lo", "ev_hi"), on_bounds("ss_lo", "ss_hi")
+        counted = lambda ok: F.sum(F.when(ok, F.col("_n")).otherwise(0))
+        both = meet.groupBy(*SPEC).agg(counted(e).alias("n_event"), counted(s).alias("n_session"), counted(e & s).alias("n_intersect"), counted(e | s).alias("n_union"))
+        apart = sizes.select(*SPEC, "n_event", "n_session", *(F.lit(None).cast("bigint").alias(c) for c in COUNTS[3:]))
+        sizes = apart.unionByName(both).groupBy(*SPEC).agg(*(F.max(c).alias(c) for c in COUNTS[1:]))
     named = sizes.withColumnsRenamed({c: f"_{c}" for c in SPEC})
     same = [questions["user_id"] == named["_user_id"], *(questions[c].eqNullSafe(named[f"_{c}"]) for c in SPEC[1:])]
     q = questions.join(named, same, "left").drop(*(f"_{c}" for c in SPEC)).join(total, "user_id", "left").fillna(0, ["n_pool"])
     open_ = filters_nothing(*constraint)
-    return q.withColumns({c: F.coalesce(F.when(open_, F.col("n_pool")).otherwise(F.col(c)), F.lit(0)) for c in COUNTS[1:]})
+    # a user without blocks has no row among the sizes
+    filled = {c: F.when(open_, F.col("n_pool")).when(F.col("n_pool") == 0, 0).otherwise(F.col(c)) for c in COUNTS[1:]}
+    return q.withColumns({c: v if c in COUNTS[3:] else F.coalesce(v, F.lit(0)) for c, v in filled.items()})
 
 
 def on_bounds(lo: str, hi: str) -> Column:
@@ -125,7 +171,7 @@ def on_bounds(lo: str, hi: str) -> Column:
 
 
 def decide_pool(questions: DataFrame, blocks: DataFrame, rule: str = "empty", axis_mode: str = "auto",
-                rows_per_slice: int = ROWS_PER_SLICE, min_pool: int = 3, small_pool: int = 20, small_share: float = 0.1) -> DataFrame:
+                rows_per_slice: int = ROWS_PER_SLICE, min_pool: int = 3, small_pool: int = 20, small_share: float = 0.1, all_counts: bool = False) -> DataFrame:
     """Attach ``pool_mode``, ``pool_size``, ``pool_label`` and ``fell_back``.
 
     ``rule``: ``empty`` (no survivor -> whole pool), ``min_pool`` (fewer than
@@ -133,10 +179,15 @@ def decide_pool(questions: DataFrame, blocks: DataFrame, rule: str = "empty", ax
     and than ``small_share`` of the pool -> union, then whole pool; automatic axis
     only) or ``event_first`` (session axis only when the event axis is empty).
     A constraint without a usable date filters nothing: its pool is the whole pool.
+    ``n_intersect`` and ``n_union`` are null where the decision does not read them, unless ``all_counts``.
     """
-    q = with_pool_counts(questions, blocks, rows_per_slice)
     axis = F.upper(F.coalesce(tp.forced_axis(F.col("axis"), axis_mode), F.lit("BOTH_UNION")))
     axis = F.when(axis.isin(*AXES, "NONE"), axis).otherwise("BOTH_UNION")
+    if all_counts or (rule == "small_pool" and axis_mode == "auto"):
+        joint: Column | bool = True
+    else:
+        joint = False if rule == "event_first" else ~axis.isin("EVENT", "SESSION", "NONE")
+    q = with_pool_counts(questions, blocks, rows_per_slice, joint)
     skip = ~tp.uses_time(F.col("intent"), F.col("tc_type")) | (F.col("tc_type") == "ANCHOR") | F.lit(axis_mode == "none")
     skip = skip | filters_nothing(F.col("tc_type"), F.col("tc_start"), F.col("tc_end"))
 
@@ -144,7 +195,7 @@ def decide_pool(questions: DataFrame, blocks: DataFrame, rule: str = "empty", ax
         q = q.withColumn("_axis", F.when(F.col("n_event") > 0, "EVENT").otherwise("SESSION"))
     else:
         q = q.withColumn("_axis", axis)
-    degraded = (F.col("_axis") == "BOTH_INTERSECT") & (F.col("n_intersect") == 0)
+    degraded = (F.col("_axis") == "BOTH_INTERSECT") & (F.coalesce("n_intersect", F.lit(-1)) == 0)
     q = q.withColumn("_mode", F.when(degraded, "BOTH_UNION").otherwise(F.col("_axis"))).withColumn("_n", _size_of("_mode"))
     q = q.withColumn("pool_label", F.when(skip, "FULL").when(degraded, "BOTH_INTERSECT_DEGRADED_UNION").otherwise(F.col("_mode")))
 

@@ -99,14 +99,16 @@ def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (),
     return quantiles(df, value, {name or f"p{int(q * 100)}": (q, method)}, by)
 
 
-def quantiles(df: DataFrame, value: str, wanted: dict[str, tuple[float, str]], by: Sequence[str] = (), buckets: int = 4096) -> DataFrame:
+def quantiles(df: DataFrame, value: str, wanted: dict[str, tuple[float, str]], by: Sequence[str] = (), buckets: int = 4096, levels: int = 2) -> DataFrame:
     """Exact quantiles per group, one column per name of ``wanted`` (quantile, method).
 
     ``linear`` interpolates between neighbours, ``nearest`` takes the sorted value
     at ``clamp(round_half_even(q n) - 1)``, ``floor`` the one at ``int(q n)``.
 
-    Equal values are counted first.  Their counts fill ``buckets`` equal ranges between a group's least and greatest value;
-    running sums over the ranges tell which range holds each position, and only values of those ranges are put in order.
+    Equal values are counted first.  A group's values are then cut into ``buckets`` ranges, first of equal width in
+    ``sign(v) ln(1 + |v|)``, so that a few huge values do not press the others into one; running sums over the ranges tell which
+    range holds each position.  Each of these is cut again between its own least and greatest value, ``levels`` times in all, and
+    only values of the last ranges are put in order: at most a ``buckets ** (levels - 1)``-th of a first range's width each.
     """
     keys = [f"_g{i}" for i in range(max(1, len(by)))]
     groups = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)] if by else [F.lit(0).alias(keys[0])]
@@ -115,11 +117,7 @@ def quantiles(df: DataFrame, value: str, wanted: dict[str, tuple[float, str]], b
     same = lambda left, right: [left[k].eqNullSafe(right[f"_x{k}"]) for k in keys]
     hidden = lambda table: table.withColumnsRenamed({k: f"_x{k}" for k in keys})
     shown = lambda table: table.drop(*(f"_x{k}" for k in keys))
-    range_of = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (buckets - 1))).otherwise(0)
-    other = hidden(span)
-    placed = shown(counted.join(other, same(counted, other))).withColumn("_range", range_of.cast("int")).select(*keys, "_range", "_v", "_c")
     before = lambda *part: Window.partitionBy(*part[:-1]).orderBy(part[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = placed.groupBy(*keys, "_range").agg(F.sum("_c").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before(*keys, "_range")), F.lit(0)))
     asks = []
     for name, (q, method) in wanted.items():
         n = F.col("_n")
@@ -132,13 +130,27 @@ def quantiles(df: DataFrame, value: str, wanted: dict[str, tuple[float, str]], b
             at = low = F.least(F.floor(F.lit(q) * n), n - 1)
         for step in (0, 1):
             asks.append(F.struct(F.lit(f"{name}/{step}").alias("_name"), F.least(low + step, n - 1).cast("bigint").alias("_pos"), (at - low).cast("double").alias("_frac")))
-    ask = hidden(span.select(*keys, F.explode(F.array(*asks)).alias("_ask")).select(*keys, "_ask.*"))
-    held = ranges.join(ask, same(ranges, ask)).filter((F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_c")))
-    held = hidden(shown(held).select(*keys, F.col("_range").alias("_in"), (F.col("_pos") - F.col("_before")).alias("_at"), "_name", "_frac"))
-    chosen = held.select(*(f"_x{k}" for k in keys), "_in").distinct()
-    inside = shown(placed.join(chosen, [*same(placed, chosen), placed["_range"] == chosen["_in"]])).drop("_in")
-    inside = inside.withColumn("_before", F.coalesce(F.sum("_c").over(before(*keys, "_range", "_v")), F.lit(0)))
-    hits = inside.join(held, [*same(inside, held), inside["_range"] == held["_in"]]).filter((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_c")))
+    # ranges of values with the positions they hold, counted from the range's first value
+    chosen = span.select(*keys, "_lo", "_hi", F.array(*asks).alias("_asks"))
+
+    def inside(chosen: DataFrame) -> DataFrame:
+        ranges = hidden(chosen)
+        return shown(counted.join(ranges, [*same(counted, ranges), counted["_v"] >= ranges["_lo"], counted["_v"] <= ranges["_hi"]]))
+
+    def met(counts: DataFrame, order: str) -> DataFrame:
+        """Rows of ``counts`` with each position that falls on them, and what comes before them in their range."""
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before(*keys, "_lo", order)), F.lit(0)))
+        here = F.filter("_asks", lambda a: (a["_pos"] >= F.col("_before")) & (a["_pos"] < F.col("_before") + F.col("_c")))
+        return counts.withColumn("_ask", F.explode(here)).drop("_asks")
+
+    for level in range(levels):
+        scale = (lambda c: F.signum(c) * F.log1p(F.abs(c))) if level == 0 else (lambda c: c)
+        v, lo, hi = (scale(F.col(c).cast("double")) for c in ("_v", "_lo", "_hi"))
+        part = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * (buckets - 1))).otherwise(0).cast("int")
+        ranges = inside(chosen).withColumn("_range", part).groupBy(*keys, "_lo", "_range").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.first("_asks").alias("_asks"))
+        moved = F.struct(F.col("_ask._name").alias("_name"), (F.col("_ask._pos") - F.col("_before")).alias("_pos"), F.col("_ask._frac").alias("_frac"))
+        chosen = met(ranges, "_range").groupBy(*keys, F.col("_least").alias("_lo"), F.col("_most").alias("_hi")).agg(F.collect_list(moved).alias("_asks"))
+    hits = met(inside(chosen), "_v").select(*keys, "_v", "_ask._name", "_ask._frac")
     value_at = lambda name: F.max(F.when(F.col("_name") == name, F.col("_v")))
     share = lambda name: F.max(F.when(F.col("_name") == name, F.col("_frac")))
     out = [(value_at(f"{n}/0") + F.when(share(f"{n}/0") > 0, share(f"{n}/0") * (value_at(f"{n}/1") - value_at(f"{n}/0"))).otherwise(0)).alias(n) for n in wanted]
