@@ -36,7 +36,7 @@ def library_ids(text: str | None, by: token_orc.TokenFiles) -> list[int]:
 
 ODD = [
     "", " ", None, "It's  we'll\tI'D no-break em", "á ́b é", "<|endoftext|> x<|endoftext|>y <|startoftext|>", "ΑΣ ΑΣ. ΣΑΣ́ Σ", "漢字かな交じり文 と 한국어 한",
-    "İstanbul ǅ ﬁ ß ẞ", "123 4567 1,000.00 ½ ² x²", "\x00\x01 \x1c\x85 ​﻿", "🙂👩‍👩‍👧 !!??--", "line\r\nline\n\n\x0b\x0c end ",
+    "İstanbul ǅ ﬁ ß ẞ", "123 4567 1,000.00 ½ ² x²", "don't. (Foo), foo... FOO!? bar-baz, x_y é.à, ſt. ŉ' ǆ: q\u0338 <\u0338 end=\u0338 a=\u0338 Straße; ª. µ, 5. a5. 'll. 's, ''", "\x00\x01 \x1c\x85 ​﻿", "🙂👩‍👩‍👧 !!??--", "line\r\nline\n\n\x0b\x0c end ",
 ]
 
 

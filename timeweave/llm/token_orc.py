@@ -6,9 +6,10 @@ a row index every ``stride`` rows and a Bloom filter, so a lookup by id or range
 hold it only.  A row carries its range number ``part``, the text's number in it ``doc``, the ids of the range before it ``at`` and
 those of the text after it ``rest``; the place of a text among all ids is ``at`` plus the sum of the ranges before.
 
-Encoding looks at each distinct word of a slice of 2 MB once and keeps a bounded cache of words in the worker.  That is exact for
-vocabularies whose pre-tokenizer never joins characters across white space (``word_bpe_49k.json``); ``by_word=False`` encodes
-whole texts of any other vocabulary.  Word ends and special tokens are those of the library.
+Encoding looks at each distinct word of a slice of 8 MB once, marks after Latin letters apart from them, and keeps a bounded
+cache of such pieces in the worker.  That is exact for a vocabulary that is indifferent to white space and case, ends pre-tokens
+where letters end and maps a-z to themselves (``word_bpe_49k.json``); ``by_word=False`` encodes whole texts of any other
+vocabulary.  All ids come from the library.
 
 A file is finished whole or not at all and a lost executor costs its tasks only.  Reading needs no order of rows: a text whose
 chunks lie in two stripes is put together by the checksum shifts that ``rest`` allows, without moving ids.
@@ -21,13 +22,16 @@ rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,14 +43,15 @@ from timeweave.llm.texts import raw_bytes, slices
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """``vocabulary``: a file of the tokenizers library.  ``cache_words`` bounds each of the two generations of a worker's word cache; ``range_bytes`` is the text
-    that one range should hold; ``chunk`` the ids of a row."""
+    """``vocabulary``: a file of the tokenizers library.  ``cache_words`` bounds each of the two generations of a worker's word cache; ``slice_bytes`` of text
+    are encoded at once; ``range_bytes`` is the text that one range should hold; ``chunk`` the ids of a row."""
 
     vocabulary: str
     end_id: int = 2
     by_word: bool = True
     cache_words: int = 1 << 19
-    range_bytes: int = 64 << 20
+    slice_bytes: int = 8 << 20
+    range_bytes: int = 32 << 20
     chunk: int = 2048
     stride: int = 1000
     stripe_bytes: int = 16 << 20
@@ -59,6 +64,19 @@ def public_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: ASCII marks that follow letters as a pre-token of their own (an apostrophe may not), and Latin letters.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+LATIN_START = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+"
+LATIN = LATIN_START + "$"
+LETTERS = re.compile("[a-z]+")
+
+
+def take(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` one after the other."""
+    total = np.append(0, np.cumsum(size))
+    return values[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+
+
 _encoders: dict[TokenFiles, "Encoder"] = {}
 
 
@@ -78,6 +96,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.options, self.tokenizer = options, Tokenizer.from_file(options.vocabulary)
+        self.model = Tokenizer(self.tokenizer.model)
         self.forget()
 
     def forget(self) -> None:
@@ -86,19 +105,32 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        """Put words that the cache lacks into it."""
-        old, old_ids, old_first = self.old
-        kept, new = [w for w in words if w in old], [w for w in words if w not in old]
-        ids, first = self.raw(new) if new else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        parts = [old_ids[old_first[k] : old_first[k + 1]] for k in map(old.__getitem__, kept)]
-        self.known |= zip([*kept, *new], range(len(self.known), len(self.known) + len(words)), strict=True)
-        self.ids = np.concatenate([self.ids, *parts, ids])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([*map(len, parts), *np.diff(first).tolist()], dtype=np.int64)])
+    def raw(self, texts: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([0, *map(len, found)])
 
-    def raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter((i for ids in found for i in ids), np.uint32), np.cumsum([0, *map(len, found)])
+    def learn(self, pieces: list[str]) -> None:
+        """Put pieces that the cache lacks into it: those of the generation before, letters a-z, which need neither normaliser nor
+        pre-tokenizer, and the others."""
+        old, old_ids, old_first = self.old
+        kept, new = [w for w in pieces if w in old], [w for w in pieces if w not in old]
+        plain, other = [w for w in new if LETTERS.fullmatch(w)], [w for w in new if not LETTERS.fullmatch(w)]
+        at = np.fromiter(map(old.__getitem__, kept), np.int64, len(kept))
+        size = old_first[at + 1] - old_first[at]
+        groups = [(take(old_ids, old_first[at], size), np.append(0, np.cumsum(size))), self.raw(plain, self.model), self.raw(other)]
+        self.known |= zip([*kept, *plain, *other], range(len(self.known), len(self.known) + len(pieces)), strict=True)
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in groups)])
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(np.concatenate([np.diff(first) for _, first in groups])))
+
+    def lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin in the cache, and how many they are."""
+        if len(self.known) + len(pieces) > self.options.cache_words:
+            self.forget()
+        new = [w for w in pieces if w not in self.known]
+        if new:
+            self.learn(new)
+        slot = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        return self.first[slot], self.first[slot + 1] - self.first[slot]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of text d are ``ids[first[d]:first[d+1]]``."""
@@ -106,16 +138,21 @@ class Encoder:
             return self.raw(column.fill_null("").to_pylist())
         first, words = split_words(column)
         table = words.dictionary_encode()
-        distinct = table.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > self.options.cache_words:
-            self.forget()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self.learn(new)
-        slot = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[table.indices.to_numpy()]
-        begin, size = self.first[slot], np.diff(self.first)[slot]
-        total = np.append(0, np.cumsum(size))
-        return self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])], total[first]
+        distinct = table.dictionary
+        # letters followed by marks are two pre-tokens; a-z is its own lower case
+        stem = pc.utf8_rtrim(distinct, characters=MARKS)
+        in_two = pc.and_(pc.match_substring_regex(stem, LATIN), pc.less(pc.binary_length(stem), pc.binary_length(distinct)))
+        head = pc.if_else(in_two, stem, distinct)
+        head = pc.if_else(pc.match_substring_regex(head, "^[A-Za-z]+$"), pc.ascii_lower(head), head)
+        tail = pc.if_else(in_two, pc.replace_substring_regex(distinct, LATIN_START, ""), "")
+        pieces = pa.concat_arrays([head, tail]).dictionary_encode()
+        begin, size = self.lookup(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        n, place = len(distinct), pieces.indices.to_numpy()
+        place = np.stack([place[:n], place[n:]], axis=1).ravel()  # head and tail of each word in turn
+        ids = take(self.ids, begin[place], size[place])
+        of_word = size[place].reshape(n, 2).sum(axis=1)
+        word, starts = table.indices.to_numpy(), np.cumsum(of_word) - of_word
+        return take(ids, starts[word], of_word[word]), np.append(0, np.cumsum(of_word[word]))[first]
 
 
 def encoded(docs: DataFrame, options: TokenFiles, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,7 +166,7 @@ def encoded(docs: DataFrame, options: TokenFiles, id_col: str = "doc_id", text:
         encoder, part, doc, at = encoder_of(options), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             _, bounds = raw_bytes(batch.column(1))
-            for low, high in slices(bounds):
+            for low, high in slices(bounds, options.slice_bytes):
                 ids, first = encoder.encode(batch.column(1).slice(low, high - low))
                 n_docs, size = high - low, np.diff(first) + 1
                 with_end = np.insert(ids, first[1:], options.end_id)
