@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import empty, frame, texts
 from timeweave.llm import mixing, sharding
@@ -70,20 +72,42 @@ def test_tokens_split_evenly_between_any_number_of_shards(spark):
         assert set(counts) == set(range(n)) and sum(counts.values()) == 150 and max(counts.values()) - min(counts.values()) <= 5
 
 
-def test_mixed_rows_are_whole_documents(spark, tmp_path):
-    rows = [(k, f"word {k} " * 20, f"s{k % 4}") for k in range(2000)]
+def test_mixed_rows_are_the_draws_that_are_counted(spark, tmp_path):
+    """Very unequal sizes: every 40th text has 20,000 words."""
+    rng = random.Random(3)
+    rows = [(k, " \n".join(f"w{k}.{i}" for i in range(20_000 if k % 40 == 0 else rng.randrange(1, 60))) + "\t", f"s{k % 3}") for k in range(360)]
+    rows += [(900, "a b\tc  d", "s1")] * 4 + [(None, "null id here", None), (901, "", "s0"), (902, None, "s2")]
     docs = frame(spark, rows)
+    counted = mixing.plan(docs).collect()
     mix = mixing.mixed_rows(docs)
     assert mix.schema == docs.schema
-    got = Counter(r["doc_id"] for r in mix.collect())
-    by_source = Counter()
-    for k, n in got.items():
-        assert n <= 2
-        by_source[k % 4] += n
-    target = water_fill({s: 500 for s in range(4)}, {0: 5, 1: 2, 2: 1, 3: 5}, 1.5, 2)
-    assert all(abs(by_source[s] - target[s]) <= 12 for s in range(4))
+    drawn, texts_of = Counter(), defaultdict(set)
+    for k, text, _ in rows:
+        texts_of[k].add(text)
+    cut = 0
+    for r in mix.collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        drawn[r["doc_id"]] += n
+        whole = r["text"] in texts_of[r["doc_id"]]
+        cut += not whole
+        assert whole or any(t and t.startswith(r["text"]) and not t.startswith(r["text"] + "w") for t in texts_of[r["doc_id"]])
+    taken, by_source, target = Counter(), Counter(), {}
+    source_of = {k: s for k, _, s in rows}
+    for r in counted:
+        taken[r["doc_id"]] += r["taken"]
+        by_source[source_of[r["doc_id"]]] += r["taken"]
+        target[source_of[r["doc_id"]]] = r["target"]
+        assert len(r["shards"]) <= 2 and r["taken"] <= 2 * r["size"]
+    assert {k: n for k, n in drawn.items() if n} == {k: n for k, n in taken.items() if n}
+    assert all(target[s] - 4 < by_source[s] <= target[s] for s in target)  # copies of one id round down each
+    assert 1 <= cut <= 3 + 4
     mixing.write_mix(docs, str(tmp_path / "mix"))
-    assert spark.read.parquet(str(tmp_path / "mix")).count() == sum(got.values())
+    assert spark.read.parquet(str(tmp_path / "mix")).count() == mix.count()
+
+
+def test_first_words_keep_white_space(spark):
+    df = spark.createDataFrame([("  a\n\nb\tc d  ", n) for n in (1, 2, 3, 4)], "t string, n long")
+    assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()] == ["  a", "  a\n\nb", "  a\n\nb\tc", "  a\n\nb\tc d"]
 
 
 def test_mixing_takes_odd_rows(spark):

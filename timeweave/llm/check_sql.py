@@ -73,7 +73,7 @@ def mix_sql() -> str:
         CASE WHEN k <= floor(n * (middle - low) / (high - low)) THEN middle ELSE high END AS high FROM r{level}),""")
         level, widest = level + 1, (widest + 1) // 2
     return rf"""
-    WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('{o.seed}|part|' || coalesce('i' || doc_id, 'n')) AS draw_order,
         CAST('0x' || substr(md5('{o.seed}|block|' || coalesce('i' || doc_id, 'n')), 1, 8) AS BIGINT) % {o.blocks} AS block FROM documents),
     blocks AS (SELECT source, block, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY source, block),
     sizes AS (SELECT source, CAST(sum(words) AS BIGINT) AS source_size FROM blocks GROUP BY source),
@@ -88,11 +88,14 @@ def mix_sql() -> str:
     quotas AS (SELECT *, greatest(0.0::DOUBLE, least(target - passes * source_size - before, words::DOUBLE)) AS part FROM q),
     tokens AS (SELECT source, block, unnest(range(1, CAST(passes AS INT) + (CASE WHEN part > 0 THEN 1 ELSE 0 END) + 1)) AS draw, 0 AS low, {o.shards} AS high FROM quotas),
     {"".join(levels)}
-    shards AS (SELECT source, block, string_agg(CAST(low AS VARCHAR), ',' ORDER BY draw) AS shards FROM t{level - 1} GROUP BY source, block)
-    SELECT s.doc_id, s.size, q.source_size, round(q.target, 4) AS target,
-        CAST(q.passes * s.size + (CASE WHEN q.part >= q.words THEN s.size ELSE floor(q.part * s.size / q.words) END) AS BIGINT) AS taken, coalesce(h.shards, '') AS shards
-    FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source AND s.block = q.block
-    LEFT JOIN shards h ON s.source IS NOT DISTINCT FROM h.source AND s.block = h.block
+    placed AS (SELECT s.*, q.source_size, q.target, q.passes, q.part, q.words, floor(q.part) AS drawn, sum(s.size) OVER (PARTITION BY s.source, s.block, draw_order) AS alike,
+        sum(s.size) OVER (PARTITION BY s.source, s.block ORDER BY draw_order RANGE UNBOUNDED PRECEDING) AS upto
+        FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source AND s.block = q.block),
+    extras AS (SELECT *, CAST(CASE WHEN part <= 0 THEN 0 WHEN part >= words OR upto <= drawn THEN size WHEN upto - alike >= drawn THEN 0 ELSE size * (drawn - upto + alike) // alike END AS BIGINT) AS extra FROM placed),
+    shards AS (SELECT source, block, list(CAST(low AS VARCHAR) ORDER BY draw) AS shards FROM t{level - 1} GROUP BY source, block)
+    SELECT e.doc_id, e.size, e.source_size, round(e.target, 4) AS target, CAST(e.passes * e.size + e.extra AS BIGINT) AS taken,
+        coalesce(array_to_string(h.shards[1:CAST(e.passes + (CASE WHEN e.extra > 0 THEN 1 ELSE 0 END) AS BIGINT)], ','), '') AS shards
+    FROM extras e LEFT JOIN shards h ON e.source IS NOT DISTINCT FROM h.source AND e.block = h.block
     """
 
 

@@ -5,16 +5,21 @@ Targets: sources in code-point order, null last, take ``weights`` in turn and sh
 ``min(most * size, level * weight)``, found with running sums over the sources.
 
 Quotas: a source is dealt by a seeded hash into ``blocks`` blocks in a seeded order.  With a target of k whole sizes and a rest,
-every block is drawn k times and the blocks of the rest once more, the last of them in part, so drawn words meet the target
-exactly up to rounding within one block.  Every draw of a block is a token.
+every block is drawn k times and the blocks of the rest once more, the last of them in part.  Of that block, whole documents are
+drawn in the order of a seeded digest of their ids, the last of them cut after the words that are left, so the words of all draws
+are the target rounded down.  The cut is found from sums over leading digits of the digest, so only a 4,096th of one block of each
+source is put in order.  Every draw of a block is a token.
 
 Tree: the root holds all tokens.  A node hands its left child a uniform sample without replacement of its tokens, in proportion
 to the shards below, so the child's quotas per source are multivariate hypergeometric; leaves are output shards with disjoint
 permuted blocks.  Only tokens (sources x blocks x draws, whatever the number of rows) go through the tree; rows find their
 block by a join on (source, block) that spreads a hot source over its blocks.  Inside a shard rows are ordered by a seeded hash.
 
-Defined results: the size is the number of words, 0 for null; sources of size 0 have target 0; a null source is a source; equal
-rows are treated alike, each counted; extra columns are carried along by ``mixed`` and ignored by ``plan``.
+``plan`` counts the words of the very draws that ``mixed`` makes.
+
+Defined results: the size is the number of words, 0 for null; sources of size 0 have target 0; a null source is a source; rows of
+one id are drawn alike, each counted, and where the cut falls on them each is cut to the same share of its words; extra columns
+are carried along by ``mixed`` and ignored by ``plan``.
 """
 
 from __future__ import annotations
@@ -109,37 +114,82 @@ def split(quotas: DataFrame, options: Mix) -> DataFrame:
     return tokens.groupBy("source", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "low"))), lambda x: x["low"]).alias("shards"))
 
 
+def draw_order(id_col: str, options: Mix) -> Column:
+    """Digest of an id by which the documents of a partly drawn block are drawn."""
+    name = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+    return F.md5(F.concat(F.lit(f"{options.seed}|part|"), name))
+
+
+#: Leading hexadecimal digits by which the words of a partly drawn block are summed.
+DIGITS = 3
+
+
+def cuts(rows: DataFrame, quotas: DataFrame, options: Mix) -> DataFrame:
+    """(source, block, cut, cut_left, cut_words) of the blocks that are drawn in part: documents with a digest below ``cut`` are drawn
+    whole, those of the digest ``cut`` have ``cut_words`` words together, of which ``cut_left`` are drawn."""
+    partial = quotas.where((F.col("part") > 0) & (F.col("part") < F.col("words"))).select(F.col("source").alias("s"), F.col("block").alias("b"), F.floor("part").alias("left"))
+    inside = rows.select("source", "block", "size", "order").join(partial, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    sums = inside.groupBy("s", "b", "left", F.substring("order", 1, DIGITS).alias("digits")).agg(F.sum("size").alias("n"))
+    prior = Window.partitionBy("s", "b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(prior.orderBy("digits")), F.lit(0)))
+    falls = (F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("n"))
+    at = sums.where(falls).select(F.col("s").alias("source_at"), F.col("b").alias("block_at"), "digits", (F.col("left") - F.col("before")).alias("rest"))
+    near = inside.join(at, F.col("s").eqNullSafe(F.col("source_at")) & (F.col("b") == F.col("block_at")) & (F.substring("order", 1, DIGITS) == F.col("digits")))
+    ids = near.groupBy("s", "b", "rest", "order").agg(F.sum("size").alias("n"))
+    ids = ids.withColumn("before", F.coalesce(F.sum("n").over(prior.orderBy("order")), F.lit(0)))
+    falls = (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n"))
+    return ids.where(falls).select(F.col("s").alias("source"), F.col("b").alias("block"), F.col("order").alias("cut"), (F.col("rest") - F.col("before")).alias("cut_left"), F.col("n").alias("cut_words"))
+
+
 def planned(docs: DataFrame, id_col: str, text: str, source: str, options: Mix) -> DataFrame:
-    """``docs`` as ``doc`` structs with size, source_size, target, passes, part, words and shards."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), block_of(id_col, options).alias("block"))
+    """``docs`` as ``doc`` structs with size, source_size, target, passes, shards, and ``extra``, the words of one more draw."""
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"),
+        n_words(text).alias("size"), block_of(id_col, options).alias("block"), draw_order(id_col, options).alias("order"),
+    )
     quotas = written(block_quotas(rows.select("source", "block", "size"), options))
+    same = lambda s, b: F.col("source").eqNullSafe(F.col(s)) & (F.col("block") == F.col(b))
     shards = split(quotas, options).select(F.col("source").alias("s"), F.col("block").alias("b"), "shards")
-    table = written(quotas.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b").withColumnsRenamed({"source": "s", "block": "b"}))
+    ends = cuts(rows, quotas, options).withColumnsRenamed({"source": "cs", "block": "cb"})
+    table = quotas.join(shards, same("s", "b"), "left").drop("s", "b").join(ends, same("cs", "cb"), "left").drop("cs", "cb")
+    table = written(table.withColumnsRenamed({"source": "s", "block": "b"}))
     table = F.broadcast(table) if table.count() <= options.broadcast_rows else table
-    return rows.join(table, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-
-
-def in_part(options: Mix) -> Column:
-    """Words that the last, partial draw takes of a row."""
-    return F.when(F.col("part") >= F.col("words"), F.col("size")).otherwise(F.floor(F.col("part") * F.col("size") / F.nullif(F.col("words"), F.lit(0)))).cast("long")
+    whole = (F.col("part") >= F.col("words")) | (F.col("order") < F.col("cut"))
+    of_cut = F.when(F.col("order") == F.col("cut"), F.expr("size * cut_left DIV cut_words"))
+    extra = F.when(F.col("part") > 0, F.when(whole, F.col("size")).otherwise(F.coalesce(of_cut, F.lit(0)))).otherwise(0)
+    return rows.join(table, same("s", "b")).drop("s", "b").withColumn("extra", extra.cast("long"))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", options: Mix = Mix()) -> DataFrame:
     """(id, size, source_size, target, taken, shards) per row: words that the mix takes, and the shard of each draw."""
     rows = planned(docs.select(id_col, text, source), id_col, text, source, options)
-    taken = F.col("passes") * F.col("size") + F.coalesce(in_part(options), F.lit(0))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+    taken = F.col("passes") * F.col("size") + F.col("extra")
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), drawn_shards().alias("shards"))
+
+
+def drawn_shards() -> Column:
+    """The shard of each draw of a row: as often as its block is drawn whole, and once more where words of it are left to draw."""
+    return F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its n-th word, its white space as it is."""
+    pieces = F.split(text, r"[\x20\x09-\x0D]", -1)
+    places = F.filter(F.transform(pieces, lambda p, i: F.when(F.length(p) > 0, i)), lambda i: i.isNotNull())
+    last = F.get(places, (n - 1).cast("int"))
+    length = F.aggregate(F.slice(pieces, F.lit(1), last + 1), F.lit(0), lambda total, p: total + F.length(p)) + last
+    return F.substring(text, F.lit(1), length)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", options: Mix = Mix()) -> DataFrame:
-    """The mix itself: (``doc``, shard, order) with a row per draw of a document, whole documents only.  In the block that is drawn
-    in part, documents are drawn whole by a seeded hash below the part's share.  ``order`` sorts a shard."""
+    """The mix itself: (``doc``, shard, order) with a row per draw of a document.  Documents are whole but for the last one of a
+    source, whose last draw ends after the words that are left.  ``order`` sorts a shard."""
     rows = planned(docs, id_col, text, source, options)
-    name = F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.lit("n"))
-    chance = F.conv(F.substring(F.md5(F.concat(F.lit(f"{options.seed}|part|"), name)), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    drawn = F.col("passes") + F.when((F.col("part") > 0) & (chance * F.col("words") < F.col("part")), 1).otherwise(0)
-    rows = rows.withColumn("draws", F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), drawn))
-    return rows.select("doc", F.posexplode("draws").alias("draw", "shard"), "id").select("doc", "shard", F.xxhash64(F.lit(options.seed), "shard", "draw", "id").alias("order"))
+    drawn = rows.select("doc", "id", "size", "passes", "extra", F.posexplode(drawn_shards()).alias("draw", "shard"))
+    is_cut = (F.col("draw") == F.col("passes")) & (F.col("extra") < F.col("size"))
+    own = F.col("doc").getField(text)
+    doc = F.when(is_cut, F.col("doc").withField(f"`{text}`", first_words(own, F.col("extra")))).otherwise(F.col("doc"))
+    return drawn.select(doc.alias("doc"), "shard", F.xxhash64(F.lit(options.seed), "shard", "draw", "id").alias("order"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
