@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import UPPER, empty, frame, texts
@@ -32,11 +33,10 @@ def brute_tree(rows, tree: st.Tree):
         for i in range(tree.depth, len(padded)):
             for d in range(tree.depth + 1):
                 counts.setdefault(padded[i - d : i], Counter())[padded[i]] += 1
-    least = max(tree.min_count, math.ceil(tree.min_share * sum(counts[b""].values())))
-    kept = {b""}
+    kept = {context for context in counts if len(context) <= st.SHORT} | {b""}
     for context, own in counts.items():
         n = sum(own.values())
-        if not context or n < least:
+        if len(context) <= st.SHORT or n < tree.min_count:
             continue
         parent = counts[context[1:]]
         total = sum(parent.values())
@@ -66,7 +66,7 @@ def test_scores_match_brute_force(spark):
     found = st.score(frame(spark, rows), tree=tree).collect()
     assert len(found) == len(rows)
     score, kept = brute_tree(rows, tree)
-    assert max(map(len, kept)) >= 2
+    assert max(map(len, kept)) >= 4
     c = Counter(w for k, t, _ in rows if not held(k) for w in tokens(t))
     n, v = sum(c.values()), len(c)
     by_id = {}
@@ -79,18 +79,42 @@ def test_scores_match_brute_force(spark):
         assert r["score"] == pytest.approx(score(by_id[r["doc_id"]]))
 
 
+def whole_model(spark, rows, tree):
+    stored = st.chunks(frame(spark, rows), "doc_id", "text", tree)
+    short, model = st.short_levels(stored), st.Model()
+    for entries, n in short:
+        model = st.grown(model, entries, n, tree)
+    (row,) = st.asked_keys(stored.coalesce(1), st.Tree(depth=tree.depth, unit=1 << 40), 1).collect()
+    planes = [np.ascontiguousarray(st.unpacked(pa.scalar(bytes(row[c]))).reshape(8, -1).T) for c in ("keys", "counts")]
+    return st.subtrees(short, model, np.cumsum(planes[0].view(np.uint64).ravel(), dtype=np.uint64), planes[1].view(np.int64).ravel(), tree)
+
+
 def test_next_byte_distributions_sum_to_one(spark):
     rows = [r for r in texts() if r[0] is None or r[0] not in (400, 401)]
-    tree = st.Tree(depth=3)
-    stored = st.chunks(frame(spark, rows), "doc_id", "text", tree)
-    model = st.model_of(st.retained(st.context_counts(stored, tree), tree).toArrow().to_pandas(), tree)
-    assert sum(map(len, model.contexts)) > 10
-    for context in (b"   ", b"alp", b"zzz", b"\n\n\n", b"ta1"):
+    model = whole_model(spark, rows, st.Tree(depth=4))
+    assert len(model.contexts[3]) > 10 and len(model.contexts[4]) > 10
+    for context in (b"    ", b" alp", b"zzzz", b"\n\n\n\n", b"lta1", b"n an"):
         prefix = sum(b << (56 - 8 * k) for k, b in enumerate(reversed(context)))
         keys = np.array([prefix | a for a in range(256)], np.uint64)
         assert (10 ** model.log10(keys)).sum() == pytest.approx(1)
 
 
+def test_scores_depend_on_no_table_size_units_or_buckets(spark):
+    """A text scores the same when rows without its contexts are added, but for the counts of what they share."""
+    rows = [r for r in texts() if r[0] is None or r[0] not in (400, 401)]
+    want = {(r["doc_id"], r["n_tokens"]): r["score"] for r in st.score(frame(spark, rows)).collect()}
+    small = st.Tree(chunk_bytes=2000, unit=2, bucket_bytes=100)
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in st.score(frame(spark, rows).repartition(3), tree=small).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    # deep states stay when the table grows by other words: their own counts are what is tested
+    tree = st.Tree(depth=4)
+    few = whole_model(spark, rows, tree)
+    other = [(5000 + k, " ".join(chr(0x4E00 + (k * 31 + i) % 900) * 2 for i in range(300)), "x") for k in range(60)]
+    many = whole_model(spark, rows + other, tree)
+    for d in (3, 4):
+        assert np.isin(few.contexts[d], many.contexts[d]).mean() > 0.97
+
+
 def test_long_texts(spark):
     found = {r["doc_id"]: r for r in st.score(frame(spark)).collect()}
     assert found[400]["n_tokens"] == 48_001 and found[401]["n_tokens"] == 2

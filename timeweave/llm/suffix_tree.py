@@ -1,30 +1,32 @@
 """Language-model scores by a probabilistic suffix tree over the bytes of lower-cased words.
 
 A text is the sequence of its words' bytes, each word closed by a space and the text by an end mark, so every sequence of words
-has a probability.  The tree's states are contexts of up to ``depth`` preceding bytes.  Counts of all (context, next byte) pairs
-are gathered from every training text, combined in the task, and summed over the corpus.  A context of enough occurrences is
-retained when its next-byte distribution diverges from that of the context one byte shorter: ``count * KL`` must exceed the
-Bayesian penalty for its distinct next bytes.  Suffixes of retained contexts are retained too.  Distributions are smoothed
-by interpolation with the shorter context, weighted by the number of distinct next bytes, down to the uniform one.  A byte is scored in the
-state of the longest retained suffix before it.
-
-Sizes: (context, byte) counts and word counts are tables that grow with the corpus and never leave the executors.  Only retained
-contexts are broadcast: each has at least ``min_share`` of all training bytes, so there are at most ``depth / min_share``.  So are
-the counts of frequent words; the tokens of other words join the word counts, which no frequent word can make uneven.
-Texts travel in chunks of a few megabytes, stored once.
+has a probability.  The tree's states are contexts of up to ``depth`` preceding bytes.  A context of at least ``min_count``
+occurrences, whatever the size of the corpus, is retained when its next-byte distribution diverges from that of the context one
+byte shorter: ``count * KL`` must exceed the Bayesian penalty for its distinct next bytes.  Suffixes of retained contexts are
+retained too, and contexts of up to ``SHORT`` bytes always.  Distributions are smoothed by interpolation with the shorter
+context, weighted by the number of distinct next bytes, down to the uniform one.  A byte is scored in the state of the longest
+retained suffix before it.
+
+The tree is never in one place.  Texts are stored in chunks; up to ``unit`` chunks of one writer are a unit of work.  A unit's
+distinct (context, next byte) keys, with their counts in training texts, go to buckets by the three nearest bytes of the context,
+packed, so a bucket holds whole subtrees: there counts are summed, contexts tested and kept, and every key of the bucket gets its
+log probability.  These go back to the units that asked, which score their texts by look-up.  Both ways travel distinct keys of
+units only, a few per cent of all bytes; buckets grow in number with the corpus and units are bounded, so neither outgrows a task.
+Only the states of up to two bytes are broadcast: at most 2^24 pairs of context and byte, in UTF-8 text far fewer.  So are the
+counts of frequent words; the tokens of other words join the word counts, which no frequent word can make uneven.
 
 Defined results: a null text counts as empty and is one end token; a null id is never held out; repeated rows are scored each by
-itself and count each in training; without training texts all scores are uniform and base scores 0; other columns are ignored.
+itself and count each in training; very long texts are chunks of their own; without training texts all scores are uniform and base
+scores 0; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -32,28 +34,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timeweave.llm.store import written
-from timeweave.llm.texts import LOWER, SAME, SPACED, raw_bytes, slices, words
+from timeweave.llm.texts import LOWER, SAME, SPACED, mix, raw_bytes, slices, words
 
 SPACE, END = 0x20, 0x0A
 #: Stands for the end token among word hashes.
 END_WORD = np.uint64(0x656E64)
+#: Contexts of so many bytes are always states.
+SHORT = 2
 
 
 @dataclass(frozen=True)
 class Tree:
-    """``min_count`` and ``min_share`` of all training bytes bound the contexts looked at; ``penalty`` scales the divergence test;
-    ``smoothing`` is the weight of the shorter context for each distinct next byte.  Words of ``word_share`` of all tokens or more
-    are broadcast with their counts, others are counted by a join."""
+    """``penalty`` scales the divergence test; ``smoothing`` is the weight of the shorter context for each distinct next byte.  Words
+    of ``word_share`` of all tokens or more are broadcast with their counts, others are counted by a join.  ``unit`` chunks are
+    scored together; a bucket is to hold the keys of about ``bucket_bytes`` of stored symbols."""
 
     depth: int = 6
     min_count: int = 4
-    min_share: float = 1e-6
     penalty: float = 0.25
     smoothing: float = 4.0
     folds: int = 7
     held_fold: int = 2
     word_share: float = 1e-6
     chunk_bytes: int = 1 << 20
+    unit: int = 64
+    bucket_bytes: int = 2 << 20
 
 
 def symbols(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -151,12 +156,6 @@ def word_counts(stored: DataFrame) -> DataFrame:
     return training_counts(stored, lambda stream: word_hashes(stream)[0])
 
 
-def context_counts(stored: DataFrame, tree: Tree) -> DataFrame:
-    """(key, n) of every deepest context and next byte."""
-    depth = tree.depth
-    return training_counts(stored, lambda stream: context_keys(stream, depth))
-
-
 def mask(depth: int) -> int:
     """Bits of the ``depth`` bytes before a symbol: the nearest is the highest byte."""
     return ((1 << 64) - 1) ^ ((1 << (64 - 8 * depth)) - 1)
@@ -176,46 +175,14 @@ def context_keys(stream: np.ndarray, depth: int) -> np.ndarray:
     return keys.view("<u8").ravel()
 
 
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >= 1 << 63 else value
-
-
-def retained(counts: DataFrame, tree: Tree) -> DataFrame:
-    """(depth, context, byte, n): next-byte counts of the root and of all contexts that the divergence test retains."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(tree.min_count, int(np.ceil(tree.min_share * total)))
-    levels, keys = [], counts
-    for d in range(tree.depth, -1, -1):
-        context = F.col("key").bitwiseAND(F.lit(signed(mask(d))))
-        byte = F.col("key").bitwiseAND(F.lit(255))
-        if d < tree.depth:  # the counts of a level come from those of the next longer contexts
-            keys = written(keys.groupBy(context.bitwiseOR(byte).alias("key")).agg(F.sum("n").alias("n")))
-        own = keys.select(context.alias("context"), byte.alias("byte"), "n")
-        of = own.groupBy(F.col("context").alias("of")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("branches"))
-        of = of.where(F.col("total") >= (least if d else 0))
-        levels.append(own.join(of, F.col("context") == F.col("of")).select(F.lit(d).alias("depth"), "context", "byte", "n", "total", "branches"))
-    pairs = written(reduce(DataFrame.unionByName, levels))
-    shorter = F.lit(None)
-    for d in range(1, tree.depth + 1):
-        shorter = F.when(F.col("depth") == d, F.col("context").bitwiseAND(F.lit(signed(mask(d - 1))))).otherwise(shorter)
-    parent = pairs.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("shorter"), "byte", F.col("n").alias("parent_n"), F.col("total").alias("parent_total"))
-    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / (F.col("parent_n") / F.col("parent_total"))))
-    tested = pairs.where("depth > 0").withColumn("shorter", shorter.cast("long")).join(parent, ["depth", "shorter", "byte"])
-    tested = tested.groupBy("depth", "context").agg(gain.alias("gain"), F.first("total").alias("total"), F.first("branches").alias("branches"))
-    passed = tested.where(F.col("gain") > tree.penalty * F.col("branches") * F.log("total"))
-    suffixes = F.array(*(F.struct(F.lit(d).alias("depth"), F.col("context").bitwiseAND(F.lit(signed(mask(d)))).alias("context")) for d in range(tree.depth + 1)))
-    kept = passed.select(F.explode(F.slice(suffixes, F.lit(1), F.col("depth") + 1)).alias("at")).select("at.*").distinct()
-    return pairs.join(kept, ["depth", "context"], "left_semi").unionByName(pairs.where("depth = 0").join(kept.where("depth = 0"), ["depth", "context"], "left_anti")).select("depth", "context", "byte", "n")
-
-
 @dataclass(frozen=True)
 class Model:
     """Per depth: sorted contexts with the log10 weight of the shorter state, sorted (context, byte) keys with log10 probabilities."""
 
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]
-    entries: list[np.ndarray]
-    scores: list[np.ndarray]
+    contexts: tuple[np.ndarray, ...] = ()
+    weights: tuple[np.ndarray, ...] = ()
+    entries: tuple[np.ndarray, ...] = ()
+    scores: tuple[np.ndarray, ...] = ()
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each distinct (context, byte) key."""
@@ -237,30 +204,130 @@ class Model:
         return out
 
 
-def model_of(table: pd.DataFrame, tree: Tree) -> Model:
-    """Smoothed distributions of retained contexts; a shorter state's are done first."""
-    contexts, weights, entries, scores = [], [], [], []
-    probability = np.zeros(0)
-    for d in range(tree.depth + 1):
-        own = table[table["depth"] == d]
-        context = own["context"].to_numpy(np.int64).view(np.uint64)
-        key = context | own["byte"].to_numpy(np.int64).astype(np.uint64)
-        order = np.argsort(key)
-        key, context, n = key[order], context[order], own["n"].to_numpy(np.float64)[order]
-        begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(key) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(begin, len(key)))
-        total = np.add.reduceat(n, begin) if len(begin) else n
-        spared = tree.smoothing * sizes
-        lower = np.full(len(key), 1 / 256)
-        if d and len(key):
-            short = (key & np.uint64(mask(d - 1))) | (key & np.uint64(255))
-            lower = probability[np.searchsorted(entries[d - 1], short)]
-        probability = (n + np.repeat(spared, sizes) * lower) / np.repeat(total + spared, sizes) if len(key) else n
-        contexts.append(context[begin])
-        weights.append(np.log10(spared / (total + spared)))
-        entries.append(key)
-        scores.append(np.log10(probability))
-    return Model(contexts, weights, entries, scores)
+def level(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (context, byte) keys of one depth with their counts, from those of deeper contexts."""
+    return merged(keys & np.uint64(mask(depth) | 255), counts)
+
+
+def shorter(entries: np.ndarray, depth: int) -> np.ndarray:
+    """The keys with their contexts, of ``depth`` bytes, one byte shorter."""
+    return entries & np.uint64(mask(depth - 1) | 255)
+
+
+def groups(entries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, begin, size) of sorted (context, byte) keys."""
+    context = entries & np.uint64(mask(depth))
+    begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+    return context[begin], begin, np.diff(np.append(begin, len(context)))
+
+
+def grown(model: Model, entries: np.ndarray, counts: np.ndarray, tree: Tree) -> Model:
+    """The model with the states of one more depth, smoothed towards those it has."""
+    d = len(model.contexts)
+    contexts, begin, size = groups(entries, d)
+    total = np.add.reduceat(counts, begin).astype(np.float64) if len(begin) else np.zeros(0)
+    spared = tree.smoothing * size
+    lower = 10.0 ** model.scores[d - 1][np.searchsorted(model.entries[d - 1], shorter(entries, d))] if d and len(entries) else np.full(len(entries), 1 / 256)
+    probability = (counts + np.repeat(spared, size) * lower) / np.repeat(total + spared, size)
+    return Model((*model.contexts, contexts), (*model.weights, np.log10(spared / (total + spared))), (*model.entries, entries), (*model.scores, np.log10(probability)))
+
+
+def short_levels(stored: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The (context, byte) counts of all contexts of up to ``SHORT`` bytes, by depth."""
+    table = training_counts(stored, lambda stream: context_keys(stream, SHORT)).toArrow()
+    keys, counts = np.asarray(table["key"]).astype(np.int64).view(np.uint64), np.asarray(table["n"]).astype(np.int64)
+    return [level(keys, counts, d) for d in range(SHORT + 1)]
+
+
+def subtrees(short: list[tuple[np.ndarray, np.ndarray]], model: Model, keys: np.ndarray, counts: np.ndarray, tree: Tree) -> Model:
+    """``model``, the short states, with the retained states of the subtrees that ``keys`` make up whole, counted in training texts."""
+    trained = counts > 0
+    levels = {d: level(keys[trained], counts[trained], d) for d in range(SHORT + 1, tree.depth + 1)}
+    kept: dict[int, np.ndarray] = {}
+    below = np.zeros(0, np.uint64)  # contexts of this depth that deeper ones need
+    for d in range(tree.depth, SHORT, -1):
+        entries, n = levels[d]
+        contexts, begin, size = groups(entries, d)
+        if not len(entries):
+            kept[d] = contexts
+            continue
+        parents, parent_n = levels[d - 1] if d - 1 > SHORT else short[d - 1]
+        at = np.searchsorted(parents, shorter(entries, d))
+        parent_contexts, parent_begin, _ = groups(parents, d - 1)
+        parent_total = np.add.reduceat(parent_n, parent_begin)[np.searchsorted(parent_contexts, entries & np.uint64(mask(d - 1)))]
+        total = np.add.reduceat(n, begin)
+        gain = np.add.reduceat(n * np.log(n / np.repeat(total, size) / (parent_n[at] / parent_total)), begin)
+        passed = (total >= tree.min_count) & (gain > tree.penalty * size * np.log(total))
+        kept[d] = np.union1d(contexts[passed], below)
+        below = np.unique(kept[d] & np.uint64(mask(d - 1)))
+    for d in range(SHORT + 1, tree.depth + 1):
+        entries, n = levels[d]
+        inside = np.isin(entries & np.uint64(mask(d)), kept[d])
+        model = grown(model, entries[inside], n[inside], tree)
+    return model
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Eight-byte numbers, like bytes together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def opened(value: pa.BinaryScalar, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(value).reshape(8, -1).T).view(kind).ravel()
+
+
+def asked_keys(stored: DataFrame, tree: Tree, buckets: int, room: int = 1 << 21) -> DataFrame:
+    """(bucket, unit, keys, counts): the distinct deepest keys of each unit, sorted, with their counts in its training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        unit = -1
+
+        def rows() -> pa.RecordBatch:
+            keys, counts = merged(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+            parts.clear()
+            bucket = (mix(keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            keys, counts, bucket = keys[order], counts[order], bucket[order]
+            begin = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
+            spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True)) if len(begin) else []
+            blobs = [[packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], [packed(counts[a:b]) for a, b in spans]]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(np.full(len(begin), unit)), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "unit", "keys", "counts"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own_unit = batch.column(0)[row].as_py() // tree.unit
+                if parts and (own_unit != unit or sum(len(k) for k, _ in parts) > 2 * room):
+                    if own_unit == unit:
+                        parts[:] = [merged(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))]
+                    if own_unit != unit or len(parts[0][0]) > room:
+                        yield rows()
+                unit = own_unit
+                stream = unpacked(batch.column(2)[row])
+                train = np.repeat(~np.asarray(batch.column(1)[row].values), np.diff(text_bounds(stream))).astype(np.int64)
+                parts.append(merged(context_keys(stream, tree.depth), train))
+        if parts:
+            yield rows()
+
+    return stored.select("chunk", "held", "symbols").mapInArrow(run, "bucket int, unit long, keys binary, counts binary")
+
+
+def answered(asked: DataFrame, short: list[tuple[np.ndarray, np.ndarray]], model: Model, tree: Tree) -> DataFrame:
+    """(unit, keys, scores): the log10 probabilities of the keys that each unit asked for."""
+    query = asked.sparkSession.sparkContext.broadcast((short, model))
+
+    def run(table: pa.Table) -> pa.Table:
+        short, model = query.value
+        keys = [np.cumsum(opened(k, np.uint64), dtype=np.uint64) for k in table["keys"]]
+        counts = [opened(n, np.int64) for n in table["counts"]]
+        all_keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate(counts), minlength=len(all_keys)).astype(np.int64)
+        scores = subtrees(short, model, all_keys, total, tree).log10(all_keys)[place]
+        ends = np.cumsum([0, *map(len, keys)])
+        blobs = [packed(scores[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"unit": table["unit"], "keys": table["keys"], "scores": pa.array(blobs, pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(run, "unit long, keys binary, scores binary")
 
 
 def frequent_words(counted: DataFrame, n_train: int, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
@@ -276,41 +343,51 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tree: Tre
     stored = chunks(docs, id_col, text, tree)
     counted = written(word_counts(stored))
     n_train, n_words = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = model_of(retained(written(context_counts(stored, tree)), tree).toArrow().to_pandas(), tree)
-    query = docs.sparkSession.sparkContext.broadcast((model, *frequent_words(counted, n_train, tree)))
+    short = short_levels(stored)
+    model = Model()
+    for entries, n in short if len(short[0][0]) else ():
+        model = grown(model, entries, n, tree)
+    size = stored.agg(F.coalesce(F.sum(F.octet_length("symbols")), F.lit(0))).first()[0]
+    spark = docs.sparkSession
+    buckets = max(4 * spark.sparkContext.defaultParallelism, -(-size // tree.bucket_bytes))
+    answers = answered(asked_keys(stored, tree, buckets), short, model, tree)
+    query = spark.sparkContext.broadcast(frequent_words(counted, n_train, tree))
     id_type = stored.schema["ids"].dataType.elementType.simpleString()
     schema = f"chunk long, place int, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
     depth, spread = tree.depth, float(np.log10(n_train + 1.0 * (n_words + 1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, names, counts = query.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                stream = unpacked(batch.column(3)[row])
-                bounds = text_bounds(stream)
-                tokens, first = word_hashes(stream)
-                at = np.minimum(np.searchsorted(names, tokens), max(0, len(names) - 1))
-                known = names[at] == tokens if len(names) else np.zeros(len(tokens), bool)
-                base = np.add.reduceat(np.where(known, np.log10(counts[at] + 1.0) if len(names) else 0.0, 0.0), first[:-1]) - np.diff(first) * spread
-                unknown = np.concatenate([[0], np.cumsum(~known)])[first]
-                rare = pa.ListArray.from_arrays(pa.array(unknown, pa.int32()), pa.array(tokens[~known].view(np.int64)))
-                keys = context_keys(stream, depth)
-                order = np.argsort(keys)
-                ordered = keys[order]
-                fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-                each = np.empty(len(keys))
-                each[order] = model.log10(ordered[fresh])[np.cumsum(fresh) - 1]
-                n = len(bounds) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, batch.column(0)[row].as_py())), pa.array(np.arange(n, dtype=np.int32)), batch.column(1)[row].values, batch.column(2)[row].values,
-                        pa.array(np.diff(first).astype(np.int64)), pa.array(np.add.reduceat(known.astype(np.int64), first[:-1])), pa.array(base),
-                        pa.array(np.add.reduceat(each, bounds[:-1])), rare,
-                    ],
-                    names=["chunk", "place", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
-                )
-
-    scored = written(stored.mapInArrow(run, schema))
+    def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
+        names, counts = query.value
+        known_keys = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(opened(k, np.uint64), dtype=np.uint64) for k in told["keys"])])
+        known_scores = np.concatenate([np.zeros(0), *(opened(v, np.float64) for v in told["scores"])])
+        known_keys, first_at = np.unique(known_keys, return_index=True)
+        known_scores = known_scores[first_at]
+        parts = []
+        for chunk, ids, held, value in zip(chunks["chunk"], chunks["ids"], chunks["held"], chunks["symbols"], strict=True):
+            stream = unpacked(value)
+            bounds = text_bounds(stream)
+            tokens, first = word_hashes(stream)
+            at = np.minimum(np.searchsorted(names, tokens), max(0, len(names) - 1))
+            known = names[at] == tokens if len(names) else np.zeros(len(tokens), bool)
+            base = np.add.reduceat(np.where(known, np.log10(counts[at] + 1.0) if len(names) else 0.0, 0.0), first[:-1]) - np.diff(first) * spread
+            unknown = np.concatenate([[0], np.cumsum(~known)])[first]
+            rare = pa.ListArray.from_arrays(pa.array(unknown, pa.int32()), pa.array(tokens[~known].view(np.int64)))
+            keys = context_keys(stream, depth)
+            order = np.argsort(keys)
+            ordered = keys[order]
+            fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            each = np.empty(len(keys))
+            each[order] = known_scores[np.searchsorted(known_keys, ordered[fresh])][np.cumsum(fresh) - 1]
+            n = len(bounds) - 1
+            columns = [
+                pa.array(np.full(n, chunk.as_py())), pa.array(np.arange(n, dtype=np.int32)), ids.values, held.values, pa.array(np.diff(first).astype(np.int64)),
+                pa.array(np.add.reduceat(known.astype(np.int64), first[:-1])), pa.array(base), pa.array(np.add.reduceat(each, bounds[:-1])), rare,
+            ]
+            parts.append(pa.table(columns, names=["chunk", "place", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]))
+        return pa.concat_tables(parts)
+
+    by_unit = stored.withColumn("unit", F.expr(f"chunk DIV {tree.unit}"))
+    scored = written(by_unit.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(run, schema))
     # a word that no training text has adds log10(1) and is not known, so an inner join tells all
     asked = scored.select("chunk", "place", F.explode("rare").alias("key")).join(counted, "key")
     more = asked.groupBy("chunk", "place").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more_base"), F.count(F.lit(1)).alias("more_known"))
