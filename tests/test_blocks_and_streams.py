@@ -116,6 +116,26 @@ def test_sessions_of_a_stream_merge_out_of_order(spark):
     assert found == {("a", 1), ("a", 3), ("b", 5), ("b", 1)} and spark.read.parquet(f"{base}/out").count() >= 6
 
 
+def test_stems_in_sql_and_by_join_follow_the_stemmer(spark):
+    import duckdb
+
+    from timeweave.catalog.stem_sql import stems
+    from timeweave.functions.stem import with_stems
+
+    rng = random.Random(2)
+    heads = ("rel", "hop", "fil", "conflat", "troubl", "siz", "tann", "fizz", "happ", "sk", "vile", "analog", "conform", "radic", "differ", "vietnam", "predic", "oper", "feud", "decis", "hope", "callous", "form", "sensit", "tripl", "good", "electric", "reviv", "allow", "infer", "gyroscop", "adjust", "defens", "irrit", "replac", "depend", "adopt", "commun", "activ", "homolog", "bowdler", "prob", "rate", "ceas", "contr", "roll", "sy", "tr", "cry", "2022", "a", "é", "wax", "snow")
+    tails = ("", "s", "es", "ies", "sses", "ss", "ed", "eed", "ing", "y", "ational", "tional", "enci", "izer", "abli", "alli", "ousli", "ization", "ation", "alism", "iveness", "fulness", "aliti", "iviti", "biliti", "icate", "ative", "alize", "ical", "ful", "ness", "al", "ance", "er", "able", "ement", "ment", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize", "e", "ll", "lled", "tting", "izing", "ated")
+    words = sorted({h + t for h in heads for t in tails} | {"".join(rng.choice("aeioubcdlsty") for _ in range(rng.randrange(1, 9))) + rng.choice(tails) for _ in range(3000)})
+    words = [w for w in words if "yy" not in w]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v (t VARCHAR)")
+    con.executemany("INSERT INTO v VALUES (?)", [(w,) for w in words])
+    got = dict(con.execute(f"WITH {stems('v')} SELECT t, stem FROM stems").fetchall())
+    assert {w: got[w] for w in words} == {w: stem(w) for w in words}
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words[:400] + ["running"] * 200 + [None])], "i int, w string")
+    assert all(r.stem == (stem(r.w) if r.w is not None else None) for r in with_stems(rows, "w", ["i"]).collect())
+
+
 def test_stemmer_and_category_scores(spark):
     for word, root in (("caresses", "caress"), ("ponies", "poni"), ("hopping", "hop"), ("relational", "relat"), ("probate", "probat"), ("sky", "sky"), ("agreed", "agre"), ("controlling", "control")):
         assert stem(word) == root

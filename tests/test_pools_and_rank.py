@@ -244,6 +244,32 @@ def test_one_key_may_own_half_of_an_interval_join(spark):
     assert overlap_join(l, r.limit(0), ("s", "e"), ("s2", "e2"), ["k"], 10, rows_per_tile=7).count() == 0
 
 
+def test_anchor_scores_are_the_best_event_of_the_best_blocks(spark):
+    from timeweave.operators.anchors import AnchorRules, score_candidates
+    from timeweave.operators.rank import tiled_scores
+
+    rng = random.Random(17)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    b = [("u" if i % 4 else "v", i, vec() if i % 11 else None) for i in range(60)]
+    events = [(u, i, vec()) for u, i, _ in b for _ in range(i % 4)]  # blocks with none to three events
+    asks = [("u" if i % 3 else "v", i, vec() if i else None) for i in range(20)]
+    rules = AnchorRules(coarse_blocks=12, candidates=5)
+    frames = [spark.createDataFrame(x, f"user_id string, {k} long, embedding array<double>") for x, k in ((asks, "qa_idx"), (b, "block_id"), (events, "block_id"))]
+    got = {(r.user_id, r.qa_idx, r["rank"]): (r.block_id, round(r.score, 6)) for r in score_candidates(*frames, rules).collect()}
+
+    def cos(x, y):
+        return -1.0 if x is None or y is None else round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 9)
+
+    want = {}
+    for u, q, a in asks:
+        coarse = sorted(((-cos(a, v), i) for w, i, v in b if w == u))[:12]
+        fine = sorted((-max(cos(a, e) for w, j, e in events if j == i), i) for _, i in coarse if i % 4)[:5]
+        want |= {(u, q, k): (i, round(-s, 6)) for k, (s, i) in enumerate(fine, 1)}
+    assert got == want
+    small = tiled_scores(frames[0], frames[1].withColumn("parts", F.lit(None).cast("array<double>")), 3, parts=True, blocks_per_tile=7, questions_per_tile=4)
+    assert small.count() and small.filter("part_score IS NOT NULL").count() == 0
+
+
 def test_audit_keeps_gold_blocks_without_session_dates(spark):
     b = spark.createDataFrame(
         [("u", i, None, None, None, None) for i in range(3)], "user_id string, block_id long, session_start date, session_end date, event_start date, event_end date"

@@ -25,8 +25,10 @@ KEY = ["user_id", "qa_idx"]
 def event_vectors(spark, d):
     b = blocks(spark, d).select("user_id", "block_id", "embedding")
     w = Window.partitionBy("user_id").orderBy("block_id")
-    blend = F.zip_with(F.lag("embedding").over(w), "embedding", lambda p, o: p.cast("double") * 0.6 + o.cast("double") * 0.8)
-    two = b.withColumn("_p", blend).select("user_id", "block_id", F.explode(F.array_compact(F.array(F.col("embedding").cast("array<double>"), "_p"))).alias("embedding"))
+    before = b.select("user_id", "block_id", F.lag("block_id").over(w).alias("_before")).filter("_before IS NOT NULL")  # ids only
+    blend = F.zip_with("_p", "embedding", lambda p, o: p.cast("double") * 0.6 + o.cast("double") * 0.8)
+    pairs = b.join(before, ["user_id", "block_id"]).join(b.select("user_id", F.col("block_id").alias("_before"), F.col("embedding").alias("_p")), ["user_id", "_before"])
+    two = b.withColumn("embedding", F.col("embedding").cast("array<double>")).unionByName(pairs.select("user_id", "block_id", blend.alias("embedding")))
     return two
 
 
@@ -64,6 +66,21 @@ def an4(spark, d):
     return g.select(*KEY, "n_matches", *[F.round(c, 6).alias(c) for c in ("top1", "median", "avg_top3")], "accepted")
 
 
+@query(
+    "an5_lone_peaks",
+    with_sql(BLK, QRY, SCORED, FINE)
+    + """, peaks AS (SELECT user_id, qa_idx, max(score) FILTER (rn = 1) AS first, coalesce(max(score) FILTER (rn = 2), -1.0) AS second FROM cand GROUP BY ALL),
+      judged AS (SELECT *, coalesce(n_matches >= 1 AND top1 >= 0.8 AND top1 - median >= 0.05 AND avg_top3 >= 0.45, FALSE) AS cluster, coalesce(top1 >= 0.5 AND first - second >= 0.05, FALSE) AS peak FROM okk JOIN peaks USING (user_id, qa_idx)),
+      taken AS (SELECT *, peak AND NOT cluster AS lone FROM judged WHERE cluster OR peak)
+      SELECT c.user_id, c.qa_idx, c.block_id, CAST(c.rn AS INTEGER) AS rank, lone FROM cand c JOIN taken USING (user_id, qa_idx) WHERE c.score > 0.4 AND (NOT lone OR c.rn = 1)""",
+)
+def an5(spark, d):
+    rules = an.AnchorRules(cluster_top1=0.8, lone_peak=True)
+    scored = an.score_candidates(_anchors(spark, d), blocks(spark, d), event_vectors(spark, d), rules)
+    gates = an.gate(scored, rules)
+    return an.anchor_blocks(scored, gates, rules).join(gates.select(*KEY, "lone"), KEY).select(*KEY, "block_id", "rank", "lone")
+
+
 @query(
     "an6_an10_anchor_windows",
     with_sql(BLK, QRY, SCORED, FINE)

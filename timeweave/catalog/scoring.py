@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from timeweave.catalog.fixtures import BLK, QRY, blocks, gold, questions, with_sql
 from timeweave.catalog.pools import TOP5
 from timeweave.catalog.registry import query, table
+from timeweave.catalog.stem_sql import stems
 from timeweave.functions.text import token_count
 from timeweave.operators import answers, evidence, rank, stats
 
@@ -128,7 +129,19 @@ def _overlap_sql(source: str, keys: str, pred: str, gold: str) -> str:
       sc AS (SELECT {keys}, CASE WHEN n_same = 0 THEN 0.0 ELSE n_same / n_pred END AS p, CASE WHEN n_same = 0 THEN 0.0 ELSE n_same / n_gold END AS r FROM ov)"""
 
 
-@query("m1_stemmed_f1")
+def _stemmed_sql(source: str, keys: str, pred: str, gold: str) -> str:
+    """As :func:`_overlap_sql`, tokens compared by stem."""
+    plain = _overlap_sql(source, keys, pred, gold)
+    first, rest = plain.split("ov AS (", 1)
+    first = first.replace("tk AS (", "raw AS (", 1)
+    return f"{first}{stems('raw')}, tk AS (SELECT {keys}, stem, sum(p) AS p, sum(g) AS g FROM raw JOIN stems USING (t) GROUP BY ALL), ov AS ({rest}"
+
+
+@query(
+    "m1_stemmed_f1",
+    f"WITH {PRED}, {_stemmed_sql('pred', 'item_id', TOK.format(x='pred'), TOK.format(x='gold'))} "
+    f"SELECT item_id, round(coalesce({_f1('p', 'r')}, 0), 6) AS f1 FROM pred LEFT JOIN sc USING (item_id)",
+)
 def m1(spark, d):
     return answers.single_answer(predictions(spark, d), ["item_id"]).select("item_id", F.round("f1", 6).alias("f1"))
 
@@ -173,7 +186,26 @@ def m5(spark, d):
     )
 
 
-@query("m6_score_by_category")
+#: One row for each pair of answers that is compared: whole answers, or the items of category 1.
+ASKED = """asked AS (SELECT item_id, category, pred, CASE WHEN category = 3 THEN trim(split_part(gold, ';', 1)) ELSE gold END AS gold FROM pred),
+    cut AS (SELECT item_id, CASE WHEN category = 1 THEN string_split(pred, ',') ELSE [pred] END AS ps, CASE WHEN category = 1 THEN string_split(gold, ',') ELSE [gold] END AS gs FROM asked WHERE category < 5),
+    it AS (SELECT * FROM (SELECT item_id, unnest(range(1, len(gs) + 1)) AS gp, unnest(list_transform(gs, lambda x: trim(x))) AS gi FROM cut)
+      JOIN (SELECT item_id, unnest(range(1, len(ps) + 1)) AS pp, unnest(list_transform(ps, lambda x: trim(x))) AS pi FROM cut) USING (item_id))"""
+LISTED = "list_sort(list_distinct(list_transform(list_filter(string_split({c}, ','), lambda x: trim(x) <> ''), lambda y: array_to_string({t}, ' '))))"
+TOLD = "list_has_any([contains(lower(pred), 'no information available'), contains(lower(pred), 'not mentioned')], [TRUE])"
+
+
+@query(
+    "m6_score_by_category",
+    f"WITH {PRED}, {ASKED}, {_stemmed_sql('it', 'item_id, gp, pp', TOK.format(x='pi'), TOK.format(x='gi'))}, "
+    f"al AS (SELECT it.item_id, it.gp, it.pp, coalesce(p, 0) AS p, coalesce(r, 0) AS r, coalesce({_f1('p', 'r')}, 0) AS f FROM it LEFT JOIN sc USING (item_id, gp, pp)), "
+    "bs AS (SELECT *, row_number() OVER (PARTITION BY item_id, gp ORDER BY round(f, 12) DESC, pp) AS rn FROM al), "
+    "ms AS (SELECT item_id, avg(p) AS p, avg(r) AS r, avg(f) AS f FROM bs WHERE rn = 1 GROUP BY item_id) "
+    f"SELECT item_id, category, round(CASE WHEN category = 5 THEN CAST({TOLD} AS DOUBLE) ELSE f END, 6) AS f1, round(CASE WHEN category = 5 THEN CAST({TOLD} AS DOUBLE) ELSE p END, 6) AS precision, "
+    f"round(CASE WHEN category = 5 THEN CAST({TOLD} AS DOUBLE) ELSE r END, 6) AS recall, CAST(CASE WHEN category = 5 THEN {TOLD} "
+    f"WHEN category = 1 THEN len({LISTED.format(c='pred', t=TOK.format(x='y'))}) > 0 AND {LISTED.format(c='pred', t=TOK.format(x='y'))} = {LISTED.format(c='gold', t=TOK.format(x='y'))} "
+    f"ELSE array_to_string({TOK.format(x='pred')}, ' ') = array_to_string({TOK.format(x='gold')}, ' ') END AS DOUBLE) AS accuracy FROM asked LEFT JOIN ms USING (item_id)",
+)
 def m6(spark, d):
     out = answers.score_by_category(predictions(spark, d), ["item_id"])
     return out.select("item_id", "category", *[F.round(c, 6).alias(c) for c in ("f1", "precision", "recall", "accuracy")])

@@ -1,16 +1,16 @@
-"""Porter's suffix-stripping algorithm (1980) as an Arrow UDF over token arrays.
+"""Porter's suffix-stripping algorithm (1980) over the distinct words of a table.
 
-The UDF runs map-side, so stemming adds no shuffle; a bounded per-process cache
-keeps the cost near one stem per distinct word.
+The vocabulary is stemmed in an Arrow UDF, a word at a time, and joined to the
+rows; no row's text passes through Python.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,7 +49,6 @@ def _longest(word: str, suffixes) -> str | None:
     return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     if len(word) <= 2:
         return word
@@ -92,10 +91,22 @@ def stem(word: str) -> str:
     return w
 
 
-def _stem_rows(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda row: None if row is None else [stem(t) for t in row])
+def _stem_words(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: None if w is None else stem(w))
 
 
-def stem_tokens(tokens: Column) -> Column:
-    """Stem every token of an array column."""
-    return F.pandas_udf(_stem_rows, T.ArrayType(T.StringType()))(tokens)
+def stem_word(word: Column) -> Column:
+    """Stem of a single word; meant for tables of distinct words."""
+    return F.pandas_udf(_stem_words, T.StringType())(word)
+
+
+#: Copies of a vocabulary, so that a word that most rows hold meets its stem in as many tasks.
+SPREAD = 16
+
+
+def with_stems(rows: DataFrame, word: str, keys: Sequence[str], name: str = "stem") -> DataFrame:
+    """``rows`` with the stem of a word column: each distinct word is stemmed once and joined; null stays null."""
+    slots = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    vocabulary = rows.select(F.col(word).alias("_word")).filter("_word IS NOT NULL").distinct().withColumn(name, stem_word(F.col("_word"))).withColumn("_copy", slots)
+    placed = rows.withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(SPREAD)).cast("int"))
+    return placed.join(vocabulary, (F.col(word) == F.col("_word")) & (F.col("_slot") == F.col("_copy")), "left").drop("_word", "_copy", "_slot")

@@ -1,8 +1,8 @@
 """Anchor clauses ("after I graduated") resolved to date windows.
 
 Coarse step: 30 best blocks per anchor (tiled).  Fine step: events of those
-blocks only, an equi-join of at most 30 blocks per anchor.  The gates are
-aggregates over at most ten rows per anchor.
+blocks only, scored in the same tile.  The gates are aggregates over at most ten
+rows per anchor.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.functions.vectors import cosine
-from timeweave.operators.rank import tiled_top_k
+from timeweave.operators.rank import tiled_scores
 from timeweave.operators.skew import top_k
 
 KEY = ["user_id", "qa_idx"]
@@ -44,12 +43,11 @@ def score_candidates(anchors: DataFrame, blocks: DataFrame, event_vectors: DataF
 
     ``anchors(user_id, qa_idx, embedding)``, ``event_vectors(user_id, block_id, embedding)``.
     """
-    coarse = tiled_top_k(anchors, blocks, rules.coarse_blocks).select(*KEY, "block_id")
-    pairs = (
-        coarse.join(event_vectors.select("user_id", "block_id", F.col("embedding").alias("_ev")), ["user_id", "block_id"])
-        .join(anchors.select(*KEY, F.col("embedding").alias("_av")), KEY)
-    )
-    best = pairs.groupBy(*KEY, "block_id").agg(F.max(cosine(F.col("_av"), F.col("_ev"))).alias("score"))
+    own = event_vectors.groupBy("user_id", "block_id").agg(F.flatten(F.collect_list(F.col("embedding").cast("array<double>"))).alias("parts"))
+    pool = blocks.select("user_id", "block_id", "embedding").join(own, ["user_id", "block_id"], "left")
+    # events are scored inside the tile that finds their block among the best, so no vector meets a pair outside
+    coarse = top_k(tiled_scores(anchors, pool, rules.coarse_blocks, parts=True), KEY, [F.desc("score"), F.asc("block_id")], rules.coarse_blocks)
+    best = coarse.filter(F.col("part_score").isNotNull()).select(*KEY, "block_id", F.col("part_score").alias("score"))
     return top_k(best, KEY, [F.desc("score"), F.asc("block_id")], max(rules.candidates, 2))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.functions.stem import stem_tokens
+from timeweave.functions.stem import with_stems
 from timeweave.functions.text import answer_tokens, bleu_tokens, normalize_answer, words
 
 # Refusal phrases of unanswerable questions, verdict scores.
@@ -24,8 +24,9 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(part == 0, F.lit(0.0)).otherwise(part / whole)
 
 
-def token_overlap(df: DataFrame, keys: Sequence[str], pred_tokens: Column, gold_tokens: Column) -> DataFrame:
-    """``keys`` (unique) -> n_pred, n_gold, n_same, precision, recall, f1."""
+def token_overlap(df: DataFrame, keys: Sequence[str], pred_tokens: Column, gold_tokens: Column, stemmed: bool = False) -> DataFrame:
+    """``keys`` (unique) -> n_pred, n_gold, n_same, precision, recall, f1.  With ``stemmed``, equal tokens are counted first and
+    their counts summed by stem, so each distinct word is stemmed once."""
     side = lambda tokens, p, g: F.transform(
         tokens, lambda t: F.struct(t.alias("t"), F.lit(p).alias("p"), F.lit(g).alias("g"))
     )
@@ -33,6 +34,8 @@ def token_overlap(df: DataFrame, keys: Sequence[str], pred_tokens: Column, gold_
     per_token = both.groupBy(*keys, F.col("x.t").alias("t")).agg(
         F.coalesce(F.sum("x.p"), F.lit(0)).alias("p"), F.coalesce(F.sum("x.g"), F.lit(0)).alias("g")
     )
+    if stemmed:
+        per_token = with_stems(per_token, "t", keys).groupBy(*keys, "stem").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
     total = per_token.groupBy(*keys).agg(
         F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"), F.sum(F.least("p", "g")).alias("n_same")
     )
@@ -42,14 +45,10 @@ def token_overlap(df: DataFrame, keys: Sequence[str], pred_tokens: Column, gold_
     )
 
 
-def _tokens(text: Column, stemmed: bool) -> Column:
-    return stem_tokens(answer_tokens(text)) if stemmed else answer_tokens(text)
-
-
 def single_answer(df: DataFrame, keys: Sequence[str], pred: str = "pred", gold: str = "gold", stemmed: bool = True) -> DataFrame:
     """Token precision, recall and F1 of normalised (stemmed) answers."""
-    tokens = df.select(*keys, _tokens(F.col(pred), stemmed).alias("_p"), _tokens(F.col(gold), stemmed).alias("_g"))
-    return token_overlap(tokens, keys, F.col("_p"), F.col("_g"))
+    tokens = df.select(*keys, answer_tokens(F.col(pred)).alias("_p"), answer_tokens(F.col(gold)).alias("_g"))
+    return token_overlap(tokens, keys, F.col("_p"), F.col("_g"), stemmed)
 
 
 def _items(text: Column) -> Column:

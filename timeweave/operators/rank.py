@@ -21,6 +21,7 @@ from timeweave.operators.skew import slice_build_side, slice_counts, slice_probe
 
 BLOCKS_PER_TILE = 8_192
 QUESTIONS_PER_TILE = 1_024
+PAIRS_PER_STEP = 65_536
 DECAY_DAYS = 1500.0
 LATE_PENALTY = 0.3
 
@@ -77,11 +78,33 @@ def _decay_matrix(q: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return np.where(np.isnan(delta), 1.0, weight)
 
 
-def _tile_function(k: int | None, filtered: bool, decayed: bool, min_score: float | None, before: bool):
+def _best_part(q: np.ndarray, flat: Sequence, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Cosine of each (question, block) pair to the best of the block's part vectors, given one after the other; NaN without parts."""
+    dim, out = q.shape[1], np.full(len(rows), np.nan)
+    used = np.unique(cols)
+    sizes = np.zeros(len(flat), dtype=int)
+    sizes[used] = [0 if flat[c] is None else len(flat[c]) // dim for c in used]
+    parts = [np.asarray(flat[c], dtype=float) for c in used if sizes[c]]
+    if not parts:
+        return out
+    unit, _ = _unit_rows(np.concatenate(parts).reshape(-1, dim), dim)
+    first = np.cumsum(sizes) - sizes
+    pairs = np.flatnonzero(sizes[cols])
+    for lo in range(0, len(pairs), PAIRS_PER_STEP):
+        own = pairs[lo : lo + PAIRS_PER_STEP]
+        n = sizes[cols[own]]
+        begin = np.cumsum(n) - n
+        part = np.arange(n.sum()) - np.repeat(begin - first[cols[own]], n)
+        score = np.einsum("ij,ij->i", q[np.repeat(rows[own], n)], unit[part])
+        out[own] = np.maximum.reduceat(np.round(score, SCORE_DIGITS), begin)
+    return out
+
+
+def _tile_function(k: int | None, filtered: bool, decayed: bool, min_score: float | None, before: bool, parts: bool = False):
     """Score one (user, slice, batch) tile; emit the ``k`` best per question, or all."""
 
     def score_tile(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = ["user_id", "qa_idx", "block_id", "score"]
+        columns = ["user_id", "qa_idx", "block_id", "score", *(["part_score"] if parts else [])]
         q = q.rename(columns=lambda c: c.removeprefix("ask_"))
         if q.empty or b.empty:
             return pd.DataFrame(columns=columns)
@@ -111,10 +134,12 @@ def _tile_function(k: int | None, filtered: bool, decayed: bool, min_score: floa
             rows.append(np.full(len(best), i))
             cols.append(best)
         r, c = np.concatenate(rows), np.concatenate(cols)
-        return pd.DataFrame(
-            {"user_id": q["user_id"].to_numpy()[r], "qa_idx": q["qa_idx"].to_numpy()[r], "block_id": ids[c],
-             "score": score[r, c]}
-        )
+        out = {"user_id": q["user_id"].to_numpy()[r], "qa_idx": q["qa_idx"].to_numpy()[r], "block_id": ids[c], "score": score[r, c]}
+        if parts:
+            best = _best_part(qv, b["parts"].to_numpy(), r, c)
+            best[q_missing[r] & ~np.isnan(best)] = MISSING_SCORE
+            out["part_score"] = best
+        return pd.DataFrame(out)
 
     return score_tile
 
@@ -134,6 +159,7 @@ def tiled_scores(
     decayed: bool = False,
     min_score: float | None = None,
     earlier_only: bool = False,
+    parts: bool = False,
     blocks_per_tile: int = BLOCKS_PER_TILE,
     questions_per_tile: int = QUESTIONS_PER_TILE,
 ) -> DataFrame:
@@ -144,14 +170,16 @@ def tiled_scores(
     ``questions(user_id, qa_idx, embedding[, bounds, pool_mode, decay_day,
     late_penalty, seq])`` against ``blocks(user_id, block_id, embedding[, axis
     days, b_day, seq])``.  ``earlier_only`` keeps pairs whose block was inserted
-    before the question row.
+    before the question row.  ``parts``: blocks carry ``parts``, the vectors of
+    their events one after the other, and every pair that is emitted gets
+    ``part_score``, the cosine to the best of them (null without any).
     """
     q_extra = (BOUND_COLS + ["pool_mode"] if filtered else []) + (["decay_day", "late_penalty"] if decayed else [])
     b_extra = (AXIS_COLS if filtered else []) + (["b_day"] if decayed else [])
     if earlier_only:
         q_extra, b_extra = q_extra + ["seq"], b_extra + ["seq"]
     q = questions.select("user_id", "qa_idx", "embedding", *q_extra)
-    b = blocks.select("user_id", "block_id", "embedding", *b_extra)
+    b = blocks.select("user_id", "block_id", "embedding", *b_extra, *(["parts"] if parts else []))
 
     hot_b = slice_counts(b, ["user_id"], blocks_per_tile, "n_slices")
     hot_q = slice_counts(q, ["user_id"], questions_per_tile, "n_batches")
@@ -163,7 +191,7 @@ def tiled_scores(
     schema_q, schema_b = questions.schema, blocks.schema
     out = (
         f"user_id {schema_q['user_id'].dataType.simpleString()}, qa_idx {schema_q['qa_idx'].dataType.simpleString()}, "
-        f"block_id {schema_b['block_id'].dataType.simpleString()}, score double"
+        f"block_id {schema_b['block_id'].dataType.simpleString()}, score double{', part_score double' if parts else ''}"
     )
     tile_keys = ["user_id", "_slice", "_batch"]
     # fresh column names, so that a table can be ranked against itself
@@ -171,7 +199,7 @@ def tiled_scores(
     return (
         q.groupBy(*[f"ask_{c}" for c in tile_keys])
         .cogroup(b.groupBy(*tile_keys))
-        .applyInPandas(_tile_function(k, filtered, decayed, min_score, earlier_only), out)
+        .applyInPandas(_tile_function(k, filtered, decayed, min_score, earlier_only, parts), out)
     )
 
 
