@@ -270,6 +270,31 @@ def test_anchor_scores_are_the_best_event_of_the_best_blocks(spark):
     assert small.count() and small.filter("part_score IS NOT NULL").count() == 0
 
 
+def test_best_of_each_group_is_linear_in_questions(spark):
+    from timeweave.operators.rank import tiled_group_top_k
+
+    rng = random.Random(19)
+    vec = lambda: [float(rng.randint(-2, 2)) for _ in range(3)]  # noqa: E731  many ties
+    items = [("hot" if i % 3 else "v", f"p{i % 4}", f"r{i:03d}", vec() if i % 9 else None) for i in range(150)]
+    asks = [("hot" if i % 2 else "v", i, vec() if i else None) for i in range(21)] + [("nobody", 50, vec())]
+    frames = [spark.createDataFrame(asks, "user_id string, qa_idx long, embedding array<double>"), spark.createDataFrame(items, "user_id string, group string, item_id string, embedding array<double>")]
+
+    def cos(x, y):
+        if x is None or y is None:
+            return -1.0
+        return round(float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y) or 1.0)), 9)
+
+    for least in (0.25, None):
+        want = set()
+        for u, q, a in asks:
+            for p in ("p0", "p1", "p2", "p3"):
+                own = sorted((-cos(a, v), i) for w, g, i, v in items if w == u and g == p and (least is None or cos(a, v) >= least))[:3]
+                want |= {(u, q, p, i, n) for n, (_, i) in enumerate(own, 1)}
+        for sizes in ({}, {"items_per_tile": 20, "questions_per_tile": 5}):
+            found = tiled_group_top_k(*frames, 3, least, **sizes).collect()
+            assert {(r.user_id, r.qa_idx, r.group, r.item_id, r["rank"]) for r in found} == want and len(found) == len(want)
+
+
 def test_audit_keeps_gold_blocks_without_session_dates(spark):
     b = spark.createDataFrame(
         [("u", i, None, None, None, None) for i in range(3)], "user_id string, block_id long, session_start date, session_end date, event_start date, event_end date"

@@ -274,13 +274,13 @@ def j12(spark, d):
     return gr.relations_of_persons(gr.person_names(r, entities(spark, d)), r).select("person", "relation_id")
 
 
-def _scored_facts(spark, d):
+def _facts(spark, d):
     r = relations(spark, d)
     named = gr.relations_of_persons(gr.person_names(r, entities(spark, d)), r)
     vec = r.join(blocks(spark, d).select(F.col("block_id").alias("k"), "embedding"), "k").select(
         "user_id", tx.content_key(tx.fact_text(F.col("source"), F.col("relationship"), F.col("destination"))).alias("text_key"), "embedding"
     ).dropDuplicates(["user_id", "text_key"])
-    return gr.score_facts(named, questions(spark, d), vec)
+    return named, questions(spark, d), vec
 
 
 FACTS = """facts AS (SELECT q.qa_idx, r.source AS person, r.relation_id, round(coalesce(list_cosine_similarity(q.qemb, b.emb), -1.0), 9) AS s
@@ -289,12 +289,17 @@ FACTS = """facts AS (SELECT q.qa_idx, r.source AS person, r.relation_id, round(c
 
 @query("k11_fact_scores", with_sql(BLK, QRY, REL, FACTS) + "SELECT qa_idx, relation_id, round(s, 6) AS query_similarity FROM facts")
 def k11(spark, d):
-    return _scored_facts(spark, d).select("qa_idx", "relation_id", F.round("query_similarity", 6).alias("query_similarity"))
+    return gr.score_facts(*_facts(spark, d)).select("qa_idx", "relation_id", F.round("query_similarity", 6).alias("query_similarity"))
 
 
-@query("k14_person_profiles", with_sql(BLK, QRY, REL, FACTS) + "SELECT qa_idx, person, relation_id, CAST(row_number() OVER (PARTITION BY qa_idx, person ORDER BY s DESC, relation_id) AS INTEGER) AS rank FROM facts WHERE s >= 0.1")
+@query("k14_person_profiles", with_sql(BLK, QRY, REL, FACTS) + "SELECT qa_idx, person, relation_id, CAST(row_number() OVER (PARTITION BY qa_idx, person ORDER BY s DESC, relation_id) AS INTEGER) AS rank FROM facts WHERE s >= 0.1 QUALIFY rank <= 5")
 def k14(spark, d):
-    return gr.person_profiles(_scored_facts(spark, d), 0.1).select("qa_idx", "person", "relation_id", "rank")
+    return gr.best_facts(*_facts(spark, d), k=5, min_score=0.1).select("qa_idx", "person", "relation_id", "rank")
+
+
+@query("k14_all_profiles", with_sql(BLK, QRY, REL, FACTS) + "SELECT qa_idx, person, relation_id, CAST(row_number() OVER (PARTITION BY qa_idx, person ORDER BY s DESC, relation_id) AS INTEGER) AS rank FROM facts WHERE s >= 0.1")
+def k14_all(spark, d):
+    return gr.person_profiles(gr.score_facts(*_facts(spark, d)), 0.1).select("qa_idx", "person", "relation_id", "rank")
 
 
 @query(
@@ -382,14 +387,14 @@ def m16(spark, d):
 @query(
     "m17_graph_context",
     with_sql(BLK, QRY, REL, FACTS)
-    + """, p AS (SELECT *, row_number() OVER (PARTITION BY qa_idx, person ORDER BY s DESC, relation_id) AS rk FROM facts WHERE s >= 0.2),
+    + """, p AS (SELECT *, row_number() OVER (PARTITION BY qa_idx, person ORDER BY s DESC, relation_id) AS rk FROM facts WHERE s >= 0.2 QUALIFY rk <= 5),
        l AS (SELECT qa_idx, person, 'About ' || person || ', here is related history:' || chr(10) || string_agg(rk || '. ' || source || ' located_in ' || destination, chr(10) ORDER BY rk) AS a FROM p JOIN rel USING (relation_id) GROUP BY qa_idx, person),
        pr AS (SELECT qa_idx, 'Person profiles:' || chr(10) || string_agg(a, chr(10) ORDER BY person) AS t FROM l GROUP BY qa_idx),
        rl AS (SELECT qa_idx, 'Relations:' || chr(10) || string_agg('- Relation between ' || source || ' and ' || destination || ': located in.', chr(10) ORDER BY relation_id) AS t FROM p JOIN rel USING (relation_id) GROUP BY qa_idx)
        SELECT q.user_id, q.qa_idx, concat_ws(chr(10), rl.t, pr.t) AS graph_text FROM qry q LEFT JOIN rl ON rl.qa_idx = q.qa_idx LEFT JOIN pr ON pr.qa_idx = q.qa_idx""",
 )
 def m17(spark, d):
-    profiles = gr.person_profiles(_scored_facts(spark, d), 0.2)
+    profiles = gr.best_facts(*_facts(spark, d), k=5, min_score=0.2)
     line = cx.relation_line(F.col("source"), F.col("relationship"), F.col("destination"), F.lit(""), "sentence")
     rel = cx.section(profiles, line, ["relation_id"], "Relations:", "relations_text")
     return cx.graph_text(questions(spark, d), rel, cx.profile_section(profiles, F.lit("")))

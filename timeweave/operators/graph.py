@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timeweave.functions.text import content_key, fact_text
 from timeweave.functions.vectors import cosine
-from timeweave.operators.rank import last_write_wins, tiled_top_k
+from timeweave.operators.rank import last_write_wins, tiled_group_top_k, tiled_top_k
 from timeweave.operators.skew import top_k
 from timeweave.session import cut_lineage
 
@@ -168,6 +168,19 @@ def score_facts(relations: DataFrame, questions: DataFrame, vectors: DataFrame)
     return keyed.join(v, ["user_id", "text_key"], "left").join(q, on).withColumn("query_similarity", cosine(F.col("_q"), F.col("_v"))).drop("_q", "_v", "text_key")
 
 
+def best_facts(relations: DataFrame, questions: DataFrame, vectors: DataFrame, k: int, min_score: float | None = 0.5) -> DataFrame:
+    """The ``k`` facts of each person that are most similar to a question of the same user, with ``query_similarity`` and ``rank``.
+
+    Arguments as in :func:`score_facts`, whose pairs are not made: persons' facts are ranked inside tiles.  ``relations`` hold one
+    row per (user_id, person, relation_id).
+    """
+    facts = relations.withColumn("fact_text", fact_text(F.col("source"), F.col("relationship"), F.col("destination"))).filter("fact_text <> ''")
+    keyed = facts.select("user_id", F.col("person").alias("group"), F.col("relation_id").alias("item_id"), content_key(F.col("fact_text")).alias("text_key"))
+    items = keyed.join(vectors.select("user_id", "text_key", "embedding"), ["user_id", "text_key"], "left").drop("text_key")
+    best = tiled_group_top_k(questions, items, k, min_score).withColumnsRenamed({"group": "person", "item_id": "relation_id", "score": "query_similarity"})
+    return best.join(facts, ["user_id", "person", "relation_id"])
+
+
 def _ordered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None) -> DataFrame:
     """Rank, cut at ``k`` only where the caller asks for it (inputs are limited upstream)."""
     if k is not None:

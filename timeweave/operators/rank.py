@@ -203,6 +203,64 @@ def tiled_scores(
     )
 
 
+def _group_tile_function(k: int, min_score: float | None):
+    """Score one (user, slice, batch) tile; emit the ``k`` best items of each group per question."""
+
+    def score_tile(q: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        columns = ["user_id", "qa_idx", "group", "item_id", "score"]
+        q = q.rename(columns=lambda c: c.removeprefix("ask_"))
+        if q.empty or items.empty:
+            return pd.DataFrame(columns=columns)
+        items = items.sort_values(["group", "item_id"], kind="stable")
+        dim = next((len(v) for v in q["embedding"] if v is not None and len(v)), 1)
+        qv, q_missing = _unit_rows(q["embedding"], dim)
+        iv, i_missing = _unit_rows(items["embedding"], dim)
+        group = items["group"].factorize()[0]
+        rows, cols, scores = [], [], []
+        step = max(1, PAIRS_PER_STEP // len(items))
+        for lo in range(0, len(q), step):
+            score = qv[lo : lo + step] @ iv.T
+            score[q_missing[lo : lo + step], :] = MISSING_SCORE
+            score[:, i_missing] = MISSING_SCORE
+            score = np.round(score, SCORE_DIGITS)
+            r, c = np.nonzero(score >= (-np.inf if min_score is None else min_score))
+            # items are in order of their ids, so a stable sort by score keeps ties by id
+            order = np.lexsort((-score[r, c], group[c], r))
+            r, c = r[order], c[order]
+            head = np.flatnonzero(np.append(True, (np.diff(r) != 0) | (np.diff(group[c]) != 0))) if len(r) else np.zeros(0, int)
+            place = np.arange(len(r)) - np.repeat(head, np.diff(np.append(head, len(r))))
+            r, c = r[place < k], c[place < k]
+            rows.append(r + lo)
+            cols.append(c)
+            scores.append(score[r, c])
+        r, c = np.concatenate(rows), np.concatenate(cols)
+        named = [q["user_id"].to_numpy()[r], q["qa_idx"].to_numpy()[r], items["group"].to_numpy()[c], items["item_id"].to_numpy()[c], np.concatenate(scores)]
+        return pd.DataFrame(dict(zip(columns, named, strict=True)))
+
+    return score_tile
+
+
+def tiled_group_top_k(questions: DataFrame, items: DataFrame, k: int, min_score: float | None = None, items_per_tile: int = BLOCKS_PER_TILE,
+                      questions_per_tile: int = QUESTIONS_PER_TILE) -> DataFrame:
+    """The ``k`` best items of each group of a question's user by cosine -> (user_id, qa_idx, group, item_id, score, rank).
+
+    ``questions(user_id, qa_idx, embedding)``, ``items(user_id, group, item_id, embedding)``, one row per item and group; ties by
+    ``item_id``, a missing vector scores -1.  A tile ships at most ``k`` rows per question and group, so neither the pairs nor
+    their vectors are shuffled.
+    """
+    q, b = questions.select("user_id", "qa_idx", "embedding"), items.select("user_id", "group", "item_id", "embedding")
+    hot_b = slice_counts(b, ["user_id"], items_per_tile, "n_slices")
+    hot_q = slice_counts(q, ["user_id"], questions_per_tile, "n_batches")
+    b = slice_probe_side(slice_build_side(b, hot_b, ["user_id"], ["group", "item_id"]), hot_q, ["user_id"], "_batch", "n_batches")
+    q = slice_probe_side(slice_build_side(q, hot_q, ["user_id"], ["qa_idx"], "_batch", "n_batches"), hot_b, ["user_id"])
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    out = f"user_id {kind(questions, 'user_id')}, qa_idx {kind(questions, 'qa_idx')}, group {kind(items, 'group')}, item_id {kind(items, 'item_id')}, score double"
+    tile_keys = ["user_id", "_slice", "_batch"]
+    q = q.toDF(*[f"ask_{c}" for c in q.columns])
+    tiles = q.groupBy(*[f"ask_{c}" for c in tile_keys]).cogroup(b.groupBy(*tile_keys)).applyInPandas(_group_tile_function(k, min_score), out)
+    return top_k(tiles, ["user_id", "qa_idx", "group"], [F.desc("score"), F.asc("item_id")], k)
+
+
 def rank_in_pool(pairs: DataFrame, score: str = "score", k: int | None = None) -> DataFrame:
     """1-based rank of scored pairs per question.  With ``k`` the partial group
     limit runs before the shuffle."""
