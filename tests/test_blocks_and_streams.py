@@ -221,6 +221,55 @@ def test_file_round_trips(spark):
     assert spark.read.parquet(f"{base}/blocks").count() == 2
 
 
+def test_first_item_of_each_file(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"{k:08x}.json").write_text("[" + ",\n".join(f'{{"q": {k * 100 + i}}}' for i in range(3 + k)) + "]")
+        (tmp_path / f"lines{k}.jsonl").write_text("\n".join(["not json", *(f'{{"q": {k * 100 + i}}}' for i in range(2000))]))
+    arrays = scans.read_first_items(spark, str(tmp_path), "q int", array_files=True, glob="*.json").collect()
+    assert {(r.source_id, r.q) for r in arrays} == {(f"{k:08x}", k * 100) for k in range(5)}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")  # several splits a file
+    try:
+        lines = scans.read_first_items(spark, str(tmp_path), "q int", glob="*.jsonl").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert {(r.source_id, r.q) for r in lines} == {(f"lines{k}", k * 100) for k in range(5)}
+
+
+def test_evidence_in_one_long_session(spark):
+    from timeweave.operators.evidence import message_targets
+
+    rng = random.Random(1)
+    spans, at = [], 1
+    while at < 5000:
+        n = rng.choice((1, 2, 3, 200))
+        spans.append((at, at + n - 1))
+        at += n
+    cover = spark.createDataFrame([("u", i, (f"session_{1}", a, b)) for i, (a, b) in enumerate(spans)] + [("u", 9999, ("session_1", 9, 4))], "user_id string, block_id long, coverage struct<session_id:string,start_idx:int,end_idx:int>")
+    asked = [rng.randrange(1, 6000) for _ in range(800)]
+    q = spark.createDataFrame([("u", k, [f"D1:{m}", "D2:3", "x"]) for k, m in enumerate(asked)], "user_id string, qa_idx int, evidence array<string>")
+    want = {(k, i) for k, m in enumerate(asked) for i, (a, b) in enumerate(spans) if a <= m <= b}
+    for bucket in (1, 64, 100_000):
+        found = message_targets(q, cover, bucket=bucket)
+        assert {(r.qa_idx, r.block_id) for r in found.collect()} == want
+
+
+def test_long_blocks_as_parts(spark):
+    rows = [("u", 1, i, False) for i in range(1, 20_001)] + random_messages(21)
+    segmented = blocks.segment(message_df(spark, rows), F.col("split"))
+    whole = {(r.user_id, r.block_no): (r.content_text, r.messages, r.start_idx, r.end_idx) for r in blocks.seal(segmented).collect()}
+    for size in (7, 4096):
+        parts = {}
+        for r in blocks.sealed_parts(segmented, size).collect():
+            assert r.messages <= size
+            parts.setdefault((r.user_id, r.block_no), []).append((r.part, r.content_part, r.messages, r.start_idx, r.end_idx))
+        assert parts.keys() == whole.keys()
+        for key, own in parts.items():
+            own.sort()
+            assert [p[0] for p in own] == list(range(len(own)))
+            assert ("\n".join(p[1] for p in own), sum(p[2] for p in own), own[0][3], own[-1][4]) == whole[key]
+
+
 def test_reach_over_longer_paths(spark):
     edges = spark.createDataFrame([("u", i, i + 1, 0.9 - i / 100) for i in range(6)], "user_id string, a_id long, b_id long, score double")
     seeds = spark.createDataFrame([("u", 1, 0)], "user_id string, qa_idx int, event_id long")

@@ -139,6 +139,19 @@ def l5(spark, d):
     return s.select("user_id", "block_no", "start_idx", "end_idx", "messages", F.md5("content_text").alias("content_key"))
 
 
+@query(
+    "l5_l6_sealed_parts",
+    f"""WITH {SEG}, c AS (SELECT *, idx // 3 AS chunk, min(idx // 3) OVER (PARTITION BY user_id, block_no) AS head FROM seg)
+        SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(block_no AS BIGINT) AS block_no, CAST(chunk - head AS INTEGER) AS part, CAST(min(idx) AS INTEGER) AS start_idx, CAST(max(idx) AS INTEGER) AS end_idx, count(*) AS messages,
+        md5(CASE WHEN chunk = head THEN 'Session window: 2024/01/01 (Mon) 08:00 -> Jan 02, 2024' || chr(10) ELSE '' END || string_agg(regexp_replace(CAST(ts AS VARCHAR), '\\.?0+$', '') || ' ' || event_type || ': ' || props, chr(10) ORDER BY idx)) AS content_key
+        FROM c GROUP BY user_id, block_no, chunk, head""",
+)
+def l5_parts(spark, d):
+    m = event_messages(spark, d).withColumn("msg_time", F.regexp_replace("msg_time", r"\.?0+$", ""))
+    s = bl.sealed_parts(bl.segment(m, F.col("event_id") % 3 == 0), messages=3)
+    return s.select("user_id", "block_no", "part", "start_idx", "end_idx", "messages", F.md5("content_part").alias("content_key"))
+
+
 @query(
     "l16_split_decision",
     "SELECT event_id, event_type NOT IN ('click', 'view') AS splits FROM events",

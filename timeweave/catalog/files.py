@@ -105,3 +105,13 @@ def t46(spark, d):
         "o_orderkey", F.concat(F.lit("What happened "), F.element_at(F.array(*phrases), (k % 5 + 1).cast("int")), F.lit("?")).alias("question"), F.lit(BASE).cast("date").alias("base_day")
     )
     return annotate_old(q).select("o_orderkey", F.col("tc.start").alias("tc_start"), F.col("tc.end").alias("tc_end"), F.col("tc.type").alias("tc_type"))
+
+
+@query("a6_first_items", "SELECT o_custkey % 16 AS part, min(o_orderkey) AS o_orderkey, count(*) > 0 AS named FROM orders GROUP BY 1")
+def a6_first(spark, d):
+    """Files of many items each, in order of their key; the first item of each file comes back."""
+    path = scratch(spark) + "/items"
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_custkey") % 16).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").json(path)
+    first = scans.read_first_items(spark, path, "o_custkey long, o_orderkey long")
+    return first.select((F.col("o_custkey") % 16).alias("part"), "o_orderkey", F.col("source_id").startswith("part-").alias("named"))

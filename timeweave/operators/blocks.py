@@ -169,6 +169,29 @@ def seal(segmented: DataFrame) -> DataFrame:
     return blocks.withColumn("content_text", content).drop("_lines")
 
 
+def sealed_parts(segmented: DataFrame, messages: int = 4_096) -> DataFrame:
+    """The content of :func:`seal` in ordered parts -> (user_id, block_no, part, start_idx, end_idx, messages, content_part).
+
+    A part holds at most ``messages`` messages, so a block of any length is many small rows; the parts of a block in order, joined
+    by line feeds, are its content text.  The first one begins with the header.
+    """
+    key = ["user_id", "block_no"]
+    line = F.concat(F.coalesce("msg_time", F.lit("")), F.lit(" "), F.coalesce("role", F.lit("None")), F.lit(": "), F.coalesce("text", F.lit("")))
+    rows = segmented.withColumn("_chunk", F.floor(F.col("msg_idx") / messages)).withColumn("_line", line)
+    first = lambda c: F.min_by(c, "msg_idx").alias(c)
+    parts = rows.groupBy(*key, "_chunk").agg(
+        F.min("msg_idx").alias("start_idx"), F.max("msg_idx").alias("end_idx"), F.count(F.lit(1)).alias("messages"), *(first(c) for c in ("session_start_time", "session_end_time", "persona_info")),
+        F.transform(F.sort_array(F.collect_list(F.struct("msg_idx", "_line"))), lambda m: m["_line"]).alias("_lines"),
+    )
+    heads = parts.groupBy(*key).agg(F.min("_chunk").alias("_head"))
+    header = F.concat(F.lit("Session window: "), F.coalesce("session_start_time", F.lit("Unknown")), F.lit(" -> "), F.coalesce("session_end_time", "session_start_time", F.lit("Unknown")))
+    persona = F.when(F.col("persona_info") != "", F.concat(F.lit("Persona info: "), "persona_info"))
+    part = (F.col("_chunk") - F.col("_head")).cast("int")
+    opening = F.when(part == 0, F.array_compact(F.array(header, persona))).otherwise(F.array().cast("array<string>"))
+    joined = parts.join(heads, key)
+    return joined.select(*key, part.alias("part"), "start_idx", "end_idx", "messages", F.array_join(F.concat(opening, "_lines"), "\n").alias("content_part"))
+
+
 # ---- supplied extraction output --------------------------------------------------------------
 
 EXTRACTION = "topic string, keywords string, mentions array<string>, explicit_mentions array<string>"

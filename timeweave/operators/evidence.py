@@ -10,11 +10,17 @@ from timeweave.functions.text import session_number
 KEY = ["user_id", "qa_idx"]
 
 
-def message_targets(questions: DataFrame, blocks: DataFrame, trailing_session: bool = False) -> DataFrame:
+#: Messages of a session that one join key covers.
+MESSAGES_PER_BUCKET = 64
+
+
+def message_targets(questions: DataFrame, blocks: DataFrame, trailing_session: bool = False, bucket: int = MESSAGES_PER_BUCKET) -> DataFrame:
     """Evidence ``D<session>:<message>`` -> blocks covering that message.
 
     ``trailing_session`` also maps session ids that end in the number
     (``c1_session7``).  Returns distinct ``(user_id, qa_idx, block_id)``.
+    A block is joined under every ``bucket`` messages it covers, so references
+    into a long session meet only the blocks near them.
     """
     ref = questions.select(*KEY, F.explode("evidence").alias("_ev")).select(
         *KEY,
@@ -25,7 +31,9 @@ def message_targets(questions: DataFrame, blocks: DataFrame, trailing_session: b
         "user_id", "block_id", session_number(F.col("coverage.session_id"), trailing_session).alias("session_no"),
         F.coalesce("coverage.start_idx", F.lit(0)).alias("_from"), F.coalesce("coverage.end_idx", F.lit(0)).alias("_to"),
     )
-    hit = ref.join(cover, ["user_id", "session_no"]).filter(F.col("_msg").between(F.col("_from"), F.col("_to")))
+    at = lambda c: F.floor(F.col(c) / bucket)
+    cover = cover.filter(F.col("_from") <= F.col("_to")).withColumn("_bucket", F.explode(F.sequence(at("_from"), at("_to"))))
+    hit = ref.withColumn("_bucket", at("_msg")).join(cover, ["user_id", "session_no", "_bucket"]).filter(F.col("_msg").between(F.col("_from"), F.col("_to")))
     return hit.select(*KEY, "block_id").distinct()
 
 

@@ -26,6 +26,24 @@ def read_json_records(spark: SparkSession, path: str, schema: str, array_files:
     return reader.json(path).select("*", stem.alias("source_id"))
 
 
+def read_first_items(spark: SparkSession, path: str, schema: str, array_files: bool = False, glob: str | None = None) -> DataFrame:
+    """The first item of every file of JSON arrays or JSON lines, with ``source_id``.
+
+    The order within a file is that of its blocks and of the reader's rows in each; a task ships one row per file it reads."""
+    reader = spark.read.schema(schema).option("mode", "DROPMALFORMED")
+    if array_files:
+        reader = reader.option("multiLine", True)
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
+    items = reader.json(path)
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    placed = items.select(
+        F.struct(*[F.col(f"`{c}`") for c in items.columns], stem.alias("source_id")).alias("item"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
+    )
+    return placed.groupBy("file").agg(F.min_by("item", "at").alias("item")).select("item.*")
+
+
 def read_conversations(spark: SparkSession, path: str, array_files: bool = True, glob: str = "*.json") -> DataFrame:
     """Raw conversations with dynamic session keys; the body stays JSON text."""
     return read_json_records(spark, path, CONVERSATION, array_files, glob)
