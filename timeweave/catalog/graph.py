@@ -440,12 +440,21 @@ def m18(spark, d):
 
 @query("j3_missing_vectors", with_sql(BLK, QRY) + "SELECT q.user_id, q.qa_idx, count(*) FILTER (b.block_id % 9 = 0) AS n_missing FROM qry q JOIN blk b USING (user_id) GROUP BY ALL")
 def j3(spark, d):
+    b = blocks(spark, d)
+    missing = rank.missing_vectors(b, b.filter("block_id % 9 <> 0"))
+    return questions(spark, d).select(*KEY).join(missing, "user_id").select(*KEY, "n_missing")
+
+
+@query(
+    "j3_unscored_blocks_rank_last",
+    with_sql(BLK, QRY)
+    + """, s AS (SELECT q.user_id, q.qa_idx, b.block_id, CASE WHEN b.block_id % 9 = 0 THEN -1.0 ELSE round(list_cosine_similarity(q.qemb, b.emb), 9) END AS score FROM qry q JOIN blk b USING (user_id))
+       SELECT user_id, qa_idx, block_id, CAST(row_number() OVER (PARTITION BY user_id, qa_idx ORDER BY score DESC, block_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""",
+)
+def j3_ranked(spark, d):
     b = blocks(spark, d)
     vec = b.filter("block_id % 9 <> 0").select("user_id", "block_id", "embedding")
-    pool = b.drop("embedding").join(vec, ["user_id", "block_id"], "left")
-    n = spark.read.parquet(f"{d}/embeddings.parquet").count()
-    out = rank.tiled_top_k(questions(spark, d), pool, n)
-    return out.groupBy(*KEY).agg(F.count_if(F.col("score") == -1.0).alias("n_missing"))
+    return rank.tiled_top_k(questions(spark, d), b.drop("embedding").join(vec, ["user_id", "block_id"], "left"), 10).select(*KEY, "block_id", "rank")
 
 
 @query("j7_prediction_to_question", with_sql(QRY) + "SELECT e.event_id, q.intent FROM events e JOIN qry q ON q.qa_idx = e.event_id")

@@ -393,8 +393,8 @@ def f10(spark, d):
     with_sql(BLK, QRY) + "SELECT q.user_id, q.qa_idx, count(*) AS pool_size FROM qry q JOIN blk b USING (user_id) GROUP BY ALL",
 )
 def j1(spark, d):
-    q, b = questions(spark, d).select("user_id", "qa_idx"), blocks(spark, d).select("user_id", "block_id")
-    return pool_join(q, b).groupBy("user_id", "qa_idx").agg(F.count(F.lit(1)).alias("pool_size"))
+    sizes = blocks(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("pool_size"))
+    return questions(spark, d).select("user_id", "qa_idx").join(sizes, "user_id").select("user_id", "qa_idx", "pool_size")
 
 
 @query(

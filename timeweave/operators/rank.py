@@ -203,6 +203,13 @@ def tiled_scores(
     )
 
 
+def missing_vectors(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(user_id, n_missing): blocks of each user, of all users of ``blocks``, that have no vector."""
+    without = blocks.select("user_id", "block_id").join(vectors.select("user_id", "block_id"), ["user_id", "block_id"], "left_anti")
+    counted = without.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_missing"))
+    return blocks.select("user_id").distinct().join(counted, "user_id", "left").fillna(0, ["n_missing"])
+
+
 def _group_tile_function(k: int, min_score: float | None):
     """Score one (user, slice, batch) tile; emit the ``k`` best items of each group per question."""
 
