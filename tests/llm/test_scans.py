@@ -178,3 +178,35 @@ def test_cascade_without_listed_keys_or_rows(spark):
     assert [r["verdict"] for r in url_cascade.judge(pages, ("nowhere",)).collect()] == ["allow"]
     assert url_cascade.judge(pages.where("page_id > 1"), ("nowhere",)).count() == 0
     assert url_cascade.member([], np.zeros(1, np.uint64), np.zeros(1, np.uint64)).tolist() == [False]
+
+
+def test_names_uuids_and_urls_are_no_secrets_and_random_strings_are():
+    """Below 5 % of names are reported, above 95 % of random strings of every alphabet found."""
+    import uuid
+
+    rng = random.Random(12)
+    words = ("customer region shipping order index total account invoice payment street number country currency session request handler buffer parser market product supplier "
+             "status created updated deleted version message channel network balance history quantity discount warehouse employee department manager position salary").split()
+
+    def names() -> list[str]:
+        out = []
+        while len(out) < 400:
+            own = [rng.choice(words) for _ in range(rng.randrange(2, 5))]
+            style = rng.randrange(4)
+            name = {0: "_".join(own), 1: "".join(w.title() for w in own), 2: own[0] + "".join(w.title() for w in own[1:]), 3: "-".join(own).upper()}[style] + str(rng.randrange(1, 100))
+            if len(name) >= 16:
+                out.append(name)
+        return out
+
+    def reported(strings: list[str], before: str = "the foreign key column ") -> float:
+        return sum(bool(secret_scan.novel_spans(f"{before}{s} of the table\n", [], secret_scan.Novelty())) for s in strings) / len(strings)
+
+    assert reported(names()) < 0.05
+    assert reported([str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(100)], "secret key ") == 0
+    assert reported([f"https://www.example{k}.com/path/to/page{k}/index{k}.html" for k in range(100)], "secret key ") == 0
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet in (digits + "ABCDEF", upper + "234567", lower + digits, upper + digits, upper + lower + digits, upper + lower + digits + "+/"):
+        for length in (24, 32, 40, 64):
+            strings = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(150)]
+            strings = [x for x in strings if any(c in digits for c in x) and any(c not in digits for c in x)]
+            assert reported(strings) > 0.95, (len(alphabet), length, reported(strings))

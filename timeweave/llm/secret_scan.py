@@ -5,7 +5,9 @@ stand near a sensitive word.  Each is compressed by zstandard primed with a dict
 it; the bytes it adds, divided by its length, are its novelty.  A string made of known identifiers, or used again nearby, adds
 little; a random one adds its whole length, or what its alphabet needs once it is long enough for zstandard to code its
 characters.  So a string is held against a random one of its alphabet and length: strings of ``min_novelty`` of that or more that
-overlap no base span are reported.  A sensitive word may stand on a line before; between the lines of an armoured block that
+overlap no base span are reported.  A string whose letters fall into word-like pieces (long runs of one case, with vowels like
+those of words and without long clusters of consonants) is a name: its pieces count as one symbol each.  UUIDs and the paths of
+URLs name things as well and are no candidates.  A sensitive word may stand on a line before; between the lines of an armoured block that
 its header names sensitive every string is near one.
 
 Defined results: a null text counts as empty and has no spans; positions are code points, the end is exclusive; spans are ordered
@@ -74,6 +76,23 @@ class Novelty:
     identifiers: str = IDENTIFIERS
 
 
+UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+CLUSTER = re.compile(r"[^aeiouy]{4}", re.IGNORECASE)
+VOWEL = re.compile(r"[aeiouy]", re.IGNORECASE)
+#: Bounds of what counts as word-like: letters a piece, share of vowels.
+PIECE_LENGTH, VOWEL_SHARE = 4.0, 0.31
+
+
+def word_pieces(candidate: str) -> list[str]:
+    """The pieces of a name made of words; none for other strings.  Random letters have fewer vowels, a quarter, and short runs of one case."""
+    pieces = PIECE.findall(candidate)
+    letters = sum(map(len, pieces))
+    if not pieces or letters < PIECE_LENGTH * len(pieces) or len(VOWEL.findall(candidate)) < VOWEL_SHARE * letters or any(CLUSTER.search(p) for p in pieces):
+        return []
+    return [p for p in pieces if len(p) > 2]
+
+
 def novelty(candidate: str, before: str, after: str, identifiers: str) -> float:
     """Bytes that ``candidate`` adds to a frame primed with identifiers and its surroundings, per byte."""
     primed = zstandard.ZstdCompressionDict(f"{identifiers} {after} {before}".encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -115,6 +134,13 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], options: Novelty) -
         near = SENSITIVE.search(text, max(0, start - options.near), start) or any(s <= start and end <= e for s, e in armoured)
         if not near or any(s < end and start < e for _, s, e in base):
             continue
+        if UUID.fullmatch(candidate) or (candidate.startswith("//") and text[start - 1 : start] == ":"):
+            continue
+        pieces = word_pieces(candidate)
+        # what is left when every piece is one symbol; zstandard codes no matches in strings this short
+        left = (len(candidate) - sum(map(len, pieces)) + len(pieces)) / len(candidate)
+        if left < options.min_novelty:
+            continue
         if novelty(candidate, text[max(0, start - options.around) : start], text[end : end + options.around], options.identifiers) >= least_novelty(candidate, options):
             found.append(("novel", start, end))
     return found
