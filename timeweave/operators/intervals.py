@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.operators.skew import ROWS_PER_SLICE, pool_join
+from timeweave.operators.skew import ROWS_PER_SLICE
 
 
 def bucket_of(day: Column, days: int) -> Column:
@@ -55,8 +55,20 @@ def overlap_join(
 
     a = spread(left, left_iv, "_first_l", (right, right_iv) if clip else None)
     b = spread(right, right_iv, "_first_r", (left, left_iv) if clip else None)
-    own_l, own_r = ([c for c in df.columns if c not in (*keys, "_bucket")] for df in (a, b))
-    joined = pool_join(a, b, [*keys, "_bucket"], spread_by=own_r, rows_per_slice=rows_per_tile, batch_by=own_l, rows_per_batch=rows_per_tile)
+    at = [*keys, "_bucket"]
+    own_l, own_r = ([c for c in df.columns if c not in at] for df in (a, b))
+    # rows of both sides in one counting pass; only (key, bucket)s that need tiles are kept
+    sides = a.select(*at, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(b.select(*at, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    hot = sides.groupBy(*at).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).filter(F.greatest("_l", "_r") > rows_per_tile)
+    n_tiles = lambda side: F.ceil(F.col(side) / rows_per_tile).cast("int").alias(f"_n{side}")
+    hot = hot.select(*at, n_tiles("_l"), n_tiles("_r"))
+
+    def tiled(df: DataFrame, own: list[str], mine: str, other: str) -> DataFrame:
+        n = lambda c: F.coalesce(F.col(f"_n{c}"), F.lit(1))
+        placed = df.join(hot, at, "left").withColumn(f"_t{mine}", F.pmod(F.xxhash64(*[F.col(c) for c in own]), F.greatest(n(mine), F.lit(1))).cast("int"))
+        return placed.withColumn(f"_t{other}", F.explode(F.sequence(F.lit(0), F.greatest(n(other), F.lit(1)) - 1))).drop("_n_l", "_n_r")
+
+    joined = tiled(a, own_l, "_l", "_r").join(tiled(b, own_r, "_r", "_l"), [*at, "_t_l", "_t_r"]).drop("_t_l", "_t_r")
     first_shared = F.col("_bucket") == F.greatest("_first_l", "_first_r")
     lo_l, hi_l = F.least(*left_iv), F.greatest(*left_iv)
     lo_r, hi_r = F.least(*right_iv), F.greatest(*right_iv)

@@ -8,6 +8,8 @@ column that the scoring pass applies.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,8 +106,7 @@ def axis_counts(specs: DataFrame, days: DataFrame) -> DataFrame:
     them ends before it starts; ``days`` come from :func:`with_axis_days`.
     """
     side = lambda name, day: F.struct(F.lit(name).alias("_side"), day.cast("int").alias("_day"))
-    counted = days.select("user_id", F.explode(F.array(*[side(c, F.col(c)) for c in AXIS_DAYS])).alias("_s")).select("user_id", "_s.*")
-    counted = counted.filter(F.col("_day").isNotNull()).groupBy("user_id", "_side", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    dated = days.select("user_id", F.explode(F.array(*[side(c, F.col(c)) for c in AXIS_DAYS])).alias("_s")).select("user_id", "_s.*", F.lit(1).alias("_n"))
     t, forever = F.col("tc_type"), F.lit(FOREVER)
 
     def terms(axis: str) -> list[Column]:
@@ -115,7 +116,7 @@ def axis_counts(specs: DataFrame, days: DataFrame) -> DataFrame:
         return [F.struct(F.lit(axis).alias("_axis"), part["_side"].alias("_side"), part["_day"].alias("_day"), F.lit(sign).alias("_sign")) for part, sign in ((by, 1), (less, -1))]
 
     asked = specs.select(*SPEC, F.explode(F.array(*terms("ev"), *terms("ss"))).alias("_t")).select(*SPEC, "_t.*").filter(F.col("_day").isNotNull())
-    steps = counted.unionAll(asked.select("user_id", "_side", "_day").distinct().withColumn("_n", F.lit(0).cast("bigint")))
+    steps = dated.filter(F.col("_day").isNotNull()).unionAll(asked.select("user_id", "_side", "_day", F.lit(0).alias("_n")))
     per_day = steps.groupBy("user_id", "_side", "_day").agg(F.sum("_n").alias("_n"))
     so_far = Window.partitionBy("user_id", "_side").orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = per_day.select("user_id", "_side", "_day", F.sum("_n").over(so_far).alias("_upto"))
@@ -128,7 +129,7 @@ def with_pool_counts(questions: DataFrame, blocks: DataFrame, rows_per_slice: in
     """``questions`` with the size of their pool under every axis rule.
 
     Counts depend on dates only and questions are reduced to distinct constraints.  The counts of one axis are running sums over
-    days (:func:`axis_counts`).  The counts of both axes together are needed where ``joint`` holds (null elsewhere): for those
+    days (:func:`axis_counts`).  The counts of both axes together are needed where ``joint`` holds (elsewhere they may be null): for those
     constraints, blocks are counted per user and distinct combination of their four dates and combinations met with constraints,
     so that work is bounded by the calendar and not by questions times blocks.  So are ranges that end before they start, which
     ``ordered`` says there are none of.  Constraints that filter nothing take the whole pool from one count per user.
@@ -139,18 +140,19 @@ def with_pool_counts(questions: DataFrame, blocks: DataFrame, rows_per_slice: in
     inverted = (F.col("tc_type") == "RANGE") & (F.col("tc_end") < F.col("tc_start")) & F.lit(not ordered)
     inverted = F.coalesce(inverted, F.lit(False))
     wanted = F.lit(joint) if isinstance(joint, bool) else F.coalesce(joint, F.lit(False))
-    specs = questions.filter(~filters_nothing(*constraint)).groupBy(*SPEC).agg(F.max(wanted | inverted).alias("_joint"), F.max(inverted).alias("_inverted"))
-    sizes = axis_counts(with_bounds(specs.filter(~F.col("_inverted"))), b)
-    if joint is False and ordered:
-        sizes = sizes.withColumns({c: F.lit(None).cast("bigint") for c in COUNTS[3:]})
-    else:
+    specs = questions.filter(~filters_nothing(*constraint)).groupBy(*SPEC).agg(F.max(wanted | inverted).alias("_joint"))
+    counts = []
+    if joint is not True:
+        apart = axis_counts(with_bounds(specs.filter(~F.col("_joint"))), b).select(*SPEC, "n_event", "n_session", *(F.lit(None).cast("bigint").alias(c) for c in COUNTS[3:]))
+        counts.append(apart)
+    if joint is not False or not ordered:
         cells = b.groupBy("user_id", *AXIS_DAYS).agg(F.count(F.lit(1)).alias("_n"))
         meet = pool_join(with_bounds(specs.filter("_joint").select(*SPEC)), cells, spread_by=AXIS_DAYS, rows_per_slice=rows_per_slice, batch_by=SPEC[1:])
         e, s = on_bounds("ev_lo", "ev_hi"), on_bounds("ss_lo", "ss_hi")
         counted = lambda ok: F.sum(F.when(ok, F.col("_n")).otherwise(0))
         both = meet.groupBy(*SPEC).agg(counted(e).alias("n_event"), counted(s).alias("n_session"), counted(e & s).alias("n_intersect"), counted(e | s).alias("n_union"))
-        apart = sizes.select(*SPEC, "n_event", "n_session", *(F.lit(None).cast("bigint").alias(c) for c in COUNTS[3:]))
-        sizes = apart.unionByName(both).groupBy(*SPEC).agg(*(F.max(c).alias(c) for c in COUNTS[1:]))
+        counts.append(both)
+    sizes = reduce(DataFrame.unionByName, counts)
     named = sizes.withColumnsRenamed({c: f"_{c}" for c in SPEC})
     same = [questions["user_id"] == named["_user_id"], *(questions[c].eqNullSafe(named[f"_{c}"]) for c in SPEC[1:])]
     q = questions.join(named, same, "left").drop(*(f"_{c}" for c in SPEC)).join(total, "user_id", "left").fillna(0, ["n_pool"])
@@ -171,7 +173,7 @@ def on_bounds(lo: str, hi: str) -> Column:
 
 
 def decide_pool(questions: DataFrame, blocks: DataFrame, rule: str = "empty", axis_mode: str = "auto",
-                rows_per_slice: int = ROWS_PER_SLICE, min_pool: int = 3, small_pool: int = 20, small_share: float = 0.1, all_counts: bool = False) -> DataFrame:
+                rows_per_slice: int = ROWS_PER_SLICE, min_pool: int = 3, small_pool: int = 20, small_share: float = 0.1) -> DataFrame:
     """Attach ``pool_mode``, ``pool_size``, ``pool_label`` and ``fell_back``.
 
     ``rule``: ``empty`` (no survivor -> whole pool), ``min_pool`` (fewer than
@@ -179,15 +181,12 @@ def decide_pool(questions: DataFrame, blocks: DataFrame, rule: str = "empty", ax
     and than ``small_share`` of the pool -> union, then whole pool; automatic axis
     only) or ``event_first`` (session axis only when the event axis is empty).
     A constraint without a usable date filters nothing: its pool is the whole pool.
-    ``n_intersect`` and ``n_union`` are null where the decision does not read them, unless ``all_counts``.
+    ``n_intersect`` and ``n_union`` are null where no decision reads them: under ``event_first`` and a forced single axis.
     """
     axis = F.upper(F.coalesce(tp.forced_axis(F.col("axis"), axis_mode), F.lit("BOTH_UNION")))
     axis = F.when(axis.isin(*AXES, "NONE"), axis).otherwise("BOTH_UNION")
-    if all_counts or (rule == "small_pool" and axis_mode == "auto"):
-        joint: Column | bool = True
-    else:
-        joint = False if rule == "event_first" else ~axis.isin("EVENT", "SESSION", "NONE")
-    q = with_pool_counts(questions, blocks, rows_per_slice, joint)
+    # annotated axes take either or both: then one pass over date combinations answers all of them
+    q = with_pool_counts(questions, blocks, rows_per_slice, joint=rule != "event_first" and axis_mode not in ("event", "session"))
     skip = ~tp.uses_time(F.col("intent"), F.col("tc_type")) | (F.col("tc_type") == "ANCHOR") | F.lit(axis_mode == "none")
     skip = skip | filters_nothing(F.col("tc_type"), F.col("tc_start"), F.col("tc_end"))
 
