@@ -359,9 +359,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tree: Tre
     def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
         names, counts = query.value
         known_keys = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(opened(k, np.uint64), dtype=np.uint64) for k in told["keys"])])
-        known_scores = np.concatenate([np.zeros(0), *(opened(v, np.float64) for v in told["scores"])])
-        known_keys, first_at = np.unique(known_keys, return_index=True)
-        known_scores = known_scores[first_at]
+        order = np.argsort(known_keys)
+        known_keys = known_keys[order]
+        # a key asked for twice has one score, so equal keys may stay
+        known_scores = np.concatenate([np.zeros(0), *(opened(v, np.float64) for v in told["scores"])])[order]
+        del told, order
         parts = []
         for chunk, ids, held, value in zip(chunks["chunk"], chunks["ids"], chunks["held"], chunks["symbols"], strict=True):
             stream = unpacked(value)
