@@ -19,14 +19,15 @@ def license_sql() -> str:
         line = f"replace({line}, '{spelling}', '{canonical}')"
     lines = f"[y for y in [{line} for x in string_split(coalesce(text, ''), chr(10))] if y <> '' and not regexp_matches(y, {quoted(licenses.COPYRIGHT_LINE)})]"
     known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licenses.KNOWN)
+    told = ", ".join(f"({quoted(name)}, {quoted(digest)})" for name, digest in licenses.KNOWN_DIGESTS)
     return f"""
-    WITH known AS (SELECT array_to_string({lines}, ' ') AS whole, name FROM (VALUES {known}) t(name, text)),
-    names AS (SELECT whole, list_sort(list(DISTINCT name)) AS licenses FROM known WHERE whole <> '' GROUP BY whole),
+    WITH known AS (SELECT sha256(array_to_string({lines}, ' ')) AS digest, name FROM (VALUES {known}) t(name, text) UNION ALL SELECT digest, name FROM (VALUES {told}) t(name, digest)),
+    names AS (SELECT digest, list_sort(list(DISTINCT name)) AS licenses FROM known GROUP BY digest),
     docs AS (SELECT doc_id, {lines} AS lines FROM documents),
-    hits AS (SELECT doc_id, unnest(licenses) AS name, i FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs) l JOIN names ON line = whole),
+    hits AS (SELECT doc_id, unnest(licenses) AS name, i FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs) l JOIN names ON sha256(line) = digest),
     notices AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices, count(DISTINCT i) AS n FROM hits GROUP BY doc_id)
     SELECT d.doc_id, array_to_string(w.licenses, ',') AS license, coalesce(n.notices, '') AS notices, coalesce(n.n, 0) AS n_notice_lines
-    FROM docs d LEFT JOIN names w ON array_to_string(d.lines, ' ') = w.whole LEFT JOIN notices n USING (doc_id)
+    FROM docs d LEFT JOIN names w ON sha256(array_to_string(d.lines, ' ')) = w.digest LEFT JOIN notices n USING (doc_id)
     """
 
 

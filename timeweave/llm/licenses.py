@@ -31,7 +31,11 @@ SPELLINGS = (
 )
 #: Runs of ASCII and general punctuation, spaces and controls.
 NOT_WORD = r"[\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{A0}\x{AB}\x{B7}\x{BB}\x{2000}-\x{206F}\x{3000}-\x{3003}]+"
-COPYRIGHT_LINE = r"^((copyright|c|©) )*(copyright|c|©) ([0-9][0-9][0-9][0-9]|year|yyyy|by)( |$)|^©|^all rights reserved$"
+#: Lines of a notice: a copyright mark with a year or (c), or a holder named as authors or a company; lines of prose are none.
+COPYRIGHT_LINE = (
+    r"^((copyright|c|©) )*(copyright|c|©) ([0-9][0-9][0-9][0-9]|year|yyyy|by)( |$)|^©|^all rights reserved$|^copyright c( |$)|"
+    r"^(copyright|c) .* [0-9][0-9][0-9][0-9]$|^copyright the .*(authors|contributors)$|^copyright .*(corporation|foundation|inc|llc|ltd)$"
+)
 
 _MIT_BODY = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
@@ -75,6 +79,18 @@ _APACHE_NOTICE = (
     "express or implied. See the License for the specific language governing permissions and limitations under the License."
 )
 
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or "
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+    "means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest "
+    "in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+    "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+    'under copyright law.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, "
+    "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+    "THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
 #: Fixed values: (licence, text) of short licences and of one-line notices.
 KNOWN = (
     ("0BSD", f"BSD Zero Clause License\n\n{_ISC_GRANT}{_ISC_WARRANTY}"),
@@ -96,6 +112,27 @@ KNOWN = (
     ("MIT", "The MIT License (MIT)\n\n" + _MIT_BODY),
     ("MIT", _MIT_BODY),
     ("MIT", "Released under the MIT License."),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org/>"),
+    ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org/>"),
+)
+
+#: Fixed values: (licence, digest of the canonical text) of long licences, from the texts that Linux distributions ship.
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Artistic-1.0", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "e5eb815e1ee67968eaebfbfa2f5acfb5e56d26527c09e8151abcb9c187ee0e2a"),
+    ("MPL-2.0", "12274540925f246f7614a52b7ebddfbe0463ff1ab194088c554c73552c45582d"),
 )
 
 
@@ -116,11 +153,13 @@ def canonical_text(lines: Column) -> Column:
     return F.array_join(lines, " ")
 
 
-def known_digests(known: DataFrame, name: str = "license", text: str = "text") -> DataFrame:
-    """(known_digest, licenses) with the sorted names of each canonical text."""
+def known_digests(known: DataFrame, name: str = "license", text: str = "text", digest: str = "digest") -> DataFrame:
+    """(known_digest, licenses) with the sorted names of each canonical text.  A known licence has a text or, in an optional column,
+    the digest of its canonical text."""
     whole = canonical_text(canonical_lines(F.col(text)))
-    rows = known.select(F.col(name).alias("name"), whole.alias("whole")).where("whole <> ''")
-    return rows.groupBy(F.sha2("whole", 256).alias("known_digest")).agg(F.array_sort(F.collect_set("name")).alias("licenses"))
+    told = F.col(digest) if digest in known.columns else F.lit(None).cast("string")
+    rows = known.select(F.col(name).alias("name"), F.coalesce(F.lower(told), F.when(whole != "", F.sha2(whole, 256))).alias("known_digest"))
+    return rows.where("known_digest IS NOT NULL").groupBy("known_digest").agg(F.array_sort(F.collect_set("name")).alias("licenses"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
@@ -144,6 +183,8 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str =
     )
 
 
-def known_table(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    names, texts = zip(*known, strict=True)
-    return spark.createDataFrame(pa.table({"license": list(names), "text": list(texts)}))
+def known_table(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple[str, str], ...] = KNOWN_DIGESTS) -> DataFrame:
+    """(license, text, digest): the texts given here and the digests of longer ones."""
+    rows = [(name, text, None) for name, text in known] + [(name, None, digest) for name, digest in digests]
+    names, texts, told = zip(*rows, strict=True)
+    return spark.createDataFrame(pa.table({"license": list(names), "text": pa.array(texts, pa.string()), "digest": pa.array(told, pa.string())}))
