@@ -276,35 +276,44 @@ def opened(value: pa.BinaryScalar, kind: type) -> np.ndarray:
     return np.ascontiguousarray(unpacked(value).reshape(8, -1).T).view(kind).ravel()
 
 
-def asked_keys(stored: DataFrame, tree: Tree, buckets: int, room: int = 1 << 21) -> DataFrame:
-    """(bucket, unit, keys, counts): the distinct deepest keys of each unit, sorted, with their counts in its training texts."""
+def pressed(parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Merge all parts into one; the parts are let go before the merge takes room of its own."""
+    whole = [np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])]
+    parts.clear()
+    parts.append(merged(whole.pop(0), whole.pop()))
+
+
+def asked_keys(stored: DataFrame, tree: Tree, buckets: int, room: int = 1 << 21, fresh: int = 3 << 19) -> DataFrame:
+    """(bucket, unit, keys, counts): the distinct deepest keys of each unit, sorted, with their counts in its training texts.  A task
+    holds about ``room`` merged keys and ``fresh`` others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         unit = -1
 
         def rows() -> pa.RecordBatch:
-            keys, counts = merged(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-            parts.clear()
+            pressed(parts)
+            keys, counts = parts.pop()
             bucket = (mix(keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             keys, counts, bucket = keys[order], counts[order], bucket[order]
             begin = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
             spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True)) if len(begin) else []
-            blobs = [[packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], [packed(counts[a:b]) for a, b in spans]]
+            blobs = [[packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], [packed(counts[a:b].astype(np.int64)) for a, b in spans]]
             return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(np.full(len(begin), unit)), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "unit", "keys", "counts"])
 
         for batch in batches:
             for row in range(batch.num_rows):
                 own_unit = batch.column(0)[row].as_py() // tree.unit
-                if parts and (own_unit != unit or sum(len(k) for k, _ in parts) > 2 * room):
-                    if own_unit == unit:
-                        parts[:] = [merged(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))]
-                    if own_unit != unit or len(parts[0][0]) > room:
+                if parts and own_unit != unit:
+                    yield rows()
+                elif sum(len(k) for k, _ in parts[1:]) > fresh:
+                    pressed(parts)
+                    if len(parts[0][0]) > room:
                         yield rows()
                 unit = own_unit
                 stream = unpacked(batch.column(2)[row])
-                train = np.repeat(~np.asarray(batch.column(1)[row].values), np.diff(text_bounds(stream))).astype(np.int64)
+                train = np.repeat(~np.asarray(batch.column(1)[row].values), np.diff(text_bounds(stream))).astype(np.int8)  # summed as long
                 parts.append(merged(context_keys(stream, tree.depth), train))
         if parts:
             yield rows()
