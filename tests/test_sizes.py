@@ -48,3 +48,57 @@ def test_needed_words_lose_no_match(spark):
     rows = df.select("t", first_match(F.col("t"), base, Options()).alias("a"), each.alias("b")).collect()
     assert len(NEEDS) == len(PHRASE_MATCHERS) - 1
     assert all(r.a == r.b for r in rows) and sum(r.a is not None for r in rows) >= 24
+
+
+def test_facts_are_ranked_in_tiles_without_a_shuffle_of_pairs(spark):
+    import numpy as np
+
+    from timeweave.functions.text import content_key, fact_text
+    from timeweave.operators.graph import best_facts, score_facts
+
+    rng = np.random.default_rng(3)
+    vec = rng.integers(-2, 3, size=(40, 3)).astype(float)
+    q = spark.createDataFrame([("u", i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(12)], "user_id string, qa_idx long, embedding array<double>")
+    # p0 owns half of the facts; one fact has no vector
+    rel = spark.createDataFrame(
+        [("u", f"p{0 if i % 2 else i % 5}", f"r{i:02d}", "a", "likes", f"d{i}", i) for i in range(40)],
+        "user_id string, person string, relation_id string, source string, relationship string, destination string, n int",
+    )
+    key = content_key(fact_text(F.col("source"), F.col("relationship"), F.col("destination")))
+    of = spark.createDataFrame([(i, vec[i].tolist()) for i in range(39)], "n int, embedding array<double>")
+    v = rel.join(of, "n").select("user_id", key.alias("text_key"), "embedding")
+
+    def cosine(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(a @ b / size), 9) if size else 0.0
+
+    asked, facts = q.collect(), rel.collect()
+    pairs = [(x.qa_idx, f.person, f.relation_id, cosine(np.array(x.embedding), vec[f.n]) if f.n < 39 else -1.0) for x in asked for f in facts]
+    got = score_facts(rel, q, v, columns=["person", "relation_id"]).collect()
+    assert sorted((r.qa_idx, r.person, r.relation_id, round(r.query_similarity, 6) + 0.0) for r in got) == sorted((*p[:3], round(p[3], 6) + 0.0) for p in pairs)
+    for k, bound in ((None, 100), (None, 6), (2, 6), (2, 100)):
+        want = set()
+        for i in range(12):
+            for person in {f.person for f in facts}:
+                own = sorted((p for p in pairs if p[:2] == (i, person) and p[3] >= 0.0), key=lambda p: (-p[3], p[2]))[:k]
+                want |= {(i, person, p[2], n) for n, p in enumerate(own, 1)}
+        got = best_facts(rel, q, v, k, 0.0, columns=[], facts_per_person=bound).collect()
+        assert {(r.qa_idx, r.person, r.relation_id, r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_score_summary_over_tiles(spark):
+    import numpy as np
+
+    from timeweave.operators.rank import score_summary
+
+    rng = np.random.default_rng(5)
+    vec = rng.normal(size=(30, 4))
+    rows = [("u" if i < 29 else "alone", i, None if i % 13 == 0 else [0.0] * 4 if i % 7 == 0 else vec[i].tolist()) for i in range(30)]
+    b = spark.createDataFrame(rows, "user_id string, block_id long, embedding array<double>")
+    q = spark.createDataFrame([(u, i, vec[i].tolist()) for u, i, _ in rows], "user_id string, qa_idx long, embedding array<double>")
+    unit = lambda x: np.asarray(x) / (np.linalg.norm(x) or 1.0)
+    got = {r.qa_idx: r for r in score_summary(q, b, items_per_tile=7, questions_per_tile=5).collect()}
+    assert set(got) == set(range(29))
+    for i in got:
+        s = [-1.0 if e is None else round(float(unit(vec[i]) @ unit(e)), 9) for u, j, e in rows if u == "u" and j != i]
+        assert np.allclose([got[i].best, got[i].worst, got[i]["mean"]], [max(s), min(s), sum(s) / len(s)], atol=1e-8)
