@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from timeweave.catalog.fixtures import BLK, DECIDED, GOLD, PAIRS, QRY, SCORED, blocks, gold, questions, with_sql
 from timeweave.catalog.registry import query
-from timeweave.functions.vectors import cosine
 from timeweave.operators import pools, rank
 from timeweave.operators import temporal as tp
-from timeweave.operators.skew import pool_join
 from timeweave.plans.retrieval import retrieve
 
 PAIR_COLS = ["user_id", "qa_idx", "block_id"]
@@ -412,8 +410,5 @@ def x22(spark, d):
         .when(b.block_id % 17 == 0, F.transform("embedding", lambda x: x * F.lit(0.0).cast("float")))
         .otherwise(F.col("embedding"))
     )
-    pairs = pool_join(questions(spark, d).select("user_id", "qa_idx", F.col("embedding").alias("qv")), b.select("user_id", "block_id", vec.alias("bv")))
-    s = pairs.filter("qa_idx <> block_id").select("user_id", "qa_idx", cosine(F.col("qv"), F.col("bv")).alias("s"))
-    return s.groupBy("user_id", "qa_idx").agg(
-        F.round(F.max("s"), 6).alias("best_other"), F.round(F.min("s"), 6).alias("worst"), F.round(F.avg("s"), 6).alias("mean")
-    )
+    s = rank.score_summary(questions(spark, d), b.select("user_id", "block_id", vec.alias("embedding")))
+    return s.select("user_id", "qa_idx", F.round("best", 6).alias("best_other"), F.round("worst", 6).alias("worst"), F.round("mean", 6).alias("mean"))
