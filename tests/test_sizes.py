@@ -102,3 +102,26 @@ def test_score_summary_over_tiles(spark):
     for i in got:
         s = [-1.0 if e is None else round(float(unit(vec[i]) @ unit(e)), 9) for u, j, e in rows if u == "u" and j != i]
         assert np.allclose([got[i].best, got[i].worst, got[i]["mean"]], [max(s), min(s), sum(s) / len(s)], atol=1e-8)
+
+
+def test_pair_scores_over_tiles(spark):
+    import numpy as np
+
+    from timeweave.operators.graph import score_events
+
+    rng = np.random.default_rng(7)
+    vec = rng.normal(size=(30, 4))
+    e = spark.createDataFrame([("u", i, None if i == 3 else [0.0] * 4 if i == 4 else vec[i].tolist()) for i in range(28)], "user_id string, event_id long, embedding array<double>")
+    q = spark.createDataFrame([("u", i, vec[i].tolist()) for i in range(10)], "user_id string, qa_idx long, embedding array<double>")
+    # events 28 and 29 have no row, question 10 neither
+    asked = [("u", i, j, f"h{i + j}") for i in range(11) for j in range(30) if (i + j) % 3]
+    pairs = spark.createDataFrame(asked, "user_id string, qa_idx long, event_id long, note string")
+    found = score_events(pairs, q, e)
+    got = {(r.qa_idx, r.event_id): (r.note, r.query_similarity) for r in found.collect()}
+    assert found.columns == [*pairs.columns, "query_similarity"] and len(got) == sum(a[1] < 10 for a in asked)
+    for (i, j), (note, score) in got.items():
+        want = -1.0 if j in (3, 28, 29) else 0.0 if j == 4 else vec[i] @ vec[j] / np.linalg.norm(vec[i]) / np.linalg.norm(vec[j])
+        assert note == f"h{i + j}" and abs(score - want) < 1e-8
+    # no vector meets a pair in a join
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert all("event_id" not in line for line in joins)
