@@ -125,3 +125,42 @@ def test_pair_scores_over_tiles(spark):
     # no vector meets a pair in a join
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
     assert all("event_id" not in line for line in joins)
+
+
+def test_reach_walks_in_batches_without_a_shuffle_of_reached_events(spark, monkeypatch):
+    import random
+
+    from timeweave.operators import graph
+
+    rnd = random.Random(5)
+    names = [f"e{i:02d}" for i in range(30)]
+    # e00 is a hub, some pairs come both ways and twice, one event of another user has the same name
+    raw = [("u", "e00", n, 0.9 - i / 100) for i, n in enumerate(names[1:])] + [("u", *rnd.sample(names, 2), rnd.randint(1, 9) / 10) for _ in range(40)] + [("v", "e01", "e02", 0.6)]
+    own = [("u", q, e) for q in range(12) for e in rnd.sample(names[1:], 1 + q % 3)] + [("v", 0, "e01"), ("w", 1, "e01")]
+    edges = spark.createDataFrame(raw, "user_id string, a_id string, b_id string, score double")
+    seeds = spark.createDataFrame(own, "user_id string, qa_idx long, event_id string")
+    best = {}
+    for u, a, b, s in raw:
+        if s >= 0.3:
+            best[u, a, b] = best[u, b, a] = max(s, best.get((u, a, b), 0))
+    for hops, limit, per_batch, per_list in ((1, None, 100, 100), (2, None, 4, 5), (2, 7, 100, 5), (3, None, 4, 100)):
+        want = set()
+        for user, q in {(u, q) for u, q, _ in own}:
+            start = {e for u, x, e in own if (u, x) == (user, q)}
+            front, seen = dict.fromkeys(start, 9.0), {}
+            for hop in range(1, hops + 1):
+                step = {}
+                for (u, a, b), s in best.items():
+                    if u == user and a in front:
+                        step[b] = max(step.get(b, 0), min(front[a], s))
+                front = step
+                for e, p in step.items():
+                    first, top = seen.get(e, (hop, 0))
+                    seen[e] = (first, max(top, p))
+            rows = sorted((h, -p, e) for e, (h, p) in seen.items() if e not in start)[:limit]
+            want |= {(user, q, e, h, -p, i) for i, (h, p, e) in enumerate(rows, 1)}
+        monkeypatch.setattr(graph, "EDGES_PER_LIST", per_list)
+        got = graph.reachable(seeds, edges, hops, 0.3, limit, seeds_per_batch=per_batch)
+        assert {tuple(r) for r in got.select("user_id", "qa_idx", "event_id", "min_hop", "similarity_score", "rank").collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("FlatMapGroupsInArrow") < plan.index("Aggregate")
