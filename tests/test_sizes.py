@@ -164,3 +164,20 @@ def test_reach_walks_in_batches_without_a_shuffle_of_reached_events(spark, monke
         assert {tuple(r) for r in got.select("user_id", "qa_idx", "event_id", "min_hop", "similarity_score", "rank").collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.index("FlatMapGroupsInArrow") < plan.index("Aggregate")
+
+
+def test_interval_join_gets_tasks_by_the_pairs_it_tries(spark):
+    from timeweave.operators.intervals import overlap_join
+
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int"))
+    left = spark.range(600).select(F.lit("u").alias("k"), F.col("id").alias("i"), day(F.col("id") % 20).alias("s"), day(F.col("id") % 20 + 2).alias("e"))
+    right = left.select("k", F.col("i").alias("j"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    plain = overlap_join(left, right, ("s", "e"), ("s2", "e2"), ["k"], 7)
+    spread = overlap_join(left, right, ("s", "e"), ("s2", "e2"), ["k"], 7, rows_per_tile=32, pairs_per_task=5_000)
+    per_task = spread.groupBy(F.spark_partition_id()).count().collect()
+    # 5 kinds of days of 30 rows meet each of 20 but at the ends
+    want = sum(900 for a in range(20) for b in range(20) if abs(a - b) <= 2)
+    assert spread.count() == plain.count() == sum(r["count"] for r in per_task) == want
+    assert sorted((r.i, r.j) for r in spread.select("i", "j").collect()) == sorted((r.i, r.j) for r in plain.select("i", "j").collect())
+    assert len(per_task) > 12 and max(r["count"] for r in per_task) < want / 4
+    assert overlap_join(left, right.limit(0), ("s", "e"), ("s2", "e2"), ["k"], 7, pairs_per_task=10).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from timeweave.catalog.fixtures import BLK, QRY, blocks, questions, with_sql
 from timeweave.catalog.registry import query, table
 from timeweave.operators import temporal as tp
-from timeweave.operators.intervals import open_counts, overlap_join
+from timeweave.operators.intervals import PAIRS_PER_TASK, open_counts, overlap_join
 
 IV = """iv AS (SELECT o_custkey, o_orderkey, least(a, b) AS iv_start, greatest(a, b) AS iv_end FROM (
   SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(max(l_shipdate) AS DATE) AS b
@@ -44,7 +44,8 @@ def c9(spark, d):
 def j2(spark, d):
     q = questions(spark, d).select("user_id", "qa_idx", "base_day", F.date_add("base_day", 6).alias("q_end"))
     b = blocks(spark, d).select("user_id", "block_id", "event_start", "event_end")
-    return overlap_join(q, b, ("base_day", "q_end"), ("event_start", "event_end"), ["user_id"], 14).select("user_id", "qa_idx", "block_id")
+    pairs = overlap_join(q, b, ("base_day", "q_end"), ("event_start", "event_end"), ["user_id"], 14, pairs_per_task=PAIRS_PER_TASK)
+    return pairs.select("user_id", "qa_idx", "block_id")
 
 
 @query(

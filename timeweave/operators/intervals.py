@@ -9,12 +9,15 @@ both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.operators.skew import ROWS_PER_SLICE
+#: Rows of either side of a tile, and pairs that one task tries where the caller has them counted.
+ROWS_PER_TILE = 4_096
+PAIRS_PER_TASK = 1 << 24
 
 
 def bucket_of(day: Column, days: int) -> Column:
@@ -29,7 +32,8 @@ def overlap_join(
     keys: Sequence[str] = (),
     bucket_days: int = 30,
     clip: bool = False,
-    rows_per_tile: int = ROWS_PER_SLICE,
+    rows_per_tile: int = ROWS_PER_TILE,
+    pairs_per_task: int | None = None,
 ) -> DataFrame:
     """All pairs whose closed date intervals overlap, on equal ``keys`` if given.
 
@@ -38,7 +42,8 @@ def overlap_join(
     typical length of the longer side.  ``clip`` bounds the buckets of a row by
     the date range of the other side (a one-row aggregate), which keeps open-ended
     intervals small without changing the result.  A (key, bucket) with more than ``rows_per_tile`` rows on a side is cut into
-    tiles of that many rows on both sides, so one key or one day may own most rows.
+    tiles of that many rows on both sides, so one key or one day may own most rows.  Rows of a key may be few bytes and many pairs:
+    with ``pairs_per_task`` the pairs to try are counted first, at once, and the join gets as many tasks as they need.
     """
 
     def spread(df: DataFrame, iv: tuple[str, str], first: str, other: tuple[DataFrame, tuple[str, str]] | None) -> DataFrame:
@@ -59,7 +64,8 @@ def overlap_join(
     own_l, own_r = ([c for c in df.columns if c not in at] for df in (a, b))
     # rows of both sides in one counting pass; only (key, bucket)s that need tiles are kept
     sides = a.select(*at, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(b.select(*at, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
-    hot = sides.groupBy(*at).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).filter(F.greatest("_l", "_r") > rows_per_tile)
+    met = sides.groupBy(*at).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    hot = met.filter(F.greatest("_l", "_r") > rows_per_tile)
     n_tiles = lambda side: F.ceil(F.col(side) / rows_per_tile).cast("int").alias(f"_n{side}")
     hot = hot.select(*at, n_tiles("_l"), n_tiles("_r"))
 
@@ -68,7 +74,12 @@ def overlap_join(
         placed = df.join(hot, at, "left").withColumn(f"_t{mine}", F.pmod(F.xxhash64(*[F.col(c) for c in own]), F.greatest(n(mine), F.lit(1))).cast("int"))
         return placed.withColumn(f"_t{other}", F.explode(F.sequence(F.lit(0), F.greatest(n(other), F.lit(1)) - 1))).drop("_n_l", "_n_r")
 
-    joined = tiled(a, own_l, "_l", "_r").join(tiled(b, own_r, "_r", "_l"), [*at, "_t_l", "_t_r"]).drop("_t_l", "_t_r")
+    l, r, tile = tiled(a, own_l, "_l", "_r"), tiled(b, own_r, "_r", "_l"), [*at, "_t_l", "_t_r"]
+    if pairs_per_task is not None:
+        pairs = met.agg(F.sum(F.col("_l").cast("double") * F.col("_r"))).first()[0] or 0
+        tasks = max(left.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / pairs_per_task))
+        l, r = l.repartition(tasks, *tile), r.repartition(tasks, *tile)
+    joined = l.join(r, tile).drop("_t_l", "_t_r")
     first_shared = F.col("_bucket") == F.greatest("_first_l", "_first_r")
     lo_l, hi_l = F.least(*left_iv), F.greatest(*left_iv)
     lo_r, hi_r = F.least(*right_iv), F.greatest(*right_iv)
