@@ -181,3 +181,17 @@ def test_interval_join_gets_tasks_by_the_pairs_it_tries(spark):
     assert sorted((r.i, r.j) for r in spread.select("i", "j").collect()) == sorted((r.i, r.j) for r in plain.select("i", "j").collect())
     assert len(per_task) > 12 and max(r["count"] for r in per_task) < want / 4
     assert overlap_join(left, right.limit(0), ("s", "e"), ("s2", "e2"), ["k"], 7, pairs_per_task=10).count() == 0
+
+
+def test_anchor_blocks_are_merged_without_comparing_the_kept_pairs(spark, tmp_path):
+    from timeweave.catalog import load_all
+
+    rows = [(i, i % 2, [float(i % 3), 1.0, float(i % 7)]) for i in range(150)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    merged = load_all().QUERIES["an9_merge_anchor_blocks"](spark, str(tmp_path))
+    got = [tuple(r) for r in merged.select("user_id", "qa_idx", "block_id").collect()]
+    assert len(got) == len(set(got)) > 300
+    node = merged._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() == "Project":
+        node = node.children().head()
+    assert node.nodeName() == "Union"
