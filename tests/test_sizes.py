@@ -195,3 +195,24 @@ def test_anchor_blocks_are_merged_without_comparing_the_kept_pairs(spark, tmp_pa
     while node.nodeName() == "Project":
         node = node.children().head()
     assert node.nodeName() == "Union"
+
+
+def test_bleu_counts_tokens_where_the_row_is(spark):
+    import math
+    from collections import Counter
+
+    from timeweave.operators.answers import bleu1
+
+    rows = [
+        (1, "the the the cat", ["the cat the", "a cat"]), (2, "x\u00a0y, z", ["x y\u00a0", ", z z z z z"]), (3, None, ["a"]), (4, "a b", []), (5, "a b", None),
+        (6, "w " * 30_000, ["w " * 20_000 + "v", None]), (7, "!!", [""]), (8, "a b c", ["a b", "a b c d"]),
+    ]
+    tokens = {1: (4, [3, 2], 3), 2: (5, [3, 6], 5), 6: (30_000, [20_001, 0], 20_000), 7: (2, [0], 0), 8: (3, [2, 4], 3)}
+    want = {3: 0.0}
+    for key, (n, refs, same) in tokens.items():
+        near = min((abs(r - n), r) for r in refs)[1]
+        want[key] = same / n * (1.0 if n > near else math.exp(1 - near / n)) if same else 0.0
+    scored = bleu1(spark.createDataFrame(rows, "k int, pred string, golds array<string>"), ["k"])
+    assert Counter({r.k: round(r.bleu, 9) for r in scored.collect()}) == Counter({k: round(v, 9) for k, v in want.items()})
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

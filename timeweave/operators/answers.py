@@ -7,6 +7,7 @@ holds two whole texts side by side, so long texts stay linear.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,25 +116,29 @@ def best_plain_f1(df: DataFrame, keys: Sequence[str], pred: str = "pred", golds:
     return scored.groupBy(*keys).agg(F.max("f1").alias("f1"))
 
 
+@F.udf("struct<same: bigint, c_len: bigint, r_len: bigint>", useArrow=True)
+def _clipped(pred: str, golds: list) -> tuple:
+    """Tokens of ``pred`` matched by one gold text each at most as often as there, its length, and the closest gold length."""
+    tokens = lambda text: text.split(" ") if text else []
+    words, refs = tokens(pred), [tokens(g) for g in golds]
+    limit = Counter()
+    for ref in refs:
+        limit |= Counter(ref)
+    return (Counter(words) & limit).total(), len(words), min((abs(len(r) - len(words)), len(r)) for r in refs)[1]
+
+
 def bleu1(df: DataFrame, keys: Sequence[str], pred: str = "pred", golds: str = "golds") -> DataFrame:
     """Clipped unigram precision times brevity penalty (closest reference length,
-    shorter one on ties); no overlap -> 0."""
-    refs = df.select(*keys, F.posexplode(golds).alias("_pos", "_gold")).select(*keys, "_pos", bleu_tokens(F.col("_gold")).alias("_t"))
-    hyp = df.select(*keys, bleu_tokens(F.col(pred)).alias("_t"))
-    ref_counts = (
-        refs.select(*keys, "_pos", F.explode("_t").alias("t")).groupBy(*keys, "_pos", "t").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy(*keys, "t").agg(F.max("c").alias("limit"))
-    )
-    hyp_counts = hyp.select(*keys, F.explode("_t").alias("t")).groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("c"))
-    clipped = hyp_counts.join(ref_counts, [*keys, "t"]).groupBy(*keys).agg(F.sum(F.least("c", "limit")).alias("same"))
-    lengths = hyp.select(*keys, F.size("_t").alias("c_len")).join(refs.select(*keys, F.size("_t").alias("r_len")), list(keys))
-    closest = lengths.groupBy(*keys).agg(
-        F.first("c_len").alias("c_len"), F.min_by("r_len", F.struct(F.abs(F.col("r_len") - F.col("c_len")), F.col("r_len"))).alias("r_len")
-    )
-    joined = closest.join(clipped, list(keys), "left")
+    shorter one on ties); no overlap -> 0.  Rows without a gold text drop out.
+
+    ``keys`` are unique, so a row is scored where it is: no token is shuffled, and a task holds the counts of one row.
+    """
+    # no token holds a blank; some are white space to Python, so tokens are split at blanks only
+    spaced = lambda text: F.array_join(bleu_tokens(text), " ")
+    rows = df.filter(F.size(golds) > 0).select(*keys, _clipped(spaced(F.col(pred)), F.transform(golds, spaced)).alias("_c")).select(*keys, "_c.*")
     penalty = F.when(F.col("c_len") > F.col("r_len"), 1.0).otherwise(F.exp(1 - F.col("r_len") / F.col("c_len")))
-    value = F.when(F.col("same").isNull() | (F.col("c_len") == 0), 0.0).otherwise(F.col("same") / F.col("c_len") * penalty)
-    return joined.select(*keys, value.alias("bleu"))
+    value = F.when((F.col("same") == 0) | (F.col("c_len") == 0), 0.0).otherwise(F.col("same") / F.col("c_len") * penalty)
+    return rows.select(*keys, value.alias("bleu"))
 
 
 def judge_verdict(response: Column) -> Column:
