@@ -216,3 +216,30 @@ def test_bleu_counts_tokens_where_the_row_is(spark):
     assert Counter({r.k: round(r.bleu, 9) for r in scored.collect()}) == Counter({k: round(v, 9) for k, v in want.items()})
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_tile_holds_no_matrix_of_all_its_pairs():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from timeweave.operators import rank
+
+    rng = np.random.default_rng(1)
+    q = pd.DataFrame({"ask_user_id": "u", "ask_qa_idx": np.arange(512), "ask_embedding": list(rng.integers(-3, 4, (512, 8)).astype(float))})
+    b = pd.DataFrame({"user_id": "u", "block_id": np.arange(4096), "embedding": list(rng.integers(-3, 4, (4096, 8)).astype(float)), "parts": list(rng.integers(-3, 4, (4096, 16)).astype(float))})
+    tracemalloc.start()
+    out = rank._tile_function(30, False, False, None, False, True)(q, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = lambda rows: rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-300)
+    asked, own = unit(np.stack(q["ask_embedding"])), unit(np.stack(b["embedding"]))
+    parts = unit(np.stack(b["parts"]).reshape(-1, 2, 8))
+    for i in (0, 7, 511):
+        score = np.round(own @ asked[i], 9)
+        best = np.lexsort((np.arange(4096), -score))[:30]
+        mine = out[out["qa_idx"] == i]
+        assert list(mine["block_id"]) == list(best) and np.allclose(mine["score"], score[best])
+        assert np.allclose(mine["part_score"], (parts[best] @ asked[i]).max(axis=1))
+    assert peak < 512 * 4096 * 8
