@@ -1,8 +1,10 @@
 """Plans and tasks that stay bounded when tables grow."""
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.catalog import registry
+from timeweave.functions import time_phrases
 from timeweave.functions.time_phrases import NEEDS, PHRASE_MATCHERS, Options, first_match
 from timeweave.plans import retrieval
 
@@ -50,6 +52,31 @@ def test_needed_words_lose_no_match(spark):
     assert all(r.a == r.b for r in rows) and sum(r.a is not None for r in rows) >= 24
 
 
+def _searches(pattern, text="yesterday"):
+    """How often a phrase's pattern is searched for at most: its places in the expression of all matchers."""
+    match = first_match(F.col("t"), F.lit("2024-06-15").cast("date"), Options())
+    spark = SparkSession.getActiveSession()
+    plan = spark.createDataFrame([(text,)], "t string").select(match.alias("m"))
+    return plan._jdf.queryExecution().optimizedPlan().toString().count(pattern)
+
+
+def _tasks_of(spark, tmp_path, monkeypatch, name):
+    """Rows of each task of a query over 1,000 orders when a task may take 100."""
+    from timeweave.catalog import load_all
+
+    orders = spark.range(0, 1000, 1, 1).selectExpr("id AS o_orderkey", "id AS o_custkey", "timestamp'1995-03-07' AS o_orderdate")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(registry, "SPREAD_ROWS", 100, raising=False)
+    out = load_all().QUERIES[name](spark, str(tmp_path))
+    return [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_relative_spans_run_in_bounded_tasks_and_search_found_words(spark, tmp_path, monkeypatch):
+    rows = _tasks_of(spark, tmp_path, monkeypatch, "t28_t29_relative_spans")
+    assert sum(rows) == 1000 and max(rows) <= 125
+    assert _searches(time_phrases.RELATIVE_SPAN) <= 5 and _searches(time_phrases.RELATIVE_WEEKDAY) <= 5
+
+
 def test_facts_are_ranked_in_tiles_without_a_shuffle_of_pairs(spark):
     import numpy as np
 
