@@ -77,6 +77,12 @@ def test_relative_spans_run_in_bounded_tasks_and_search_found_words(spark, tmp_p
     assert _searches(time_phrases.RELATIVE_SPAN) <= 5 and _searches(time_phrases.RELATIVE_WEEKDAY) <= 5
 
 
+def test_near_days_run_in_bounded_tasks_and_search_found_words(spark, tmp_path, monkeypatch):
+    rows = _tasks_of(spark, tmp_path, monkeypatch, "t30_t32_near_days")
+    assert sum(rows) == 1000 and max(rows) <= 125
+    assert _searches(time_phrases.NEAR_DAY) <= 3 and _searches(time_phrases.RECENTLY) <= 3
+
+
 def test_facts_are_ranked_in_tiles_without_a_shuffle_of_pairs(spark):
     import numpy as np
 
