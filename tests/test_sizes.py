@@ -7,6 +7,7 @@ from timeweave.catalog import registry
 from timeweave.functions import time_phrases
 from timeweave.functions.time_phrases import NEEDS, PHRASE_MATCHERS, Options, first_match
 from timeweave.plans import retrieval
+from timeweave.plans.annotate import intent_of
 
 
 def test_annotation_meets_no_join_in_its_plan(spark, monkeypatch):
@@ -83,6 +84,13 @@ def test_near_days_run_in_bounded_tasks_and_search_found_words(spark, tmp_path,
     assert _searches(time_phrases.NEAR_DAY) <= 3 and _searches(time_phrases.RECENTLY) <= 3
 
 
+def test_directives_run_in_bounded_tasks_and_lower_a_question_once(spark, tmp_path, monkeypatch):
+    rows = _tasks_of(spark, tmp_path, monkeypatch, "t37_t44_directives")
+    assert sum(rows) == 1000 and max(rows) <= 125
+    plan = spark.createDataFrame([("Was I there?",)], "t string").select(intent_of(F.col("t")).alias("i"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("lower(") == 1 and plan.first().i == "AS_OF"
+
+
 def test_facts_are_ranked_in_tiles_without_a_shuffle_of_pairs(spark):
     import numpy as np
 
