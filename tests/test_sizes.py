@@ -91,6 +91,12 @@ def test_directives_run_in_bounded_tasks_and_lower_a_question_once(spark, tmp_pa
     assert plan._jdf.queryExecution().analyzed().toString().count("lower(") == 1 and plan.first().i == "AS_OF"
 
 
+def test_relaxed_months_run_in_bounded_tasks_and_search_found_words(spark, tmp_path, monkeypatch):
+    rows = _tasks_of(spark, tmp_path, monkeypatch, "t26_relaxed_months")
+    assert sum(rows) == 1000 and max(rows) <= 125
+    assert _searches(time_phrases.N_AGO) <= 5 and _searches(time_phrases.LAST_N) <= 6
+
+
 def test_facts_are_ranked_in_tiles_without_a_shuffle_of_pairs(spark):
     import numpy as np
 
