@@ -116,7 +116,6 @@ def best_plain_f1(df: DataFrame, keys: Sequence[str], pred: str = "pred", golds:
     return scored.groupBy(*keys).agg(F.max("f1").alias("f1"))
 
 
-@F.udf("struct<same: bigint, c_len: bigint, r_len: bigint>", useArrow=True)
 def _clipped(pred: str, golds: list) -> tuple:
     """Tokens of ``pred`` matched by one gold text each at most as often as there, its length, and the closest gold length."""
     tokens = lambda text: text.split(" ") if text else []
@@ -135,7 +134,9 @@ def bleu1(df: DataFrame, keys: Sequence[str], pred: str = "pred", golds: str = "
     """
     # no token holds a blank; some are white space to Python, so tokens are split at blanks only
     spaced = lambda text: F.array_join(bleu_tokens(text), " ")
-    rows = df.filter(F.size(golds) > 0).select(*keys, _clipped(spaced(F.col(pred)), F.transform(golds, spaced)).alias("_c")).select(*keys, "_c.*")
+    # made here: the type of a function is read by a session, and the module is imported without one
+    clipped = F.udf(_clipped, "struct<same: bigint, c_len: bigint, r_len: bigint>", useArrow=True)
+    rows = df.filter(F.size(golds) > 0).select(*keys, clipped(spaced(F.col(pred)), F.transform(golds, spaced)).alias("_c")).select(*keys, "_c.*")
     penalty = F.when(F.col("c_len") > F.col("r_len"), 1.0).otherwise(F.exp(1 - F.col("r_len") / F.col("c_len")))
     value = F.when((F.col("same") == 0) | (F.col("c_len") == 0), 0.0).otherwise(F.col("same") / F.col("c_len") * penalty)
     return rows.select(*keys, value.alias("bleu"))
