@@ -290,3 +290,15 @@ def test_a_tile_holds_no_matrix_of_all_its_pairs():
         assert list(mine["block_id"]) == list(best) and np.allclose(mine["score"], score[best])
         assert np.allclose(mine["part_score"], (parts[best] @ asked[i]).max(axis=1))
     assert peak < 512 * 4096 * 8
+
+
+def test_scores_in_context_lines_are_printed_from_their_exact_value(spark):
+    from timeweave.operators.context import event_line
+
+    scores = [j / 20000 for j in range(-20000, 20001)] + [0.305450001, 0.0, -1e-9, 1234.00005]
+    text = lambda c: F.lit(c).cast("string")
+    line = event_line(text("x"), text("1"), F.col("s"), F.lit(None).cast("double"), text(""))
+    graph = event_line(text("x"), text("1"), F.lit(None).cast("double"), F.col("s"), text(""))
+    got = spark.createDataFrame([(s,) for s in scores], "s double").select("s", line.alias("line"), graph.alias("graph")).collect()
+    assert {r.line for r in got if r.s == 0.30545} == {"- [query_score=0.3054] x"}
+    assert [(r.line, r.graph) for r in got] == [(f"- [query_score={r.s:.4f}] x", f"- [graph_score={r.s:.4f}] x") for r in got]
