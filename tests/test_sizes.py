@@ -302,3 +302,42 @@ def test_scores_in_context_lines_are_printed_from_their_exact_value(spark):
     got = spark.createDataFrame([(s,) for s in scores], "s double").select("s", line.alias("line"), graph.alias("graph")).collect()
     assert {r.line for r in got if r.s == 0.30545} == {"- [query_score=0.3054] x"}
     assert [(r.line, r.graph) for r in got] == [(f"- [query_score={r.s:.4f}] x", f"- [graph_score={r.s:.4f}] x") for r in got]
+
+
+def test_blocks_are_copied_to_few_batches_of_questions(spark, monkeypatch):
+    import pandas as pd
+
+    from timeweave.operators import rank
+
+    def count_tile(*_):
+        return lambda q, b: pd.DataFrame({"user_id": ["u"], "qa_idx": [len(q)], "block_id": [len(b)], "score": [0.0]})
+
+    monkeypatch.setattr(rank, "_tile_function", count_tile)
+    vec = F.array(F.lit(1.0), F.col("id").cast("double"))
+    q = spark.range(6_000).select(F.lit("u").alias("user_id"), F.col("id").alias("qa_idx"), vec.alias("embedding"))
+    b = spark.range(100).select(F.lit("u").alias("user_id"), F.col("id").alias("block_id"), vec.alias("embedding"))
+    tiles = rank.tiled_scores(q, b, 5).collect()
+    assert sum(t.block_id for t in tiles) <= 200 and sum(t.qa_idx for t in tiles) == 6_000
+    # tiles that emit all their pairs stay small
+    assert all(t.qa_idx * t.block_id <= 2_048 * 512 for t in rank.tiled_scores(q, b).collect())
+
+
+def test_no_vector_is_in_a_cut_of_the_answer_plan(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(retrieval, "cut_lineage", lambda df: cuts.append(df.columns) or df.localCheckpoint())
+    day = "make_date(2024, 5, CAST(id AS INT)) AS "
+    b = spark.range(1, 7).selectExpr(
+        "'u' AS user_id", "id AS block_id", "array(1.0D, CAST(id AS DOUBLE)) AS embedding", *(day + c for c in ("session_start", "session_end", "event_start", "event_end"))
+    )
+    # annotated already: by date, by anchor, without a constraint, by date; the same text comes twice, two questions have no vector
+    asked = [(0, "a", "POINT", 3, None), (1, "b", "ANCHOR", None, "AFTER"), (2, "c", "NONE", None, None), (3, "d", "POINT", 4, None)]
+    q = spark.createDataFrame(asked, "qa_idx long, rewritten_query string, tc_type string, day int, anchor_relation string").selectExpr(
+        "'u' AS user_id", "*", "make_date(2024, 5, day) AS tc_start", "CAST(NULL AS DATE) AS tc_end", "'EVENT' AS axis", "'WINDOW' AS intent"
+    )
+    monkeypatch.setattr(retrieval, "directed", lambda df: df)
+    v = q.filter("qa_idx < 2").select("user_id", retrieval.content_key(F.col("rewritten_query")).alias("text_key"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    got = retrieval.answer_context(q, b, b.select("user_id", "block_id", "embedding"), v.union(v), k=2).collect()
+    assert len(cuts) == 2 and all("embedding" not in c for c in cuts)
+    found = {(r.qa_idx, r["rank"]): r.block_id for r in got}
+    assert found[0, 1] == 3 and (0, 2) not in found and found[1, 1] == 2 and found[2, 1] == 1 and found[2, 2] == 2
+    assert found[3, 1] == 4 and (3, 2) not in found and len(found) == len(got)
