@@ -341,3 +341,17 @@ def test_no_vector_is_in_a_cut_of_the_answer_plan(spark, monkeypatch):
     found = {(r.qa_idx, r["rank"]): r.block_id for r in got}
     assert found[0, 1] == 3 and (0, 2) not in found and found[1, 1] == 2 and found[2, 1] == 1 and found[2, 2] == 2
     assert found[3, 1] == 4 and (3, 2) not in found and len(found) == len(got)
+
+
+def test_facts_are_copied_to_few_batches_and_rows_flow_out(spark, monkeypatch):
+    from timeweave.operators import rank
+
+    sizes, counted = {}, rank.slice_counts
+    monkeypatch.setattr(rank, "slice_counts", lambda df, key, rows, name="n_slices": sizes.update({name: rows}) or counted(df, key, rows, name))
+    vec = lambda: F.array(F.lit(1.0), F.col("id").cast("double"))
+    q = spark.range(3_000).select(F.lit("u").alias("user_id"), F.col("id").alias("qa_idx"), vec().alias("embedding"))
+    f = spark.range(200).select(F.lit("u").alias("user_id"), F.concat(F.lit("f"), "id").alias("relation_id"), vec().cast("array<float>").alias("embedding"))
+    got = rank.tiled_rows(q, f, "relation_id").groupBy("user_id", "relation_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("qa_idx").alias("d"), F.min("score").alias("low")).collect()
+    assert len(got) == 200 and all(r.n == r.d == 3_000 and r.low > 0 - 1e-9 for r in got)
+    # 3,000 questions are one batch: every fact is shuffled once
+    assert -(-3_000 // sizes["n_batches"]) == 1 and sizes["n_slices"] * sizes["n_batches"] > 2_048 * 256
