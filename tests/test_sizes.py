@@ -355,3 +355,44 @@ def test_facts_are_copied_to_few_batches_and_rows_flow_out(spark, monkeypatch):
     assert len(got) == 200 and all(r.n == r.d == 3_000 and r.low > 0 - 1e-9 for r in got)
     # 3,000 questions are one batch: every fact is shuffled once
     assert -(-3_000 // sizes["n_batches"]) == 1 and sizes["n_slices"] * sizes["n_batches"] > 2_048 * 256
+
+
+def test_reached_events_are_scored_where_they_are_found(spark):
+    import random
+
+    from timeweave.operators import context, graph
+
+    rnd = random.Random(11)
+    vec = {f"e{i:02d}": [rnd.gauss(0, 1) for _ in range(4)] for i in range(30)} | {"e03": None, "e04": [0.0] * 4}
+    names = sorted(vec)
+    edges = spark.createDataFrame([("u", *rnd.sample(names, 2), rnd.randint(3, 9) / 10) for _ in range(60)] + [("v", "e01", "e02", 0.6)], "user_id string, a_id string, b_id string, score double")
+    seeds = spark.createDataFrame([("u", q, e) for q in range(12) for e in rnd.sample(names, 2)] + [("v", 0, "e01")], "user_id string, qa_idx long, event_id string")
+    # one event has no row, question 11 neither, and user v has no events
+    events = spark.createDataFrame([("u", n, v, f"text {n}") for n, v in vec.items() if n != "e29"], "user_id string, event_id string, embedding array<float>, note string")
+    q = spark.createDataFrame([("u", i, [rnd.gauss(0, 1) for _ in range(4)] if i != 5 else None) for i in range(11)] + [("v", 0, [1.0] * 4)], "user_id string, qa_idx long, embedding array<double>")
+    reach = graph.reachable(seeds, edges, 2, 0.3, ranked=False).withColumnRenamed("similarity_score", "graph_similarity_score")
+    apart = graph.attach_events(graph.score_events(reach, q, events), events.drop("embedding"))
+    columns = ["user_id", "qa_idx", "event_id", "min_hop", "graph_similarity_score", "note"]
+    want = {tuple(r[c] for c in columns): r.query_similarity for r in apart.collect()}
+    for per_batch in (1_000, 4):
+        found = graph.scored_expansion(seeds, edges, q, events, 2, 0.3, seeds_per_batch=per_batch)
+        flat = found.select("user_id", "qa_idx", F.inline("events"))
+        got = flat.collect()
+        assert {tuple(r[c] for c in columns) for r in got} == set(want) and len(got) == len(want) > 50
+        assert all(abs(r.query_similarity - want[tuple(r[c] for c in columns)]) < 2e-9 for r in got)
+        for r in found.collect():
+            assert [(-e.query_similarity, e.event_id) for e in r.events] == sorted((-e.query_similarity, e.event_id) for e in r.events)
+            assert [e["rank"] for e in r.events] == list(range(1, len(r.events) + 1))
+    # nothing above the walk shuffles or joins a reached event
+    plan = flat.groupBy().count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")] and "Window" not in plan
+    # counts and the cut at a score
+    flat_stats = graph.context_events(apart, 0.1)[1].collect()
+    assert {tuple(r[c] for c in ("user_id", "qa_idx", "total", "kept")) for r in graph.context_counts(found, 0.1).collect()} == {tuple(r[c] for c in ("user_id", "qa_idx", "total", "kept")) for r in flat_stats}
+    kept = graph.scored_expansion(seeds, edges, q, events, 2, 0.3, 0.1)
+    assert sum(len(r.events) for r in kept.collect()) == sum(r.kept for r in flat_stats)
+    # the text of an array is that of its rows
+    rows = graph.context_events(apart, 0.1)[0]
+    line = lambda note: F.when(~note.endswith("7"), F.concat(F.lit("- "), note))
+    whole = {(r.qa_idx, r.t) for r in context.section(rows, line(F.col("note")), ["rank"], "Head:", "t").collect()}
+    assert {(r.qa_idx, r.t) for r in kept.select("qa_idx", context.listed(F.col("events"), lambda e: line(e["note"]), "Head:").alias("t")).collect() if r.t} == whole
