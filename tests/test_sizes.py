@@ -396,3 +396,32 @@ def test_reached_events_are_scored_where_they_are_found(spark):
     line = lambda note: F.when(~note.endswith("7"), F.concat(F.lit("- "), note))
     whole = {(r.qa_idx, r.t) for r in context.section(rows, line(F.col("note")), ["rank"], "Head:", "t").collect()}
     assert {(r.qa_idx, r.t) for r in kept.select("qa_idx", context.listed(F.col("events"), lambda e: line(e["note"]), "Head:").alias("t")).collect() if r.t} == whole
+
+
+def test_facts_of_a_question_come_out_as_one_row_without_a_shuffle(spark):
+    import numpy as np
+
+    from timeweave.functions.text import content_key, fact_text
+    from timeweave.operators import context, graph
+
+    rng = np.random.default_rng(9)
+    q = spark.createDataFrame([(u, i, rng.normal(size=3).tolist()) for i in range(15) for u in ("u", "v", "none")], "user_id string, qa_idx long, embedding array<double>")
+    rel = spark.createDataFrame(
+        [(u, f"p{i % 4}", f"r{i:02d}", f"a{i}", "live_in", f"d{i}", rng.normal(size=3).tolist()) for u, n in (("u", 30), ("v", 9)) for i in range(n)],
+        "user_id string, person string, relation_id string, source string, relationship string, destination string, embedding array<float>",
+    )
+    key = content_key(fact_text(F.col("source"), F.col("relationship"), F.col("destination")))
+    v, rel = rel.select("user_id", key.alias("text_key"), "embedding"), rel.drop("embedding")
+    columns = ["source", "relationship", "destination", "fact_text"]
+    rows = graph.best_facts(rel, q, v, 3, 0.5, columns)
+    want = {tuple(r[c] for c in ("user_id", "qa_idx", "person", "relation_id", "rank")) for r in rows.collect()}
+    profiles = {(r.user_id, r.qa_idx): r.profiles_text for r in context.profile_section(rows, F.lit("")).collect()}
+    for bound in (100, 10, 5):
+        found = graph.best_fact_lists(rel, q, v, 3, 0.5, columns, facts_per_user=bound)
+        got = found.select("*", context.profiles_of(F.col("facts"), F.lit("")).alias("text")).collect()
+        assert len(got) == 45 and {(r.user_id, r.qa_idx, f.person, f.relation_id, f["rank"]) for r in got for f in r.facts or []} == want
+        assert {(r.user_id, r.qa_idx): r.text for r in got if r.text} == profiles
+    # questions without facts are there too
+    assert len(profiles) < 45 and all(not r.facts for r in got if r.user_id == "none")
+    plan = graph.best_fact_lists(rel, q, v, 3, 0.5, columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("FlatMapGroupsInArrow")]
